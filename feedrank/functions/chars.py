@@ -37,18 +37,21 @@ def _char_class(chars: list[str]) -> str:
         f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
-# Ideographs, Hangul syllables, surrogates, private use and unassigned planes
-# have no folding of interest and are skipped.
-_SKIPPED = ((0x3400, 0x9FFF), (0xAC00, 0xF8FF), (0x12000, 0x1CFFF), (0x20000, 0x2F7FF))
-_LAST = 0x2FA1F
+# Blocks with folding: Latin, Greek, Cyrillic and their extensions, combining
+# marks, phonetic and letter-like symbols, ligatures, full-width and styled
+# letters. No other block folds to a letter of a key or slug, and the tables are
+# part of every plan that uses them, so other scripts are left as they are.
+_BLOCKS = (
+    (0x80, 0x52F), (0x1AB0, 0x1AFF), (0x1D00, 0x1FFF), (0x2000, 0x24FF), (0x2C60, 0x2C7F),
+    (0x3300, 0x33FF), (0xFB00, 0xFB06), (0xFE20, 0xFE2F), (0xFF00, 0xFFEF), (0x1D400, 0x1D7FF),
+)
+# Text outside these ranges may hold a character that expands to several.
+_RARE = r"[^\x00-\x7F\u00C0-\u0131]"
 
 
 def _code_points():
-    start = 0x80
-    for low, high in _SKIPPED:
-        yield from range(start, low)
-        start = high + 1
-    yield from range(start, _LAST + 1)
+    for low, high in _BLOCKS:
+        yield from range(low, high + 1)
 
 
 def _tables(rule: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
@@ -89,28 +92,25 @@ def _fold_tables():
     return _tables(_fold_rule)
 
 
-def _apply(col: Column, tables: tuple[str, str, dict[str, str]]) -> Column:
+def _apply(col: Column, tables: tuple[str, str, dict[str, str]], rare: str = _RARE) -> Column:
     source, target, expanded = tables
-    single = F.translate(col, source, target)
-    klass = _char_class(list(expanded))
-    mapping = literal_map(expanded)
-    several = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(col, F.lit(f"({klass})"))),
-        single,
-        lambda acc, c: F.replace(acc, c, F.element_at(mapping, c)),
-    )
-    return (
-        F.when(~col.rlike(r"[^\x00-\x7F]"), col)
-        .when(col.rlike(klass), several)
-        .otherwise(single)
+    found = F.when(
+        col.rlike(rare),
+        F.array_distinct(F.regexp_extract_all(col, F.lit(f"({_char_class(list(expanded))})"))),
+    ).otherwise(F.array().cast("array<string>"))
+    folded = F.aggregate(
+        found,
+        F.translate(col, source, target),
+        lambda acc, c: F.replace(acc, c, F.element_at(literal_map(expanded), c)),
     )
+    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 
 def strip_accents(col: Column) -> Column:
-    """NFKD with combining marks dropped (Hangul syllables stay composed)."""
+    """NFKD with combining marks dropped, for the blocks listed above."""
     return _apply(col, _accent_tables())
 
 
 def casefold(col: Column) -> Column:
     """Unicode case folding ("Straße" -> "strasse")."""
-    return _apply(F.lower(col), _fold_tables())
+    return _apply(F.lower(col), _fold_tables(), rare=r"[^\x00-\x7F\u00E0-\u0148]|ß")

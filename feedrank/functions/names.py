@@ -12,18 +12,27 @@ from .chars import literal_map, strip_accents
 from .text import collapse_ws, quote_java, strip
 
 
-def _folded(name: Column) -> Column:
+def fold(name: Column) -> Column:
+    """Accent-free lower-case text.
+
+    The ``*_folded`` functions start from it: an operator that needs several
+    forms of a name folds it once, in a column of its own.
+    """
     return F.lower(strip_accents(name))
 
 
+def key_of_folded(folded: Column) -> Column:
+    return F.regexp_replace(folded, "[^a-z0-9]", "")
+
+
 def company_key(name: Column) -> Column:
     """Lower-case ASCII letters and digits of the name."""
-    return F.regexp_replace(_folded(name), "[^a-z0-9]", "")
+    return key_of_folded(fold(name))
 
 
 def normalize_name(name: Column, suffixes: Sequence[str] = rules.SUFFIX_TOKENS) -> Column:
     """Comparable form: plain tokens without trailing legal or generic words."""
-    return normalize_folded(_folded(name), suffixes)
+    return normalize_folded(fold(name), suffixes)
 
 
 def normalize_folded(folded: Column, suffixes: Sequence[str] = rules.SUFFIX_TOKENS) -> Column:
@@ -39,13 +48,17 @@ def normalize_folded(folded: Column, suffixes: Sequence[str] = rules.SUFFIX_TOKE
 
 
 def slugify(name: Column) -> Column:
-    clean = F.replace(_folded(name), F.lit("&"), F.lit(" and "))
+    return slug_of_folded(fold(name))
+
+
+def slug_of_folded(folded: Column) -> Column:
+    clean = F.replace(folded, F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(clean, "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def compact_name(name: Column) -> Column:
     """Key of the alias table: folded, with single spaces."""
-    return collapse_ws(_folded(name))
+    return collapse_ws(fold(name))
 
 
 def alias_slug(name: Column, aliases: Mapping[str, str] = rules.ALIASES) -> Column:
@@ -64,13 +77,22 @@ def name_variants(
     stop: Sequence[str] = rules.VARIANT_STOP_TOKENS,
 ) -> Column:
     """Queries for a name, from the exact form to single words, in that order."""
-    original = collapse_ws(name)
-    normalized = normalize_name(original, suffixes)
+    return variants_of(name, fold(name), suffixes, stop)
+
+
+def variants_of(
+    name: Column,
+    folded: Column,
+    suffixes: Sequence[str] = rules.SUFFIX_TOKENS,
+    stop: Sequence[str] = rules.VARIANT_STOP_TOKENS,
+) -> Column:
+    original, folded = collapse_ws(name), collapse_ws(folded)
+    normalized = normalize_folded(folded, suffixes)
     spell = lambda c: collapse_ws(F.replace(c, F.lit("&"), F.lit(" and ")))
     suffix_list = F.array(*[F.lit(s) for s in suffixes]) if suffixes else F.array().cast("array<string>")
     skip = F.array(*[F.lit(s) for s in (*suffixes, *stop)])
 
-    plain = F.regexp_extract_all(_folded(original), F.lit("([a-z0-9]+)"))
+    plain = F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"))
     tokens = F.filter(F.split(normalized, r"(?U)\s+"), lambda t: t != "")
     without_one = F.filter(
         F.transform(

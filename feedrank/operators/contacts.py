@@ -94,6 +94,7 @@ def best_contact(directory: DataFrame) -> DataFrame:
 
 def attach_contact(postings: DataFrame, contacts: DataFrame) -> DataFrame:
     """Join the best contact: of the posting's area and of any area, first one wins."""
+    had_key = "company_key" in postings.columns
     keyed = postings.withColumn("company_key", company_key(F.col("company")))
     own = contacts.filter(F.col("area").isNotNull()).select(
         "company_key", F.col("area").alias("job_area"), F.col("contact").alias("_own"))
@@ -109,7 +110,7 @@ def attach_contact(postings: DataFrame, contacts: DataFrame) -> DataFrame:
         keyed.join(own, ["company_key", "job_area"], "left")
         .join(general, "company_key", "left")
         .withColumn("contact", first)
-        .drop("_own", "_any", "company_key")
+        .drop("_own", "_any", *([] if had_key else ["company_key"]))
     )
 
 

@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.names import alias_slug, company_key, contains_tokens, name_tokens, normalize_name, similarity
-from ..functions.chars import strip_accents
+from ..functions.names import (
+    alias_slug,
+    contains_tokens,
+    fold,
+    name_tokens,
+    normalize_name,
+    similarity_of_normalized,
+)
 from ..functions.scores import finite_or_zero, score_display
 from ..functions.text import blank_to_null, pct_encode
 from ..schema import RATING
-from .resolve import ignored_keys
+from .resolve import is_ignored, with_company_key
 from .skew import ROWS_PER_SALT, hot_keys, salted_left_join
 
 
@@ -41,8 +47,7 @@ def join_ratings(
     more than ``rows_per_salt`` postings are split over several tasks.
     """
     hot = hot_keys(companies, "company_key", "n_postings", rows_per_salt)
-    keyed = postings.withColumn("company_key", company_key(F.col("company")))
-    joined = salted_left_join(keyed, ratings.select("company_key", "rating"), "company_key", hot, "dedup_key")
+    joined = salted_left_join(with_company_key(postings), ratings.select("company_key", "rating"), "company_key", hot, "dedup_key")
     return apply_rating(joined)
 
 
@@ -90,39 +95,42 @@ def is_fresh(checked_at: Column, run_epoch: int, ttl: int = R.RECHECK_SECONDS) -
     return (at > 0) & (F.lit(run_epoch) - at < ttl)
 
 
-def is_trusted(company: Column, entry: Column) -> Column:
-    """Not a 5.0 with zero reviews, and still the same name (or an alias)."""
+def is_trusted(norm: Column, entry: Column) -> Column:
+    """Not a 5.0 with zero reviews, and still the same name (or an alias).
+
+    ``norm`` is the normalised company name."""
     zero_reviews = F.coalesce(entry["reviews"], F.lit("")).rlike(r"(?iU)\b0\s+reviews?\b")
     suspicious = (finite_or_zero(entry["numeric"]) >= 5.0) & zero_reviews
     matched = blank_to_null(F.trim(entry["matched_name"]))
     by_name = matched.isNotNull() & ~F.coalesce(entry["alias_match"], F.lit(False))
-    same = F.coalesce(similarity(company, matched) >= R.TRUST_SIMILARITY, F.lit(False))
+    same = F.coalesce(
+        similarity_of_normalized(norm, normalize_name(matched)) >= R.TRUST_SIMILARITY, F.lit(False))
     return ~suspicious & (~by_name | same)
 
 
-def is_plausible_legacy(company: Column, entry: Column) -> Column:
+def is_plausible_legacy(company: Column, key: Column, norm: Column, entry: Column) -> Column:
     """Old entry without a matched name: does its profile slug fit the company?"""
     slug = F.lower(F.regexp_extract(F.coalesce(entry["url"], F.lit("")), "/companies/([^/?#]+)", 1))
-    folded = F.lower(strip_accents(slug))
+    folded = fold(slug)
     slug_words = F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"))
-    words_fit = contains_tokens(name_tokens(normalize_name(company)), slug_words)
-    key, compact = company_key(company), F.regexp_replace(folded, "[^a-z0-9]", "")
+    words_fit = contains_tokens(name_tokens(norm), slug_words)
+    compact = F.regexp_replace(folded, "[^a-z0-9]", "")
     compact_fit = (key != "") & (F.contains(compact, key) | F.contains(key, compact))
     alias_fit = F.coalesce(alias_slug(company) == slug, F.lit(False))
-    return is_trusted(company, entry) & (slug != "") & (words_fit | compact_fit | alias_fit)
+    return is_trusted(norm, entry) & (slug != "") & (words_fit | compact_fit | alias_fit)
 
 
 def _cache_view(companies: DataFrame, state: DataFrame, run_epoch: int) -> DataFrame:
     """Companies with their cached entry and what may be done with it."""
     entry_cols = [f.name for f in RATING.fields]
     entries = state.select("company_key", F.struct(*entry_cols).cast(RATING).alias("_entry"))
-    entry, company = F.col("_entry"), F.col("company")
+    entry, company, key, norm = F.col("_entry"), F.col("company"), F.col("company_key"), F.col("company_norm")
     primary = F.lower(F.coalesce(entry["platform"], F.lit(""))) == R.PRIMARY_PLATFORM.lower()
     unnamed = blank_to_null(entry["matched_name"]).isNull()
-    good = F.when(unnamed, is_plausible_legacy(company, entry)).otherwise(is_trusted(company, entry))
+    good = F.when(unnamed, is_plausible_legacy(company, key, norm, entry)).otherwise(is_trusted(norm, entry))
     return companies.join(entries, "company_key", "left").withColumn(
         "_cache",
-        F.when(ignored_keys()(company), F.lit("ignored"))
+        F.when(is_ignored(norm), F.lit("ignored"))
         .when(entry.isNull(), F.lit("absent"))
         .when(primary & good, F.lit("usable"))
         .when(primary, F.lit("rejected"))

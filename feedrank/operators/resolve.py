@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.names import (
     alias_slug,
-    company_key,
     contains_tokens,
+    fold,
+    key_of_folded,
     name_tokens,
-    name_variants,
-    normalize_name,
-    similarity,
-    slugify,
+    normalize_folded,
+    similarity_of_normalized,
+    slug_of_folded,
+    variants_of,
 )
 from ..functions.text import collapse_ws
 from ..schema import ORDER_COLUMNS
@@ -27,31 +28,52 @@ HOT_TOKEN_ROWS = 10_000
 
 
 def companies_of(postings: DataFrame, order: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
-    """(company_key, company, n_postings): first display name of each key.
+    """First display name of each key: (company_key, company, n_postings,
+    company_folded, company_norm).
 
     Names without any ASCII letter or digit share the empty key; they would
     share one rating too, so the empty key is left out.
     """
     return (
-        postings.withColumn("company_key", company_key(F.col("company")))
+        with_company_key(postings)
         .filter(F.col("company_key") != "")
         .groupBy("company_key")
         .agg(
-            F.min_by("company", F.struct(*order)).alias("company"),
+            F.min_by(F.struct("company", "company_folded"), F.struct(*order)).alias("c"),
             F.count(F.lit(1)).alias("n_postings"),
         )
-        .withColumn("company", collapse_ws(F.col("company")))
+        .select(
+            "company_key",
+            collapse_ws(F.col("c.company")).alias("company"),
+            "n_postings",
+            F.col("c.company_folded").alias("company_folded"),
+            normalize_folded(F.col("c.company_folded")).alias("company_norm"),
+        )
     )
 
 
-def ignored_keys(ignored: Sequence[str] = R.IGNORED_COMPANIES):
-    """Predicate: the company's normalised name is one of the ignored ones."""
-    names = [normalize_name(F.lit(n)) for n in ignored]
-    return lambda company: F.coalesce(normalize_name(company).isin(*names), F.lit(True))
+def with_company_key(df: DataFrame) -> DataFrame:
+    """Add ``company_folded`` and ``company_key``, unless they are there."""
+    if "company_key" in df.columns:
+        return df
+    return df.withColumn("company_folded", fold(F.col("company"))).withColumn(
+        "company_key", key_of_folded(F.col("company_folded")))
+
+
+def with_norm(df: DataFrame, name: str = "company") -> DataFrame:
+    """Add ``<name>_folded`` and ``<name>_norm``, computed once and reused."""
+    return df.withColumn(f"{name}_folded", fold(F.col(name))).withColumn(
+        f"{name}_norm", normalize_folded(F.col(f"{name}_folded")))
+
 
+def is_ignored(norm: Column, ignored: Sequence[str] = R.IGNORED_COMPANIES) -> Column:
+    """The normalised name is that of an ignored one (short ASCII list)."""
+    names = [normalize_folded(F.lower(F.lit(n))) for n in ignored]
+    return F.coalesce(norm.isin(*names), F.lit(True))
 
-def drop_ignored(df: DataFrame, ignored: Sequence[str] = R.IGNORED_COMPANIES) -> DataFrame:
-    return df.filter(~ignored_keys(ignored)(F.col("company")))
+
+def drop_ignored(companies: DataFrame, ignored: Sequence[str] = R.IGNORED_COMPANIES) -> DataFrame:
+    return companies.filter(~is_ignored(F.col("company_norm"), ignored))
 
 
 def alias_lookup(df: DataFrame, aliases=None) -> DataFrame:
@@ -63,15 +85,16 @@ def best_candidates(
     sought: DataFrame,
     candidates: DataFrame,
     key: str = "company_key",
-    name: str = "company",
+    norm: str = "company_norm",
     candidate_id: str = "profile_id",
-    candidate_name: str = "profile_name",
+    candidate_norm: str = "profile_name_norm",
     k: int = R.CANDIDATES_PER_QUERY,
     hot_rows: int = HOT_TOKEN_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar candidates of each sought name.
 
-    Returns (key, candidate_id, similarity, place). Equal names score 1.0; a
+    Both sides carry normalised names (see ``with_norm``). Returns (key,
+    candidate_id, similarity, place). Equal names score 1.0; a
     candidate that holds every word sought scores 0.85; nothing else matches.
     Ties go to the smaller candidate id.
 
@@ -89,10 +112,10 @@ def best_candidates(
         w = Window.partitionBy(per).orderBy(*order)
         return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
 
-    wanted = sought.select(key, normalize_name(F.col(name)).alias("_norm"))
+    wanted = sought.select(key, F.col(norm).alias("_norm"))
     names = wanted.filter(F.col("_norm") != "").select("_norm").distinct()
     near = first_k(
-        candidates.select(candidate_id, normalize_name(F.col(candidate_name)).alias("_cand"))
+        candidates.select(candidate_id, F.col(candidate_norm).alias("_cand"))
         .filter(F.col("_cand") != ""),
         "_cand",
         cid,
@@ -145,15 +168,21 @@ def best_candidates(
 
 
 def derived_slugs(companies: DataFrame, suffixes: Sequence[str] = R.SLUG_SUFFIXES) -> DataFrame:
-    """(company_key, company, slug, probe): slugs guessed from name variants, in order."""
+    """(company_key, company_norm, slug, probe): slugs guessed from name variants, in order."""
+    folded = F.col("company_folded")
+    # A variant of the folded name has the slug of the same variant of the name.
     guesses = F.flatten(
         F.transform(
-            name_variants(F.col("company")),
-            lambda v: F.array(*[v if s == "" else F.concat(v, F.lit(f" {s}")) for s in suffixes]),
+            variants_of(folded, folded),
+            lambda v: F.array(*[v if s == "" else F.concat(v, F.lit(f" {s.lower()}")) for s in suffixes]),
         )
     )
-    slugs = F.array_distinct(F.filter(F.transform(guesses, slugify), lambda s: s != ""))
-    return companies.select("company_key", "company", F.posexplode(slugs).alias("probe", "slug"))
+    slugs = F.array_distinct(F.filter(F.transform(guesses, slug_of_folded), lambda s: s != ""))
+    return companies.select("company_key", "company_norm", F.posexplode(slugs).alias("probe", "slug"))
+
+
+def _similar() -> Column:
+    return similarity_of_normalized(F.col("company_norm"), F.col("profile_name_norm")) >= R.SIMILARITY_GATE
 
 
 def slug_probe(companies: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -161,29 +190,36 @@ def slug_probe(companies: DataFrame, profiles: DataFrame) -> DataFrame:
 
     ``profiles``: (slug, profile_name, ...), one row per slug.
     """
-    hits = (
-        derived_slugs(companies)
-        .join(profiles, "slug")
-        .filter(similarity(F.col("company"), F.col("profile_name")) >= R.SIMILARITY_GATE)
-    )
-    return first_by(hits.drop("company"), ["company_key"], ["probe"])
+    hits = derived_slugs(companies).join(with_norm(profiles, "profile_name"), "slug").filter(_similar())
+    return first_by(
+        hits.drop("company_norm", "profile_name_folded", "profile_name_norm"), ["company_key"], ["probe"])
 
 
 _ALIAS_PROBE = 1_000_000
 _DERIVED_PROBE = 1_000_001
 
 
+def index_directory(directory: DataFrame) -> DataFrame:
+    """One page per slug, with the normalised profile name.
+
+    ``directory``: (profile_id, slug, profile_name, status, score, numeric,
+    reviews, url). The result does not depend on the postings: store it and
+    rebuild it when the directory changes.
+    """
+    pages = first_by(directory, ["slug"], ["profile_id"])
+    return with_norm(pages, "profile_name").drop("profile_name_folded")
+
+
 def primary_lookup(companies: DataFrame, directory: DataFrame, aliases=None) -> DataFrame:
     """Look every company up in the primary directory.
 
-    ``directory``: (profile_id, slug, profile_name, status, score, numeric,
-    reviews, url), one row per profile page. Probe order per company: similar
+    ``directory``: indexed profile pages, see ``index_directory``. Probe order per company: similar
     names, the alias slug, derived slugs; the first valid profile wins. A page
     that did not answer (403, 429, 5xx) before that makes the lookup
     UNAVAILABLE, which is not a miss. Returns (company_key, lookup_status,
     rating).
     """
-    pages = first_by(directory, ["slug"], ["profile_id"])
+    pages = directory
     readable = pages.filter(F.col("status") == 200)
     similar = (
         best_candidates(companies, readable)
@@ -208,11 +244,10 @@ def primary_lookup(companies: DataFrame, directory: DataFrame, aliases=None) ->
         .select("company_key", "slug", "p.*")
     )
     down = F.col("status").isin(403, 429) | (F.col("status") >= 500)
-    similar_name = similarity(F.col("company"), F.col("profile_name")) >= R.SIMILARITY_GATE
     valid = (
         (F.col("status") == 200)
         & F.col("profile_name").isNotNull()
-        & (F.col("allow_alias") | similar_name)
+        & (F.col("allow_alias") | _similar())
     )
     outcome = F.when(down, F.lit("UNAVAILABLE")).when(valid, F.lit("HIT"))
     rating = F.struct(
@@ -226,7 +261,7 @@ def primary_lookup(companies: DataFrame, directory: DataFrame, aliases=None) ->
         F.lit(None).cast("bigint").alias("checked_at"),
     )
     found = (
-        probes.join(companies.select("company_key", "company"), "company_key")
+        probes.join(companies.select("company_key", "company_norm"), "company_key")
         .join(pages, "slug")
         .withColumn("lookup_status", outcome)
         .filter(F.col("lookup_status").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.scores import finite_or_zero
 from ..functions.text import matches_any
+from ..session import materialize
 from ..operators import classify, dedup, limits, ranking, ratings, resolve
 from . import daily as D
 from . import fixture as X
@@ -135,23 +136,13 @@ def topic_docs(spark, sf):
 # --- the chain with ratings --------------------------------------------------------
 
 
-def _rated(spark, sf) -> DataFrame:
-    rated, _ = D.rate(
-        D.candidates(X.postings(spark, sf)), X.rating_state(spark, sf), X.directory(spark, sf),
-        X.evidence(spark, sf), D.Options(X.RUN_EPOCH))
-    return rated
-
-
-def _eligible(spark, sf) -> DataFrame:
-    return _rated(spark, sf).filter(classify.is_eligible(F.col("category"), F.col("rating_score")))
-
-
 def rated_by_profile(spark, sf, only_reviewed: bool = True) -> DataFrame:
     """Postings joined to the most similar profile only (no cached state)."""
-    kept = D.candidates(X.postings(spark, sf))
-    companies = resolve.companies_of(kept)
+    kept = materialize(D.candidates(X.postings(spark, sf)), "candidates")
+    companies = materialize(resolve.companies_of(kept), "companies")
     profiles = X.profiles(spark, sf).filter(F.col("review_count") > 0)
-    best = resolve.best_candidates(resolve.drop_ignored(companies), profiles, k=1)
+    best = resolve.best_candidates(
+        resolve.drop_ignored(companies), resolve.with_norm(profiles, "profile_name"), k=1)
     rating = F.struct(
         F.lit(R.PRIMARY_PLATFORM).alias("platform"),
         F.when(F.isnan("numeric_score"), F.lit(R.UNRATED)).otherwise(

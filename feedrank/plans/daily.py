@@ -40,8 +40,8 @@ def ingest(captures: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def candidates(postings: DataFrame, rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:
-    """Postings that pass the rules, one per identity."""
-    return dedup.first_seen(classify.prefilter(postings, rules))
+    """Postings that pass the rules, one per identity, with their company key."""
+    return resolve.with_company_key(dedup.first_seen(classify.prefilter(postings, rules)))
 
 
 def rate(
@@ -50,14 +50,15 @@ def rate(
     """(postings with ratings, next rating state).
 
     Only companies the state cannot answer reach the directory joins, and only
-    their misses the fallback.
+    their misses the fallback. ``directory`` is indexed. Frames that several
+    joins read are written once; they hold one row per company.
     """
-    companies = resolve.companies_of(postings)
-    asked = ratings.needs_lookup(companies, state, options.run_epoch)
-    lookup = resolve.primary_lookup(asked, directory)
+    companies = materialize(resolve.companies_of(postings), "companies")
+    asked = materialize(ratings.needs_lookup(companies, state, options.run_epoch), "asked")
+    lookup = materialize(resolve.primary_lookup(asked, directory), "lookup")
     missed = asked.join(lookup.filter(F.col("lookup_status") == "MISS").select("company_key"), "company_key", "left_semi")
     second = ratings.fallback_ratings(missed, evidence)
-    decisions = ratings.decide(companies, state, lookup, second, options.run_epoch)
+    decisions = materialize(ratings.decide(companies, state, lookup, second, options.run_epoch), "decisions")
     rated = ratings.join_ratings(postings, decisions, companies, options.rows_per_salt)
     return rated, ratings.upsert(state, decisions)
 
@@ -73,7 +74,8 @@ def daily(
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked postings, next rating state)."""
     kept = materialize(candidates(postings, options.rules), "candidates")
-    rated, next_state = rate(kept, state, directory, evidence, options)
+    pages = materialize(resolve.index_directory(directory), "directory")
+    rated, next_state = rate(kept, state, pages, evidence, options)
     eligible = rated.filter(
         classify.is_eligible(F.col("category"), F.col("rating_score"), options.min_score))
     ranked = ranking.ranked(eligible)
