@@ -61,7 +61,7 @@ def quarantine(spark, sf):
     parsed = JF.parse_arbeitnow(_limited(renders.feed_a(X.postings(spark, sf))))
     events = X.table(spark, sf, "events").select(
         F.lit("broken").alias("source"), F.lit(200).alias("status"),
-        F.when(F.col("event_id") % 50 == 0, F.substring("props", 2, 100)).otherwise(F.col("props")).alias("body"),
+        F.when(F.col("event_id") % 50 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("body"),
         F.col("ts").alias("captured_at"))
     aside = C.quarantine(parsed).unionByName(C.broken_bodies(events))
     return aside.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -289,7 +289,7 @@ def link_dedup(spark, sf):
 
 
 _TAG_RE = """<[a-zA-Z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
-_UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _TEXT_SQL = _UNESCAPED.format(rf"""regexp_replace(replace(regexp_replace(html,
  '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '&nbsp;', ' '), '{_TAG_RE}', ' ', 'g')""")
 

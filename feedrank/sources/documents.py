@@ -65,12 +65,12 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """Profile document; absent or unreadable gives an empty frame (no enrichment)."""
     try:
-        raw = spark.read.schema(T.StructType([*PROFILE.fields, T.StructField("_bad", T.StringType())])).option(
-            "columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], PROFILE)
-    # A document that breaks off inside still fills its first fields: reject it whole.
-    return raw.withColumn("_ok", F.col("_bad").isNull()).filter("_ok").drop("_bad", "_ok")
+    # A document that breaks off in the middle is rejected whole.
+    whole = text.filter(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"))
+    return whole.select(F.from_json("value", PROFILE).alias("p")).select("p.*")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
