@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,27 +155,49 @@ def recommendation(level: Column) -> Column:
     )
 
 
-def facts(title: Column, area: Column, tech: Column, profile: Column) -> tuple[Column, Column]:
+RETRIEVAL_WORDS = ("rag", "semantic")  # fixed values: words in project names
+PIPELINE_WORDS = ("aggregator", "autonomous")
+
+
+@dataclass(frozen=True)
+class ProfileFacts:
+    """What the facts need to know of a profile."""
+
+    retrieval_project: bool = False
+    aggregator_project: bool = False
+    python_and_pytorch: bool = False
+
+
+def profile_facts(profile: DataFrame) -> ProfileFacts | None:
+    """Read the profile document (one row). None without one: nothing is enriched."""
+    def has_project(words):
+        return F.coalesce(
+            F.exists("projects", lambda p: contains_any(F.lower(F.coalesce(p["name"], F.lit(""))), words)), F.lit(False))
+
+    row = profile.select(
+        has_project(RETRIEVAL_WORDS).alias("a"),
+        has_project(PIPELINE_WORDS).alias("b"),
+        F.coalesce(F.array_contains("skills", "Python") & F.array_contains("skills", "PyTorch"), F.lit(False)).alias("c"),
+    ).first()
+    return None if row is None else ProfileFacts(row.a, row.b, row.c)
+
+
+def facts(title: Column, area: Column, tech: Column, known: ProfileFacts) -> tuple[Column, Column]:
     """(hook, proof) backed by the profile: a fitting project, else its skills."""
-    has_project = lambda *words: F.coalesce(
-        F.exists(profile["projects"],
-                 lambda p: contains_any(F.lower(F.coalesce(p["name"], F.lit(""))), words)), F.lit(False))
     wants_retrieval = F.contains(F.lower(F.concat(title, F.lit(" "), area)), F.lit("rag")) | F.exists(
         tech, lambda t: F.lower(t).isin("rag", "llms", "fastapi"))
-    skilled = F.coalesce(
-        F.array_contains(profile["skills"], "Python") & F.array_contains(profile["skills"], "PyTorch"), F.lit(False))
     cases = (
-        (wants_retrieval & has_project("rag", "semantic"),
+        (wants_retrieval & F.lit(known.retrieval_project),
          F.lit("built an end-to-end RAG and semantic search pipeline using FastAPI and vector search"),
          F.concat(F.lit("The team's focus on "), area,
                   F.lit(" and modern AI architectures aligns directly with my recent hands-on RAG implementation."))),
-        (has_project("aggregator", "autonomous"),
+        (F.lit(known.aggregator_project),
          F.lit("developed an asynchronous data pipeline in Python with automated scraping, "
                "strict regex filtering, and CI/CD"),
          F.concat(F.lit("The requirements for "), title,
                   F.lit(" match my experience building production-ready Python pipelines "
                         "and data scraping workflows."))),
-        (skilled,
+        (F.lit(known.python_and_pytorch),
          F.lit("implemented machine learning pipelines in Python and PyTorch with Docker deployment"),
          F.concat(F.lit("The technical stack for "), title,
                   F.lit(" directly matches my core Python and ML background."))),
@@ -229,11 +253,14 @@ def with_outreach(df: DataFrame, contacts: DataFrame, profile: DataFrame) -> Dat
 
     ``profile`` is one nested row; without a row nothing is enriched.
     """
-    person = profile.limit(1).select(F.struct(*profile.columns).alias("_profile"))
-    rows = attach_contact(with_area(df), contacts).join(F.broadcast(person), how="left")
+    rest = [c for c in df.columns if c != "human_outreach"]
+    known = profile_facts(profile)
+    if known is None:
+        return df.select(*rest, F.lit(None).cast(OUTREACH).alias("human_outreach"))
+    rows = attach_contact(with_area(df), contacts)
     contact, area, company = F.col("contact"), F.col("job_area"), F.col("company")
     level = confidence(contact, area)
-    hook, proof = facts(F.col("title"), area, F.col("job_tech"), F.col("_profile"))
+    hook, proof = facts(F.col("title"), area, F.col("job_tech"), known)
     filled = F.struct(
         F.lit(True).alias("target_found"),
         F.when(contact["tier"] == 0, F.lit("HIRING_MANAGER")).otherwise(F.lit("RECRUITER")).alias("target_type"),
@@ -248,15 +275,11 @@ def with_outreach(df: DataFrame, contacts: DataFrame, profile: DataFrame) -> Dat
         proof.alias("candidate_proof"),
         message(contact["name"], F.col("title"), proof, F.col("_level")).alias("suggested_message"),
     )
-    record = (
-        F.when(F.col("_profile").isNull(), F.lit(None))
-        .when(contact.isNull(), empty_outreach())
-        .otherwise(filled)
-    )
+    record = F.when(contact.isNull(), empty_outreach()).otherwise(filled)
     return (
         rows.withColumn("_level", level)
         .withColumn("human_outreach", record)
-        .select(*[c for c in df.columns if c != "human_outreach"], "human_outreach")
+        .select(*rest, "human_outreach")
     )
 
 

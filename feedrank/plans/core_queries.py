@@ -124,7 +124,7 @@ FROM documents""".format(**{
                     ("excl", R.EXCLUDE_PATTERNS))}))
 def topic_docs(spark, sf):
     text = F.col("text")
-    return X.table(spark, sf, "documents").select(
+    return X.table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id",
         matches_any(text, R.AI_PATTERNS).alias("is_ai"),
         matches_any(text, R.SOFTWARE_PATTERNS).alias("is_swe"),

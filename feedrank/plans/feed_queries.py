@@ -238,7 +238,7 @@ def as_list(spark, sf):
 
 @query("q_salary", """SELECT o_orderkey, concat('EUR ', format('{:,}', o_orderkey * 1000), ' - ', format('{:,}', o_custkey)) AS salary FROM orders""")
 def salary(spark, sf):
-    return X.table(spark, sf, "orders").select(
+    return X.table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
         "o_orderkey", scores.salary_range((F.col("o_orderkey") * 1000).cast("string"), F.col("o_custkey").cast("string"), F.lit("EUR")).alias("salary"))
 
 
@@ -252,7 +252,7 @@ def epoch_date(spark, sf):
 
 @query("q_canonical_url", f"SELECT page_id, {O.canonical('url')} AS canonical FROM pages")
 def canonical_url(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
+    return X.table(spark, sf, "pages", "page_id", "url").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
 
 
 @query("q_url_parts", """SELECT page_id, string_split(url, '?')[1] AS no_query, string_split(url, '/')[-1] AS last_part,
@@ -269,7 +269,7 @@ _HREFS = r"""unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<sc
 
 def _links(spark, sf):
     tags = F.regexp_extract_all(H.drop_hidden(F.col("html")), F.lit('(<a href="[^"]*")'))
-    rows = X.table(spark, sf, "pages").select("page_id", F.posexplode(tags).alias("pos", "tag"))
+    rows = X.table(spark, sf, "pages", "page_id", "html").select("page_id", F.posexplode(tags).alias("pos", "tag"))
     return rows.select("page_id", "pos", H.attr(F.concat("tag", F.lit(">")), "href").alias("href"))
 
 
@@ -296,7 +296,7 @@ _TEXT_SQL = _UNESCAPED.format(rf"""regexp_replace(replace(regexp_replace(html,
 
 @query("q_html_text", rf"SELECT page_id, trim(regexp_replace({_TEXT_SQL}, '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", H.page_text(F.col("html")).alias("text"))
+    return X.table(spark, sf, "pages", "page_id", "html").select("page_id", H.page_text(F.col("html")).alias("text"))
 
 
 @query("q_html_attr", r"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang,
@@ -383,7 +383,7 @@ def profile_url(spark, sf):
 def parse_score(spark, sf):
     text = F.concat(F.lit("nota "), F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit(","),
                     (F.round(F.col("l_discount") * 100).cast("int") % 10).cast("string"), F.lit(" de"))
-    return X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", scores.parse_score(text).alias("score"))
+    return X.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_tax", "l_discount").select("l_orderkey", "l_linenumber", scores.parse_score(text).alias("score"))
 
 
 @query("q_all_feeds", O.with_([P, ITEMS], f"""SELECT 'Arbeitnow' AS source, count(*) AS n FROM items WHERE k % 101 <> 0

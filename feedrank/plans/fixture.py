@@ -15,6 +15,7 @@ from .. import rules as R
 from ..functions.names import company_key, slugify
 from ..functions.scores import format_score
 from ..schema import RATING
+from ..session import spread
 
 RUN_EPOCH = 1_700_000_000
 RUN_TS = "2023-11-14 22:13:20"
@@ -58,8 +59,10 @@ PERSON = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a driver table (all without names)."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan.select(*columns) if columns else scan)
 
 
 def _pick(values, index: Column) -> Column:
@@ -77,8 +80,8 @@ def employer(custkey: Column, name: Column) -> Column:
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One posting per order. Neighbouring orders share a URL up to its case,
     end slash and query; every 97th has none."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     host = F.when(key % 2 == 0, F.lit("https://Jobs.Example")).otherwise(F.lit("HTTPS://jobs.example"))
     tail = F.when(key % 3 == 0, F.lit("/")).when(key % 3 == 1, F.lit("?ref=x")).otherwise(F.lit(""))
@@ -106,7 +109,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reputation profiles of three in four customers."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(key % 4 != 3).select(
+    return table(spark, sf_dir, "customer", "c_custkey", "c_name").filter(key % 4 != 3).select(
         key.alias("profile_id"),
         F.concat(F.upper(customer_label(F.col("c_name"))),
                  F.when(key % 3 == 0, F.lit(" Soluções")).otherwise(F.lit(""))).alias("profile_name"),
@@ -140,7 +143,7 @@ def rating_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = key % 12
     slug = slugify(name)
     primary = kind < 6
-    return table(spark, sf_dir, "customer").filter(kind < 9).select(
+    return table(spark, sf_dir, "customer", "c_custkey", "c_name").filter(kind < 9).select(
         company_key(name).alias("company_key"),
         F.when(primary, F.lit(R.PRIMARY_PLATFORM)).otherwise(F.lit(R.FALLBACK_PLATFORM)).alias("platform"),
         F.when(kind == 5, F.lit("5.0/5")).when(primary, F.lit("3.5/5")).otherwise(F.lit("4.2/5")).alias("score"),
@@ -159,7 +162,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fallback rating evidence for every third customer."""
     key, name = F.col("c_custkey"), employer(F.col("c_custkey"), F.col("c_name"))
     number = (10 + key % 41).cast("double") / 10
-    return table(spark, sf_dir, "customer").filter(key % 3 == 0).select(
+    return table(spark, sf_dir, "customer", "c_custkey", "c_name").filter(key % 3 == 0).select(
         company_key(name).alias("company_key"),
         F.struct(
             F.lit(R.FALLBACK_PLATFORM).alias("platform"),
@@ -191,7 +194,7 @@ def contact_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("alex sample"), (key % 100).cast("string")))
     place = F.when(key % 3 == 0, F.lit("Lisbon")).when(key % 3 == 1, F.lit("Madrid")).otherwise(F.lit("EMEA"))
     return (
-        table(spark, sf_dir, "customer")
+        table(spark, sf_dir, "customer", "c_custkey", "c_name")
         .filter(key % 5 != 4)
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(5))))
         .select(

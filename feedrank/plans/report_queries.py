@@ -155,7 +155,7 @@ _DOC_AREA = AREA.replace(_TEXT, _DOC_TEXT)
 @query("q_doc_areas", f"SELECT doc_id, {_DOC_AREA} AS job_area, {_tech_sql(_DOC_TEXT)} AS job_tech FROM documents")
 def doc_areas(spark, sf):
     text = F.lower("text")
-    return X.table(spark, sf, "documents").select(
+    return X.table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", contacts.job_area(text).alias("job_area"), F.array_join(contacts.technologies(text), ", ").alias("job_tech"))
 
 

@@ -9,7 +9,7 @@ from .. import rules as R
 from ..functions import html as H
 from ..functions.dates import day_month_in_text
 from ..functions.scores import salary_in_text
-from ..functions.text import blank_to_null, contains_any, strip
+from ..functions.text import blank_to_null, contains_any
 from ..functions.urls import absolute_url, id_after_dash, last_segment, strip_query
 from ..operators.dedup import dedup_in_feed
 from ..operators.limits import ok_pages
@@ -92,18 +92,21 @@ def parse_linkedin(captures: DataFrame) -> DataFrame:
         "_place": H.first_element(card, tag="span", class_name="job-search-card__location"),
         "_link": H.first_tag(card, tag="a", class_name="base-card__full-link"),
         "_time": H.first_element(card, tag="time"),
-    }).filter(F.col("_title").isNotNull() & F.col("_link").isNotNull()).withColumns({
-        "title": H.text_of(F.col("_title"), ""),
-        "location": F.coalesce(H.text_of(F.col("_place"), ""), F.col("base_location"), F.lit("")),
-        "job_url": strip_query(F.coalesce(H.attr(F.col("_link"), "href"), F.lit(""))),
+    }).filter(F.col("_title").isNotNull() & F.col("_link").isNotNull()).withColumn("_texts", H.texts_of(
+        (F.col("_title"), ""), (F.col("_company"), ""), (F.col("_place"), ""), (F.col("_time"), ""),
+        (H.raw_attr(F.col("_link"), "href"), None),
+    )).withColumns({
+        "title": F.col("_texts")[0],
+        "location": F.coalesce(F.col("_texts")[2], F.col("base_location"), F.lit("")),
+        "job_url": strip_query(F.coalesce(F.col("_texts")[4], F.lit(""))),
     })
     label, remote = modality_of_card(F.col("location"), F.col("title"))
     return _finish(parts, {
         "job_id": id_after_dash(F.col("job_url")),
-        "company": F.coalesce(H.text_of(F.col("_company"), ""), F.lit(_NO_COMPANY_E)),
+        "company": F.coalesce(F.col("_texts")[1], F.lit(_NO_COMPANY_E)),
         "modality": label,
         "is_remote": remote,
-        "post_date": H.text_of(F.col("_time"), ""),
+        "post_date": F.col("_texts")[3],
     })
 
 
@@ -139,18 +142,23 @@ def parse_itjobs(captures: DataFrame) -> DataFrame:
         H.all_elements(F.col("card"), "a", **offer))
     rows = blocks.select("*", F.posexplode(links).alias("_in_block", "link")).withColumn(
         "_pos", F.col("_block").cast("bigint") * 65_536 + F.col("_in_block"))
-    href = F.coalesce(H.attr(F.col("link"), "href"), F.lit(""))
+    href = F.coalesce(F.col("_texts")[0], F.lit(""))
     number = F.regexp_extract(F.col("_href"), r"^/*[^/]+/([0-9]+)(?:/|$)", 1)
     owner = H.first_element(F.col("card"), tag="a", having="href", value="[^\"'>]*/empresa/[^\"'>]*")
-    rows = rows.withColumns({"_href": href, "_text": H.text_of(F.col("card")), "_owner": owner}).withColumns({
+    rows = rows.withColumn("_owner", owner).withColumn("_texts", H.texts_of(
+        (H.raw_attr(F.col("link"), "href"), None),
+        (F.col("card"), " "),
+        (F.col("link"), " "),
+        (H.raw_attr(F.col("_owner"), "title"), None),
+        (H.raw_attr(H.first_tag(F.col("_owner"), tag="img"), "alt"), None),
+        (F.col("_owner"), ""),
+    )).withColumns({"_href": href, "_text": F.col("_texts")[1]}).withColumns({
         "job_id": F.coalesce(blank_to_null(number), F.regexp_replace("_href", "[^a-z0-9]", "")),
-        "title": H.text_of(F.col("link")),
+        "title": F.col("_texts")[2],
     })
     label, remote = modality_of_text(F.col("_text"))
     company = F.coalesce(
-        strip(blank_to_null(H.attr(F.col("_owner"), "title"))),
-        strip(blank_to_null(H.attr(H.first_tag(F.col("_owner"), tag="img"), "alt"))),
-        blank_to_null(H.text_of(F.col("_owner"), "")),
+        *[blank_to_null(F.col("_texts")[i]) for i in (3, 4, 5)],
         F.lit(_NO_COMPANY_F),
     )
     parsed = _finish(rows, {
@@ -185,17 +193,17 @@ def parse_landing(captures: DataFrame) -> DataFrame:
     ).withColumn(
         "_link", F.coalesce(H.first_tag(card, tag="a", class_name="job-card__title", having="href"), "_main",
                             H.first_tag(card, tag="a", having="href"))
-    ).withColumn("_href", H.attr(F.col("_link"), "href")).filter(
-        F.col("_title").isNotNull() & F.col("_href").isNotNull()
-    ).withColumns({
-        "title": H.text_of(F.col("_title"), ""),
-        "location": F.coalesce(H.text_of(F.col("_place")), F.lit("Unknown")),
-        "job_url": absolute_url(F.col("_href"), _BASE_G),
+    ).withColumn("_texts", H.texts_of(
+        (F.col("_title"), ""), (F.col("_employer"), ""), (F.col("_place"), " "), (H.raw_attr(F.col("_link"), "href"), None),
+    )).filter(F.col("_title").isNotNull() & F.col("_texts")[3].isNotNull()).withColumns({
+        "title": F.col("_texts")[0],
+        "location": F.coalesce(F.col("_texts")[2], F.lit("Unknown")),
+        "job_url": absolute_url(F.col("_texts")[3], _BASE_G),
     })
     label, remote = modality_of_place(F.col("location"), F.col("title"))
     return _finish(parts, {
         "job_id": strip_query(last_segment(F.col("job_url"))),
-        "company": F.coalesce(H.text_of(F.col("_employer"), ""), F.lit(_NO_COMPANY_G)),
+        "company": F.coalesce(F.col("_texts")[1], F.lit(_NO_COMPANY_G)),
         "modality": label,
         "is_remote": remote,
     })

@@ -22,19 +22,20 @@ def test_stream_in_file_order_equals_batch(spark, sf, tmp_path):
 
 
 def test_late_copy_enters_again_after_expiry(spark, tmp_path):
+    """Day 20 moves the watermark; the key is dropped with the next batch, so day 22 is new."""
     def row(day, i):
         return (0, i, "s", str(i), "Junior AI Engineer", "C", "L", "M", "https://a/1", [], f"2024-01-{day:02d}")
 
     schema = ("query_ordinal int, item_ordinal long, source string, job_id string, title string, company string, location string, "
               "modality string, job_url string, tags array<string>, day string")
     landing = str(tmp_path / "in")
-    for day in (1, 2, 20, 21):
+    for day in (1, 2, 20, 21, 22):
         spark.createDataFrame([row(day, day)], schema).withColumn("captured_at", F.to_timestamp("day")).coalesce(1).write.mode(
             "append").parquet(landing)
     frame = spark.read.parquet(landing)
     stream = S.first_seen_stream(S.read_stream(spark, landing, frame.schema, files_per_batch=1), "7 days")
     S.append_available(stream, str(tmp_path / "out"), str(tmp_path / "log"))
-    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "20"]
+    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "22"]
 
 
 def test_checks(spark, tmp_path):
