@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..session import broadcast_if_small
 
 
 def manifest(spark: SparkSession, requests=R.REQUESTS) -> DataFrame:
@@ -19,8 +20,9 @@ def manifest(spark: SparkSession, requests=R.REQUESTS) -> DataFrame:
 def ok_pages(captures: DataFrame) -> DataFrame:
     """Pages with status 200 before the first other status of their request.
 
-    The first bad page per request is an aggregate of few rows; a request with
-    very many pages is never gathered in one task.
+    The first bad page per request is an aggregate over three narrow columns. It
+    is counted before it is broadcast, so page bodies are not shuffled and a
+    request with very many pages is never gathered in one task.
     """
     stops = (
         captures.filter(F.coalesce(F.col("status"), F.lit(0)) != 200)
@@ -29,7 +31,7 @@ def ok_pages(captures: DataFrame) -> DataFrame:
     )
     return (
         captures.filter(F.col("status") == 200)
-        .join(stops, ["source", "query_ordinal"], "left")
+        .join(broadcast_if_small(stops), ["source", "query_ordinal"], "left")
         .filter(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
         .drop("_stop")
     )
@@ -55,9 +57,9 @@ def limit_by_manifest(df: DataFrame, requests: DataFrame, order: str = "item_ord
     largest = limits.agg(F.max("row_limit")).first()[0]
     if largest is None:
         return df
-    # The manifest is the fixed list of requests of one run.
-    limited = df.join(F.broadcast(limits), ["source", "query_ordinal"])
-    unlimited = df.join(F.broadcast(limits), ["source", "query_ordinal"], "left_anti")
+    limits = broadcast_if_small(limits)
+    limited = df.join(limits, ["source", "query_ordinal"])
+    unlimited = df.join(limits, ["source", "query_ordinal"], "left_anti")
     w = Window.partitionBy("source", "query_ordinal").orderBy(order)
     cut = (
         limited.withColumn("_n", F.row_number().over(w))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 ROWS_PER_SALT = 1_000_000
 
 
@@ -23,9 +25,9 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame
 
     Rows of a hot key go to one of its salts; the matching right rows (one or
     few per key) are repeated for each salt. Cold keys are not repeated. Exact.
-    ``hot`` is small by construction but is not hinted: the runtime plan
-    broadcasts it after measuring it.
+    ``hot`` is small by construction, and counted before it is broadcast.
     """
+    hot = broadcast_if_small(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     spread = (
         left.join(hot, key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions import names as N
+from ..functions import names as N, sql
 from ..functions.text import collapse_ws
 from ..operators import ratings, resolve
 from ..session import materialize
@@ -226,3 +226,15 @@ def last_write(spark, sf):
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("company_key"),
         F.col("value").alias("numeric"), "event_id")
     return ratings.last_write(changes, "event_id")
+
+
+@query("q_sql_functions", O.with_(C, f"""SELECT c_custkey, {O.ckey('employer')} AS key, {O.slug('employer')} AS slug, {O.norm('employer')} AS norm,
+ {O.sim(O.norm('label'), O.norm('employer'))} AS similarity, concat('url:https://a.example/', c_custkey) AS dedup FROM customers"""))
+def sql_functions(spark, sf):
+    """The same functions called from SQL text."""
+    sql.register(spark)
+    rows = employers(spark, sf).withColumn("label", X.customer_label(F.regexp_replace("company", "(Customer [0-9]+).*", "$1")))
+    return rows.selectExpr(
+        "c_custkey", "company_key(company) AS key", "slugify(company) AS slug", "normalize_name(company) AS norm",
+        "name_similarity(label, company) AS similarity",
+        "dedup_key(concat('HTTPS://A.example/', c_custkey, '/?q=1'), '', '', company, '') AS dedup")

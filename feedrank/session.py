@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings the plans are designed for; all can be set on a live session.
 SETTINGS = {
@@ -64,3 +65,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+SMALL_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting the rows; otherwise a shuffled join.
+
+    For narrow frames (keys and numbers) whose other side is wide: without the
+    hint the wide side would be shuffled before the small one is measured.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CAPTURE
+from ..session import broadcast_if_small
 
 _ORDINAL_STEP = 2**32
 
@@ -41,10 +42,10 @@ def read_bodies(
 
 
 def with_request(captures: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Add row_limit and the request location. The manifest is a fixed short list."""
+    """Add row_limit and the request location from the manifest of the run."""
     request = manifest.select("source", "query_ordinal", "row_limit", F.col("base_location").alias("_place"))
     return (
-        captures.join(F.broadcast(request), ["source", "query_ordinal"], "left")
+        captures.join(broadcast_if_small(request), ["source", "query_ordinal"], "left")
         .withColumn("base_location", F.coalesce("base_location", "_place"))
         .drop("_place")
     )
