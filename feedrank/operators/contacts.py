@@ -156,7 +156,7 @@ def recommendation(level: Column) -> Column:
 
 
 RETRIEVAL_WORDS = ("rag", "semantic")  # fixed values: words in project names
-PIPELINE_WORDS = ("aggregator", "autonomous")
+AGGREGATOR_WORDS = ("aggregator", "autonomous")
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def profile_facts(profile: DataFrame) -> ProfileFacts | None:
 
     row = profile.select(
         has_project(RETRIEVAL_WORDS).alias("a"),
-        has_project(PIPELINE_WORDS).alias("b"),
+        has_project(AGGREGATOR_WORDS).alias("b"),
         F.coalesce(F.array_contains("skills", "Python") & F.array_contains("skills", "PyTorch"), F.lit(False)).alias("c"),
     ).first()
     return None if row is None else ProfileFacts(row.a, row.b, row.c)

@@ -134,16 +134,19 @@ def best_candidates(
     )
     holds_all = contains_tokens(name_tokens(F.col("_norm")), F.col("_words"))
 
+    # At most (words of all candidates) / hot_rows rows. Sent to every task, so
+    # that rows of hot words are never shuffled by their word.
+    hot_words = F.broadcast(frequency.filter(F.col("_rows") > hot_rows).select("_word"))
+
     exact = names.join(near, F.col("_norm") == F.col("_cand")).select(
         "_norm", candidate_id, F.lit(1.0).alias("similarity")
     )
     cold = (
         rarest.filter(F.col("_rows") <= hot_rows)
-        .join(words, "_word")
+        .join(words.join(hot_words, "_word", "left_anti"), "_word")
         .filter(holds_all)
         .select("_norm", candidate_id, F.lit(0.85).alias("similarity"))
     )
-    hot_words = frequency.filter(F.col("_rows") > hot_rows).select("_word")
     hot_sets = first_k(
         words.join(hot_words, "_word")
         .groupBy(candidate_id)
