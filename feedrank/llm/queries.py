@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, sp_codec, token_binary
 
 QUERIES = {
     "op3_sharding": (sharding.op3_sharding, None),
+    "op4_sentencepiece": (sp_codec.op4_sentencepiece, None),
+    "op6_token_binary": (token_binary.op6_token_binary, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     "op10_mixing": (mixing.op10_mixing, None),
 }
