@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, sp_codec, token_binary
+from . import exact_dedup, mixing, quality_rules, sharding, sp_codec, token_binary
 
 QUERIES = {
+    "op1_quality_rules": (quality_rules.op1_quality_rules, None),
     "op3_sharding": (sharding.op3_sharding, None),
     "op4_sentencepiece": (sp_codec.op4_sentencepiece, None),
     "op6_token_binary": (token_binary.op6_token_binary, None),
