@@ -56,3 +56,26 @@ class Cache:
             else:
                 young.update(found)
         return values
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (integer) keys, over the borders of batches. Rows must come sorted by key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [np.asarray(batch.column(batch.schema.get_field_index(k))) for k in keys]
+        change = np.zeros(len(batch), bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(int(c[start]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
