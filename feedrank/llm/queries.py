@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, quality_rules, sharding, sp_codec, token_binary
+from . import exact_dedup, jaccard_join, mixing, quality_rules, sharding, sp_codec, suffix_dedup, token_binary
 
 QUERIES = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sentencepiece": (sp_codec.op4_sentencepiece, None),
     "op6_token_binary": (token_binary.op6_token_binary, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
+    "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, None),
     "op9_jaccard_join": (jaccard_join.op9_jaccard_join, None),
     "op10_mixing": (mixing.op10_mixing, None),
 }
