@@ -37,19 +37,19 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 class Cache:
     """Chunk -> value, for the most recent ``size`` to 2 * ``size`` chunks."""
 
-    def __init__(self, make: Callable[[list], list], size: int) -> None:
+    def __init__(self, make: Callable[[list], list] | None, size: int) -> None:
         self.make, self.size, self.young, self.old = make, size, {}, {}
 
-    def get(self, chunks: list) -> list:
+    def get(self, chunks: list, make: Callable[[list], list] | None = None) -> list:
         """Values of the chunks; those that are in no generation are made together."""
-        young = self.young
+        young, make = self.young, make or self.make
         values = [young.get(c) for c in chunks]
         if None in values:
             missing = dict.fromkeys(c for c, v in zip(chunks, values) if v is None)
             old = self.old
             found = {c: old[c] for c in missing if c in old}
             new = [c for c in missing if c not in found]
-            found.update(zip(new, self.make(new)))
+            found.update(zip(new, make(new)))
             values = [found[c] if v is None else v for c, v in zip(chunks, values)]
             if len(young) + len(found) > self.size:
                 self.old, self.young = young, found

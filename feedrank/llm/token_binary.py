@@ -19,6 +19,7 @@ import os
 import re
 import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,15 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from . import common as C
-from .arrow import Cache, slices
+from . import hashing as H
+from .arrow import SLICE_BYTES, Cache, slices
 
 MODEL = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 256
 FILE_IDS = 1 << 21
 MAGIC = 0x4C42_3853_4E4B_4F54
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 500_000
 #: Fixed values of the format: selector -> (ids in a word, bits of an id).
 SELECTORS = (
     (1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
@@ -60,12 +62,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.zeros((blocks, BLOCK), np.uint8)
     wide = np.zeros((blocks, BLOCK + 61), np.int16)
     top = int(values.max())
+    narrow = grid.astype(np.uint16) if top < 1 << 16 else grid
     for selector in range(len(SELECTORS) - 1, 0, -1):
         count, bits = SELECTORS[selector]
         if top >> bits == 0:
             best[:] = selector
             continue
-        np.cumsum(grid >> np.uint64(bits) != 0, axis=1, out=wide[:, 1:])
+        np.cumsum(narrow >= 1 << bits, axis=1, dtype=np.int16, out=wide[:, 1:])
         np.copyto(best, selector, where=wide[:, count : count + BLOCK] == wide[:, :BLOCK])
     length = np.full(blocks, BLOCK)
     length[-1] = n - BLOCK * (blocks - 1)
@@ -170,18 +173,24 @@ def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(named.tolist(), known)], lengths, unpack(coded, firsts, n)
 
 
-#: Characters that are their own normal form and whose lower case is plain; the tokenizer's pattern on them.
-_PLAIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
-_SPLIT = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^0-9a-z\u00DF-\u00F6\u00F8-\u00FF]+"
-).findall
+#: Words whose lower case is plain, and that the tokenizer keeps in one piece.
+_PLAIN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+").fullmatch
+
+
+def _printable_bytes() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 signs stand for themselves, other bytes for the signs from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
 class WordEncoder:
     """Ids of texts by the tokenizers library, kept for the chunks between white space seen lately.
 
     No part of the tokenizer looks across ASCII white space: its pattern drops
-    it, normal forms do not compose over it, and no special token holds any.
+    it, normal forms do not compose over it, and no special token holds any. To
+    meet the same chunk more often, ASCII letters are lowered and a stop or
+    comma after a letter or digit is set apart first, where that is safe.
     """
 
     def __init__(self, path: str) -> None:
@@ -189,29 +198,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Cache(self._make, CACHED_CHUNKS)
-        self.parts = Cache(self._whole, CACHED_CHUNKS)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, np.uint32).tobytes() for c in coded]
+        self.model = self.tokenizer.model
+        self.alphabet = _printable_bytes()
+        self.cache = Cache(None, CACHED_CHUNKS)
 
     def _make(self, chunks: list[bytes]) -> list[bytes]:
-        """Chunks of plain letters, digits and signs share the ids of their parts; others go to the library whole."""
         texts = [c.decode() for c in chunks]
-        parts = [_SPLIT(t.lower()) if _PLAIN(t) and "<|" not in t else None for t in texts]
-        values = iter(self.parts.get([p for own in parts if own is not None for p in own]))
-        whole = iter(self._whole([t for t, own in zip(texts, parts) if own is None]))
-        return [next(whole) if own is None else b"".join([next(values) for _ in own]) for own in parts]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        values = self.cache.get([c for chunks in cut for c in chunks])
-        out, at = [], 0
-        for chunks in cut:
-            out.append(b"".join(values[at : at + len(chunks)]))
-            at += len(chunks)
-        return out
+        alphabet, tokenize = self.alphabet, self.model.tokenize
+        coded: list = [
+            [t.id for t in tokenize(c.decode() if t.isascii() else "".join([alphabet[b] for b in c]))] if _PLAIN(t) else None
+            for c, t in zip(chunks, texts)
+        ]
+        others = [i for i, ids in enumerate(coded) if ids is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)):
+            coded[i] = e.ids
+        blob, at, made = np.fromiter(chain.from_iterable(coded), np.uint32).tobytes(), 0, []
+        for ids in coded:
+            end = at + 4 * len(ids)
+            made.append(blob[at:end])
+            at = end
+        return made
+
+    def _joined(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that may be lowered: their chunks are found, hashed and looked up together."""
+        if not texts:
+            return []
+        low = b" ".join([b"", *texts, b""]).lower()
+        data = np.frombuffer(low, np.uint8)
+        solid = (data != 32) & ((data < 9) | (data > 13))
+        before, lead = data[1:-1], data[:-2]
+        letter = ((before >= 97) & (before <= 122)) | ((before >= 48) & (before <= 57))
+        letter |= (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        stop = np.zeros(len(data), bool)
+        stop[2:] = letter & ((data[2:] == 44) | (data[2:] == 46))
+        stop[:-1] &= ~solid[1:]
+        starts = np.flatnonzero(solid[1:] & (~solid[:-1] | stop[1:])) + 1
+        ends = np.flatnonzero(solid[:-1] & (~solid[1:] | stop[1:])) + 1
+        hashes = H.spans(H.prefix_sums(data), starts, ends)
+        distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        spot = dict(zip(distinct.tolist(), at.tolist()))
+        values = self.cache.get(
+            distinct.tolist(), lambda new: self._make([low[starts[k] : ends[k]] for k in map(spot.__getitem__, new)])
+        )
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        blob, firsts = np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes
+        counts = sizes[place]
+        reach = np.cumsum(counts)
+        ids = blob[np.arange(reach[-1] if len(reach) else 0) + np.repeat(firsts[place] - (reach - counts), counts)]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        chunk = np.searchsorted(starts, np.concatenate([np.ones(1, np.int64), 1 + np.cumsum(lengths)]))
+        cut = np.concatenate([np.zeros(1, np.int64), reach])[chunk]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Chunks are named by 64-bit hashes of their bytes."""
+        # A special token's letters have a case; marks may compose with capitals. Such texts go to the library.
+        safe = [not (b"<|" in t or b"\xcc" in t or b"\xcd" in t) for t in texts]
+        plain = iter(self._joined([t for t, ok in zip(texts, safe) if ok]))
+        others = [t.decode() for t, ok in zip(texts, safe) if not ok]
+        whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [next(plain) if ok else np.array(next(whole).ids, np.uint32) for ok in safe]
 
 
 @lru_cache(maxsize=4)
@@ -241,15 +287,15 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
         target, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         target.create_dir(base, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], np.uint32)
         names: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush():
             nonlocal seq, names, held, size
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            ids = np.frombuffer(b"".join(held), np.uint32)
+            lengths = np.array([len(x) + 1 for x in held], np.int64)
+            ids = np.concatenate([x for own in held for x in (own, end)])
             name = f"tokens-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.s8b"
             with target.open_output_stream(f"{base}/{name}") as out:
                 out.write(file_bytes(names, lengths, ids))
@@ -259,11 +305,11 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             seq, names, held, size = seq + 1, [], [], 0
             return row
 
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", 2 * SLICE_BYTES):
             for doc_id, coded in zip(batch.column(0).to_pylist(), own.encode(texts)):
                 names.append(doc_id)
-                held.append(coded + end)
-                size += len(coded) // 4 + 1
+                held.append(coded)
+                size += len(coded) + 1
                 if size >= FILE_IDS:
                     yield flush()
         if names:
