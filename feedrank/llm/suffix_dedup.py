@@ -5,7 +5,8 @@ not told apart. Offsets first fall into q-gram buckets: the bucket of an offset
 is the least q-gram hash in its string of LENGTH bytes, so equal strings share a
 bucket, and neighbouring offsets share it too and travel as one run. A bucket
 with one run is done: nothing else starts there. The others are refined by the
-identifiers of their runs, then of blocks of offsets, then of single offsets.
+identifiers of their runs, then blocks of offsets whose common bytes occur twice
+by those of the blocks, then single offsets by their own.
 An identifier of 2d bytes is made from those of d bytes at an offset and d
 later, from 25 up to 200 bytes, and reused for the next; an identifier that
 occurs once is done at every step. Rows are runs, blocks or offsets that are
@@ -87,17 +88,19 @@ def _runs(batches):
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [_key(batch, "doc").take(at), _key(batch, "check").take(at), *map(pa.array, values)],
-                ["doc", "check", "bucket", "run", "start", "count", "periodic"],
+                ["doc", "check", "bucket", "run", "start", "count", "flat"],
             )
 
 
-def identifiers(data: np.ndarray) -> np.ndarray:
-    """Identifiers of all strings of LENGTH bytes, by doubling."""
-    ids, depth = H.windows(H.prefix_sums(data), _BASE), _BASE
+def identifiers(data: np.ndarray) -> dict[int, np.ndarray]:
+    """Identifiers of all strings of 25, 50, 100 and 200 bytes; each depth is made from the one before."""
+    depth = _BASE
+    out = {depth: H.windows(H.prefix_sums(data), depth)}
     while depth < LENGTH:
-        ids = H.mix(ids[:-depth] * H._WEIGHTS[0] + ids[depth:] * H._WEIGHTS[1])
+        ids = out[depth]
+        out[2 * depth] = H.mix(ids[:-depth] * H._WEIGHTS[0] + ids[depth:] * H._WEIGHTS[1])
         depth *= 2
-    return ids
+    return out
 
 
 def _cut_runs(batches):
@@ -107,63 +110,87 @@ def _cut_runs(batches):
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         names = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        out: dict[str, list] = {n: [] for n in ("doc", "check", "bucket", "start", "count", "flat", "witness", "place", "bytes")}
+        rows, spans = [], []
         for doc, check, packed, open_runs in zip(names["doc"], names["check"], names["packed"], names["runs"]):
             text = unpack.decompress(packed)
             for r in open_runs:
-                own = text[r["start"] : r["start"] + r["count"] - 1 + LENGTH]
-                place = 0
-                if not r["flat"]:
-                    grams = H.windows(H.prefix_sums(np.frombuffer(own, np.uint8)), GRAM).view(np.int64)
-                    place = int(np.argmax(grams == r["bucket"]))
-                row = (doc, check, r["bucket"], r["start"], r["count"], r["flat"], r["witness"], place, own)
-                for n, v in zip(out, row):
-                    out[n].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=_OPEN)
-
-
-_OPEN = pa.schema(
-    [(n, pa.int64()) for n in ("doc", "check", "bucket", "start", "count")]
-    + [("flat", pa.bool_()), ("witness", pa.bool_()), ("place", pa.int64()), ("bytes", pa.binary())]
+                rows.append({"doc": doc, "check": check, **r})
+                spans.append(text[r["start"] : r["start"] + r["count"] - 1 + LENGTH])
+        if rows:
+            table = pa.RecordBatch.from_pylist(rows, schema=_RUN)
+            sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+            base = np.cumsum(sizes) - sizes
+            grams = H.windows(H.prefix_sums(np.frombuffer(b"".join(spans), np.uint8)), GRAM).view(np.int64)
+            hits = np.flatnonzero(grams == np.repeat(table.column("bucket").to_numpy(), sizes)[: len(grams)])
+            place = hits[np.searchsorted(hits, base)] - base
+            yield pa.RecordBatch.from_arrays(
+                [*table.columns, pa.array(place), pa.array(spans, pa.binary())], [*table.schema.names, "place", "bytes"]
+            )
+
+
+_RUN = pa.schema(
+    [(n, pa.int64()) for n in ("doc", "check", "bucket", "start", "count")] + [("flat", pa.bool_())]
 )
 
 
+def _buffer(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All spans in one array of bytes, and where each begins."""
+    parts = spans.to_pylist()
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes
+
+
 def _block_rows(batches):
-    """Blocks of BLOCK offsets, counted back from the q-gram's place: their identifiers cover all their strings."""
+    """Blocks of BLOCK offsets, counted back from the q-gram's place.
+
+    A block's core is the bytes that all strings from its offsets share; its
+    identifier covers all their bytes.
+    """
     for batch in batches:
-        ids, columns = [], {n: [] for n in ("row", "side", "first", "number")}
-        rows, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        places, spans, buckets = batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_numpy()
-        for row, count, place, own, bucket in zip(rows, counts, places, spans, buckets.view(np.uint64)):
-            whole = identifiers(np.frombuffer(own, np.uint8))
-            back = (place - np.arange(count)) // BLOCK
-            first = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
-            last = np.append(first[1:], count) - 1
-            side = H.mix(bucket + back[first].astype(np.uint64) * H._WEIGHTS[2])
-            ids.append(H.mix(whole[first] * H._WEIGHTS[3] + whole[last] * H._WEIGHTS[4] + side + (last - first).astype(np.uint64)))
-            for n, v in (("row", np.full(len(first), row)), ("side", side.view(np.int64)), ("first", first), ("number", last - first + 1)):
-                columns[n].append(v)
-        if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids).view(np.int64)), *[pa.array(np.concatenate(v).astype(np.int64)) for v in columns.values()]],
-                ["id", *columns],
-            )
+        row, count, place, _, bucket = (batch.column(i) for i in range(5))
+        row, count, place = row.to_numpy(), count.to_numpy(), place.to_numpy()
+        bucket = bucket.to_numpy().view(np.uint64)
+        data, base = _buffer(batch.column(3))
+        ids = identifiers(data)
+        owner = np.repeat(np.arange(len(row)), count)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        back = (place[owner] - offset) // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (back[1:] != back[:-1]) | (owner[1:] != owner[:-1])]))
+        number = np.diff(np.append(first, len(owner)))
+        owner, back, start = owner[first], back[first], offset[first]
+        side = H.mix(bucket[owner] + back.astype(np.uint64) * H._WEIGHTS[2])
+        core = base[owner] + place[owner] - BLOCK * back
+        half, later = ids[LENGTH // 2], LENGTH // 2 - BLOCK + 1
+        core = H.mix(half[core] * H._WEIGHTS[3] + half[core + later] * H._WEIGHTS[4] + side)
+        at, whole = base[owner] + start, ids[LENGTH]
+        cover = H.mix(whole[at] * H._WEIGHTS[3] + whole[at + number - 1] * H._WEIGHTS[4] + number.astype(np.uint64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(core.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(row[owner]), pa.array(start), pa.array(number)],
+            ["bucket", "run", "row", "start", "count"],
+        )
 
 
 def _offset_rows(batches):
     """Single offsets of the blocks that are open still."""
     for batch in batches:
-        ids, rows, offsets = [], [], []
-        for row, own, pieces in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            whole = identifiers(np.frombuffer(own, np.uint8))
+        data, base = _buffer(batch.column(1))
+        whole = identifiers(data)[LENGTH]
+        rows, offsets, at = [], [], []
+        for k, pieces in enumerate(batch.column(2).to_pylist()):
             for p in pieces:
-                at = np.arange(p["first"], p["first"] + p["number"])
-                ids.append(whole[at].view(np.int64))
-                offsets.append(at)
-                rows.append(np.full(len(at), row))
-        if ids:
+                own = np.arange(p["start"], p["start"] + p["count"])
+                offsets.append(own)
+                at.append(own + base[k])
+                rows.append(k)
+        if rows:
+            sizes = [len(o) for o in offsets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, rows, offsets)], ["id", "row", "offset"]
+                [
+                    pa.array(whole[np.concatenate(at)].view(np.int64)),
+                    pa.array(np.repeat(batch.column(0).to_numpy()[rows], sizes)),
+                    pa.array(np.concatenate(offsets)),
+                ],
+                ["id", "row", "start"],
             )
 
 
@@ -214,32 +241,32 @@ def _cut(batches):
                 start, kept, firsts, ends, sizes, held = i + 1, [], [], [], [], 0
 
 
-def _open_runs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(intervals of runs that occur twice or more, runs that are open still with their witnesses)."""
+def refine(found: DataFrame, place: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Refine buckets by the identifiers of their runs.
+
+    ``found`` has bucket, run, start, count, flat and the columns ``place`` that
+    say where a run stands. A bucket of one run is done. Runs that occur twice
+    or more are returned first: all their offsets start repeated strings. Second
+    come the runs that are open still, where the bucket has some: those that
+    occur once, and the first of each that repeats, since open runs may share
+    offsets with it. Flat buckets may hide repeats inside one run and stay open.
+    """
+    spot = [*place, "start", "count"]
     buckets = (
         found.groupBy("bucket")
         .agg(
             F.count(F.lit(1)).alias("n"), F.min("run").alias("least"), F.max("run").alias("most"),
-            F.max("periodic").alias("flat"),
+            F.max("flat").alias("_flat"),
         )
-        .filter("n > 1 or flat")
+        .filter("n > 1 or _flat")
     )
-    shared = materialize(found.join(buckets, "bucket"), "suffix-shared")
+    shared = materialize(found.drop("flat").join(buckets, "bucket").withColumnRenamed("_flat", "flat"), f"{label}-shared")
     mixed = shared.filter("least != most or flat")
-    same = mixed.groupBy("bucket", "run").agg(
-        F.count(F.lit(1)).alias("same"), F.min(F.struct(*_DOCUMENT, "start")).alias("first")
-    )
+    same = mixed.groupBy("bucket", "run").agg(F.count(F.lit(1)).alias("same"), F.min(F.struct(*spot)).alias("first"))
     told = mixed.join(same, ["bucket", "run"])
-    end = (F.col("start") + F.col("count") - 1 + LENGTH).alias("end")
-    done = shared.filter("least = most and not flat").select(*_DOCUMENT, "start", end).unionByName(
-        told.filter("same > 1").select(*_DOCUMENT, "start", end)
-    )
-    witness = F.col("same") > 1
-    left = told.filter(~witness | (F.col("first") == F.struct(*_DOCUMENT, "start"))).select(
-        *_DOCUMENT, F.struct("bucket", "start", "count", "flat", witness.alias("witness")).alias("r")
-    )
-    # Repeated rows of one document give the same run twice; it is looked at once.
-    return done, left.distinct()
+    done = shared.filter("least = most and not flat").select(*spot).unionByName(told.filter("same > 1").select(*spot))
+    left = told.filter((F.col("same") == 1) | (F.col("first") == F.struct(*spot)))
+    return done, left.select("bucket", "flat", *spot).distinct()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -256,54 +283,48 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("doc_id", check).alias("doc"), check.alias("check"), text.alias("text")
     )
     found = materialize(
-        named.mapInArrow(
-            _runs, "doc long, check long, bucket long, run long, start long, count long, periodic boolean"
-        ),
+        named.mapInArrow(_runs, "doc long, check long, bucket long, run long, start long, count long, flat boolean"),
         "suffix-runs",
     )
-    done, left = _open_runs(found)
+    done, left = refine(found, _DOCUMENT, "suffix-runs")
     packed = named.mapInArrow(_pack, "doc_id long, doc long, check long, packed binary")
-    asked = left.groupBy(*_DOCUMENT).agg(F.collect_list("r").alias("runs"))  # runs of one text
+    asked = left.groupBy(*_DOCUMENT).agg(  # the runs of one text
+        F.collect_list(F.struct("bucket", "start", "count", "flat")).alias("runs")
+    )
     open_runs = materialize(
         packed.join(asked, _DOCUMENT)
         .select(*_DOCUMENT, "packed", "runs")
         .mapInArrow(
-            _cut_runs,
-            "doc long, check long, bucket long, start long, count long, flat boolean, witness boolean, place long, bytes binary",
+            _cut_runs, "doc long, check long, bucket long, start long, count long, flat boolean, place long, bytes binary"
         )
         .withColumn("row", F.monotonically_increasing_id()),
         "suffix-open",
     )
     blocks = materialize(
         open_runs.filter("not flat").select("row", "count", "place", "bytes", "bucket").mapInArrow(
-            _block_rows, "id long, row long, side long, first long, number long"
+            _block_rows, "bucket long, run long, row long, start long, count long"
         ),
         "suffix-blocks",
     )
-    counts = blocks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first")).alias("one"))
-    told = materialize(blocks.join(counts, "id"), "suffix-told")
-    alone = told.filter("n = 1")
-    # A block that occurs once may share offsets with another block at the same side of its bucket.
-    sides = alone.groupBy("side").agg(F.count(F.lit(1)).alias("_n"))
-    open_blocks = told.filter(F.col("one") == F.struct("row", "first")).join(sides, "side", "left_semi")
-    pieces = open_blocks.select("row", F.struct("first", "number").alias("p")).unionByName(
-        open_runs.filter("flat").select("row", F.struct(F.lit(0).cast("long").alias("first"), F.col("count").alias("number")).alias("p"))
+    done_blocks, open_blocks = refine(blocks.withColumn("flat", F.lit(False)), ["row"], "suffix-blocks")
+    pieces = open_blocks.select("row", "start", "count").unionByName(
+        open_runs.filter("flat").select("row", F.lit(0).cast("long").alias("start"), "count")
     )
     offsets = materialize(
         open_runs.select("row", "bytes")
-        .join(pieces.groupBy("row").agg(F.collect_list("p").alias("pieces")), "row")
-        .mapInArrow(_offset_rows, "id long, row long, offset long"),
+        .join(pieces.groupBy("row").agg(F.collect_list(F.struct("start", "count")).alias("pieces")), "row")
+        .mapInArrow(_offset_rows, "id long, row long, start long"),
         "suffix-offsets",
     )
     twice = offsets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    spots = offsets.join(twice, "id").select("row", F.col("offset").alias("first"), F.col("offset").alias("last"))
-    spots = spots.unionByName(told.filter("n > 1").select("row", "first", (F.col("first") + F.col("number") - 1).alias("last")))
+    spots = offsets.join(twice, "id").select("row", "start", F.lit(1).cast("long").alias("count"))
     at = open_runs.select("row", *_DOCUMENT, F.col("start").alias("base"))
-    refined = spots.join(at, "row").select(
-        *_DOCUMENT, (F.col("base") + F.col("first")).alias("start"), (F.col("base") + F.col("last") + LENGTH).alias("end")
+    refined = done_blocks.unionByName(spots).join(at, "row").select(
+        *_DOCUMENT, (F.col("base") + F.col("start")).alias("start"), "count"
     )
+    end = (F.col("start") + F.col("count") - 1 + LENGTH).alias("end")
     intervals = done.unionByName(refined).groupBy(*_DOCUMENT).agg(
-        F.collect_list(F.struct("start", "end")).alias("found")  # of one text
+        F.collect_list(F.struct("start", end)).alias("found")  # of one text
     )
     return packed.join(intervals, _DOCUMENT, "left").select("doc_id", "packed", "found").mapInArrow(
         _cut, "doc_id long, n_bytes long, removed_from array<long>, removed_to array<long>, kept binary"
