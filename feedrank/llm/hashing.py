@@ -16,7 +16,7 @@ _inverses = np.ones(1, np.uint64)
 def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
+        size = -(-n // (1 << 20)) << 20
         _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE)]), dtype=np.uint64)
         _inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _INVERSE)]), dtype=np.uint64)
     return _powers, _inverses

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from ..session import materialize, scratch_path
 from . import common as C
 from . import hashing as H
-from .arrow import SLICE_BYTES, Cache, slices
+from .arrow import Cache, slices
 
 MODEL = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 256
 FILE_IDS = 1 << 21
 MAGIC = 0x4C42_3853_4E4B_4F54
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 300_000
 #: Fixed values of the format: selector -> (ids in a word, bits of an id).
 SELECTORS = (
     (1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7),
@@ -305,7 +305,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             seq, names, held, size = seq + 1, [], [], 0
             return row
 
-        for batch, texts in slices(batches, "text", 2 * SLICE_BYTES):
+        for batch, texts in slices(batches, "text"):
             for doc_id, coded in zip(batch.column(0).to_pylist(), own.encode(texts)):
                 names.append(doc_id)
                 held.append(coded)
