@@ -57,3 +57,29 @@ def running_sum(
 def key_bucket(key: Column, bits: int) -> Column:
     """The leading bits of a hash."""
     return F.shiftrightunsigned(key, 64 - bits)
+
+
+def text_check() -> Column:
+    """A 64-bit hash of the text (null as empty); with the doc_id it names a row."""
+    return F.xxhash64(whole_text()).alias("check")
+
+
+def keep_rows(docs: DataFrame, wanted: DataFrame, times: str | None = None) -> DataFrame:
+    """The documents named by (doc_id, check) in ``wanted``, each once or ``times`` times, with their own columns.
+
+    Null ids meet null ids. Repeated rows of one name become one row first.
+    """
+    columns = docs.columns
+    # Two non-null keys, so that one shuffle of the texts serves the join and the removal of repeats.
+    name = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.xxhash64("doc_id", "check").alias("_row")]
+    named = docs.withColumn("check", text_check()).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), *name)
+    if times is None:
+        kept = named.join(wanted.select(*name).distinct(), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"])
+    else:
+        counted = wanted.select(*name, times).groupBy("_id", "_row").agg(F.sum(times).alias("_times"))
+        kept = (
+            named.join(counted.filter("_times > 0"), ["_id", "_row"])
+            .dropDuplicates(["_id", "_row"])
+            .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        )
+    return kept.select("_doc.*")

@@ -58,7 +58,7 @@ def build_directory(keys: DataFrame, bucket_bytes: int, most_bits: int = MOST_BI
 
 
 def find_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain, check.
 
     Equal texts form a group; its largest doc_id stays (a null id is below all
     others). Null texts are empty texts, and empty texts are copies of each
@@ -72,6 +72,7 @@ def find_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             F.xxhash64(text).alias("key"),
             F.sha2(text, 256).alias("text_sha256"),
             F.octet_length(text).cast("long").alias("bytes"),
+            C.text_check(),
         ),
         "dedup-entries",
     )
@@ -109,11 +110,12 @@ def find_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         "text_sha256",
         "bucket",
         "chain",
+        "check",
     )
 
 
 def op7_exact_dedup(spark, sf_dir):
-    return find_copies(C.table(spark, sf_dir, "documents")).drop("bucket", "chain")
+    return find_copies(C.table(spark, sf_dir, "documents")).drop("bucket", "chain", "check")
 
 
 OP7_SQL = """

@@ -82,17 +82,18 @@ def _sketch(batches, prefix: int):
                 pa.array(sizes, pa.int64()),
                 pa.array(labels, pa.binary()),
                 list_array(keys, pa.int64()),
+                batch.column(2),
             ],
-            ["doc_id", "high", "low", "size", "labels", "keys"],
+            ["doc_id", "high", "low", "size", "labels", "keys", "check"],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, the shingle set's 128-bit fingerprint (high, low) and size, labels, and a bucket key per tree."""
+    """doc_id, the shingle set's 128-bit fingerprint (high, low) and size, labels, a bucket key per tree, a text hash."""
     prefix = prefix_depth(THRESHOLD[0] / THRESHOLD[1])
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", C.text_check()).mapInArrow(
         lambda batches: _sketch(batches, prefix),
-        "doc_id long, high long, low long, size long, labels binary, keys array<long>",
+        "doc_id long, high long, low long, size long, labels binary, keys array<long>, check long",
     )
 
 
@@ -200,7 +201,7 @@ def _shingles(batches):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, n_copies.
+    """One row per row of ``docs``: doc_id, class_id, n_links, n_copies, check (a hash of the text).
 
     ``class_id`` is the least doc_id of all documents that links connect;
     ``n_links`` counts the other shingle sets at the threshold or above,
@@ -261,7 +262,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     verdicts = told.select(
         "high", "low", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"
     )
-    return drawn.select("doc_id", "high", "low").join(verdicts, ["high", "low"]).drop("high", "low")
+    return drawn.select("doc_id", "high", "low", "check").join(verdicts, ["high", "low"]).drop("high", "low")
+
+
+def survivors(found: DataFrame) -> DataFrame:
+    """(doc_id, check) of the document that stays of each class: the least id (null first), the least text hash."""
+    least = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "check")).alias("stays"))
+    return least.select("stays.doc_id", "stays.check")
 
 
 def _hashed(batches):
@@ -272,4 +279,4 @@ def _hashed(batches):
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return near_duplicates(C.table(spark, sf_dir, "documents"))
+    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("check")

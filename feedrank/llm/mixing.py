@@ -79,11 +79,11 @@ def _place(block: Column, blocks: Column, shift: Column) -> Column:
     return F.pmod(block * step + shift, blocks)
 
 
-def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS, shards: int = SHARDS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, shard_taken.
+def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, check (a hash of the text).
 
     ``taken`` counts the document's words that lie in taken blocks, repeats
-    included; ``shard_taken`` splits it over the shards. A null source is the
+    included. A null source is the
     last source, a null text has no words; repeated rows are rows of their own,
     and equal ones are interchangeable. Blocks double in length while the table
     has more than 2**30 of them. An empty table gives no rows.
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS, shards: in
     text = C.whole_text()
     rows = materialize(
         docs.select(
-            "doc_id", "source", C.n_words(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_key")
+            "doc_id", "source", C.n_words(text).alias("size"), C.text_check(), F.xxhash64(F.lit(seed), "doc_id").alias("_key")
         ),
         "mix-rows",
     )
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS, shards: in
     seats = apportion(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), block)
     bits = C.bucket_bits(stats.n)
     placed = C.running_sum(
-        rows, F.col("size"), C.key_bucket(F.col("_key"), bits), ["_key", "doc_id", "size"], "_start", ["source"]
+        rows, F.col("size"), C.key_bucket(F.col("_key"), bits), ["_key", "doc_id", "size", "check"], "_start", ["source"]
     )
     keyed = seats.withColumn("_s", F.struct("source")).drop("source")
     joined = placed.join(keyed, F.struct(placed["source"]) == F.col("_s")).withColumn(
@@ -125,9 +125,21 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS, shards: in
             "taken",
             F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"] * d["times"]),
         )
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", "check")
     )
 
 
+def copies(mixed: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, check, times): whole documents in place of words.
+
+    A document stands as often as its taken words fill it, and a seeded draw of
+    the document decides about the rest, so sources keep their shares. Documents
+    without words stay once.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "check"), F.lit(1 << 20)) / (1 << 20)
+    whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + draw).cast("int")
+    return mixed.select("doc_id", "check", F.when(F.col("size") > 0, whole).otherwise(1).alias("times"))
+
+
 def op10_mixing(spark, sf_dir):
-    return mix(C.table(spark, sf_dir, "documents"))
+    return mix(C.table(spark, sf_dir, "documents")).drop("check")

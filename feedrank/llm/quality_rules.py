@@ -81,7 +81,7 @@ def _repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, and the rule statistics of every whole text (null as empty)."""
-    df = docs.select("doc_id", C.whole_text().alias("_text")).withColumn(
+    df = docs.select("doc_id", C.whole_text().alias("_text"), C.text_check()).withColumn(
         "_words", F.regexp_extract_all("_text", F.lit(C.WORD), F.lit(0))
     )
     df = _repeated_words(df, "_words", "n_repeat_words")
@@ -91,6 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     df = df.select(
         "doc_id",
+        "check",
         "n_words",
         _without(text, _BLANKS).cast("long").alias("word_chars"),
         (F.length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
@@ -104,7 +105,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     words = F.greatest(F.col("n_words"), F.lit(1))
     part, whole = MOST_REPEATED
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "check", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < LEAST_WORDS) | (whole * F.col("n_repeat_words") > part * F.col("n_words"))).alias("base_failed"),
         (F.col("n_symbols") / words).alias("symbols"),
         (F.col("word_chars") / words).alias("word_length"),
@@ -244,7 +245,7 @@ def learn(labelled: DataFrame, least_precision: float = LEAST_PRECISION) -> list
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: the base counts, base_failed, rule (0: none) and kept.
+    """One row per row of ``docs``: the base counts, base_failed, rule (0: none), kept, and a hash of the text.
 
     Labels with a null doc_id or another quality than 0 and 1 are ignored; of
     several labels of a document the lower counts. Null and empty texts have no
@@ -261,9 +262,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     number = verdict(rules)
     return rows.withColumn("rule", number.cast("int")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule",
+        (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule", "check",
     )
 
 
 def op1_quality_rules(spark, sf_dir):
-    return judge(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+    return judge(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")).drop("check")

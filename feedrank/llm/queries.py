@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_score, mixing, quality_rules, sharding, sp_codec, suffix_dedup, token_binary
+from . import exact_dedup, jaccard_join, lm_score, mixing, pii, quality_rules, sharding, sp_codec, suffix_dedup, token_binary
 
 QUERIES = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
     "op2_lm_scoring": (lm_score.op2_lm_scoring, None),
     "op3_sharding": (sharding.op3_sharding, None),
     "op4_sentencepiece": (sp_codec.op4_sentencepiece, None),
+    "op5_pii_surrogates": (pii.op5_pii_surrogates, None),
     "op6_token_binary": (token_binary.op6_token_binary, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.OP7_SQL),
     "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, None),
