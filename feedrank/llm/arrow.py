@@ -26,6 +26,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(start), [x or b"" for x in column.slice(start).to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One list per numpy array."""
     offsets = np.zeros(len(parts) + 1, np.int32)

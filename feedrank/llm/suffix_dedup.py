@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import common as C
 from . import hashing as H
-from .arrow import list_array, slices
+from .arrow import list_array, parts, slices
 
 LENGTH = 200
 GRAM = 32
 BLOCK = 16
+#: Rows that a task works on at once.
+ROWS = 1024
 _BASE = 25  # doubled to LENGTH
 _DOCUMENT = ["doc", "check"]
 
@@ -77,14 +79,14 @@ def _key(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def _runs(batches):
     for batch, texts in slices(batches, "text"):
-        parts: list[list] = [[] for _ in range(6)]
+        found: list[list] = [[] for _ in range(6)]
         for i, text in enumerate(texts):
             if len(text) >= LENGTH:
                 bucket, run, start, count, periodic = runs(np.frombuffer(text, np.uint8))
-                for part, values in zip(parts, (np.full(len(start), i), bucket.view(np.int64), run.view(np.int64), start.astype(np.int64), count.astype(np.int64), periodic)):
+                for part, values in zip(found, (np.full(len(start), i), bucket.view(np.int64), run.view(np.int64), start.astype(np.int64), count.astype(np.int64), periodic)):
                     part.append(values)
-        if parts[0]:
-            rows, *values = (np.concatenate(p) for p in parts)
+        if found[0]:
+            rows, *values = (np.concatenate(p) for p in found)
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [_key(batch, "doc").take(at), _key(batch, "check").take(at), *map(pa.array, values)],
@@ -108,7 +110,7 @@ def _cut_runs(batches):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         names = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
         rows, spans = [], []
         for doc, check, packed, open_runs in zip(names["doc"], names["check"], names["packed"], names["runs"]):
@@ -135,9 +137,9 @@ _RUN = pa.schema(
 
 def _buffer(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All spans in one array of bytes, and where each begins."""
-    parts = spans.to_pylist()
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes
+    own = spans.to_pylist()
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    return np.frombuffer(b"".join(own), np.uint8), np.cumsum(sizes) - sizes
 
 
 def _block_rows(batches):
@@ -146,7 +148,7 @@ def _block_rows(batches):
     A block's core is the bytes that all strings from its offsets share; its
     identifier covers all their bytes.
     """
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         row, count, place, _, bucket = (batch.column(i) for i in range(5))
         row, count, place = row.to_numpy(), count.to_numpy(), place.to_numpy()
         bucket = bucket.to_numpy().view(np.uint64)
@@ -172,7 +174,7 @@ def _block_rows(batches):
 
 def _offset_rows(batches):
     """Single offsets of the blocks that are open still."""
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         data, base = _buffer(batch.column(1))
         whole = identifiers(data)[LENGTH]
         rows, offsets, at = [], [], []
@@ -209,7 +211,7 @@ def _cut(batches):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         names = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
         start = 0
         kept, firsts, ends, sizes, held = [], [], [], [], 0
