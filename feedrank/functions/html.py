@@ -98,9 +98,14 @@ def page_text(html: Column) -> Column:
 
 
 def raw_attr(tag: Column, name: str) -> Column:
-    """Attribute of an opening tag as written; null when absent."""
-    before = rf"""(?is)^<[a-z][^\s>/]*(?:[^>"']|"[^"]*"|'[^']*')*?\s{name}\s*=\s*"""
-    found = F.nullif(F.regexp_extract(tag, rf"""{before}("[^"]*"|'[^']*'|[^\s>"']+)""", 1), F.lit(""))
+    """Attribute of an opening tag as written; null when absent.
+
+    Everything before the name is taken in possessive runs, which the matcher
+    walks in a loop: a tag may be as long as it likes.
+    """
+    named = rf"{name}\s*+="
+    before = rf"""(?is)^<[a-z][^\s>/]*+(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s++(?!{named}))*+\s++{named}\s*+"""
+    found = F.nullif(F.regexp_extract(tag, rf"""{before}("[^"]*+"|'[^']*+'|[^\s>"']++)""", 1), F.lit(""))
     return F.regexp_replace(found, """^["']|["']$""", "")
 
 
@@ -157,10 +162,46 @@ def until_close(piece: Column, tag: str) -> Column:
     return F.regexp_extract(piece, rf"(?is)^(.*?)(?:</{tag}\s*>|$)", 1)
 
 
+def spans(html: Column, tag: str) -> Column:
+    """All elements of one tag, nested ones too, in order of their opening tags:
+    array of (start, end, open), with characters counted from 0. ``end`` is where the
+    closing tag begins; an unclosed element runs to the end."""
+    parts = F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
+    span = "struct<start:int,end:int,open:string>"
+    begin = F.struct(
+        F.lit(0).alias("at"),
+        F.array().cast("array<struct<start:int,open:string>>").alias("stack"),
+        F.array().cast(f"array<{span}>").alias("out"),
+    )
+
+    def closed(top: Column, end: Column) -> Column:
+        return F.struct(top["start"].alias("start"), end.alias("end"), top["open"].alias("open"))
+
+    def step(acc, part):
+        opens, closes = part.rlike(rf"(?i)^<{tag}[\s>/]"), part.rlike(rf"(?i)^</{tag}[\s>/]") & (F.size(acc["stack"]) > 0)
+        new = F.struct(acc["at"].alias("start"), F.regexp_extract(part, f"^({TAG})", 1).alias("open"))
+        return F.struct(
+            (acc["at"] + F.length(part)).alias("at"),
+            F.when(opens, F.concat(F.array(new), acc["stack"]))
+            .when(closes, F.slice(acc["stack"], F.lit(2), F.greatest(F.size(acc["stack"]) - 1, F.lit(0))))
+            .otherwise(acc["stack"]).alias("stack"),
+            F.when(closes, F.concat(acc["out"], F.array(closed(F.get(acc["stack"], 0), acc["at"]))))
+            .otherwise(acc["out"]).alias("out"),
+        )
+
+    rest = lambda acc: F.transform(acc["stack"], lambda s: closed(s, acc["at"]))
+    return F.sort_array(F.aggregate(parts, begin, step, lambda acc: F.concat(acc["out"], rest(acc))))
+
+
+def cut(html: Column, span: Column) -> Column:
+    """The text of a span."""
+    return F.substring(html, span["start"] + 1, span["end"] - span["start"])
+
+
 def balanced(piece: Column, tag: str) -> Column:
     """Cut at the closing tag that belongs to the opening tag at the start."""
     parts = F.split(piece, rf"(?i)(?=</?{tag}[\s>/])")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(False).alias("done"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
     def step(acc, part):
         depth = (
@@ -168,11 +209,12 @@ def balanced(piece: Column, tag: str) -> Column:
             + F.when(part.rlike(rf"(?i)^<{tag}[\s>/]"), F.lit(1)).otherwise(F.lit(0))
             - F.when(part.rlike(rf"(?i)^</{tag}[\s>/]"), F.lit(1)).otherwise(F.lit(0))
         )
-        done = acc["done"] | ((depth <= 0) & (acc["text"] != ""))
+        ends = (acc["end"] < 0) & (depth <= 0) & (acc["at"] > 0)
         return F.struct(
             depth.alias("depth"),
-            F.when(done, acc["text"]).otherwise(F.concat(acc["text"], part)).alias("text"),
-            done.alias("done"),
+            (acc["at"] + F.length(part)).alias("at"),
+            F.when(ends, acc["at"]).otherwise(acc["end"]).alias("end"),
         )
 
-    return F.aggregate(parts, start, step, lambda acc: acc["text"])
+    end = F.aggregate(parts, start, step, lambda acc: F.when(acc["end"] < 0, acc["at"]).otherwise(acc["end"]))
+    return F.substring(piece, F.lit(1), end)

@@ -313,11 +313,10 @@ def html_attr(spark, sf):
 
 
 @query("q_escape", f"""SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe,
- replace(replace(replace(substring(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS head FROM (SELECT page_id, url, replace(replace(html, '"', ''), '''', '') AS html FROM pages)""")
+ replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS page FROM pages""")
 def escape(spark, sf):
-    plain = F.translate("html", "\"'", "")
     return X.table(spark, sf, "pages").select(
-        "page_id", U.safe_url(F.col("url")).alias("safe"), T.html_escape(F.substring(plain, 1, 200)).alias("head"))
+        "page_id", U.safe_url(F.col("url")).alias("safe"), T.html_escape(F.col("html")).alias("page"))
 
 
 @query("q_pct_encode", O.with_([P], "SELECT job_id, url_encode(concat(title, '/', company)) AS encoded FROM postings"))

@@ -79,14 +79,15 @@ def location_of_text(text: Column) -> Column:
 
 
 def parse_linkedin(captures: DataFrame) -> DataFrame:
-    """Feed E: ``<li>`` cards with title and link; the rest is optional.
+    """Feed E: ``<li>`` cards with title and link; the rest is optional. A card may hold lists.
 
     Limit the result per request with ``limits.limit_by_manifest``: the limit
     counts kept cards over all pages.
     """
-    cards = F.transform(H.pieces(F.col("_html"), tag="li"), lambda c: H.until_close(c, "li"))
+    pages = _pages(captures, "LinkedIn").withColumn("_li", H.spans(F.col("_html"), "li"))
+    cards = F.transform("_li", lambda s: H.cut(F.col("_html"), s))
     card = F.col("card")
-    parts = _explode(_pages(captures, "LinkedIn"), cards).withColumns({
+    parts = _explode(pages, cards).drop("_li").withColumns({
         "_title": H.first_element(card, tag="h3", class_name="base-search-card__title"),
         "_company": H.first_element(card, tag="h4", class_name="base-search-card__subtitle"),
         "_place": H.first_element(card, tag="span", class_name="job-search-card__location"),
@@ -110,38 +111,60 @@ def parse_linkedin(captures: DataFrame) -> DataFrame:
     })
 
 
-def _listing_blocks(html: Column) -> Column:
-    """Blocks around offers: the first kind of block that the page has."""
-    kinds = (
-        ("div", {"class_name": "details"}),
-        ("div", {"class_name": "content"}),
-        ("article", {}),
-        ("li", {}),
-        ("div", {}),
-    )
-    out = None
-    for tag, what in kinds:
-        blocks = F.transform(
-            H.pieces(html, tag=tag, **what),
-            (lambda t: lambda c: H.balanced(c, t) if t == "div" else H.until_close(c, t))(tag))
-        has = html.rlike(f"(?is){H.open_tag_pattern(tag=tag, **what)}")
-        out = F.when(has, blocks) if out is None else out.when(has, blocks)
-    return out.otherwise(F.array(html))
+#: Kinds of blocks around an offer, by preference: (tag, class).
+_BLOCKS = (("div", "details"), ("div", "content"), ("article", None), ("li", None), ("div", None))
+
+
+def _around(at: Column) -> Column:
+    """The nearest enclosing block of the first kind that encloses the place; null for none."""
+    found = []
+    for tag, name in _BLOCKS:
+        holds = lambda s: (s["start"] < at) & (at < s["end"])
+        own = F.filter(f"_{tag}", holds)
+        if name:
+            pattern = f"(?is)^{H.open_tag_pattern(tag=tag, class_name=name)}"
+            own = _opened(own, pattern)
+        found.append(F.try_element_at(own, F.lit(-1)))  # spans are in order of their starts
+    return F.coalesce(*found)
+
+
+def _opened(blocks: Column, pattern: str) -> Column:
+    return F.filter(blocks, lambda s: s["open"].rlike(pattern))
 
 
 def parse_itjobs(captures: DataFrame) -> DataFrame:
-    """Feed F: offer links in listing blocks; one row per offer id and request."""
+    """Feed F: the offer links of a page; one row per offer id and request.
+
+    A link stands for an offer wherever it is; the block around it only fills
+    the other fields.
+    """
     pages = _pages(captures, "ITJobs.pt")
-    titled = H.open_tag_pattern(tag="a", class_name="title", having="href", value="[^\"'>]*/oferta/[^\"'>]*")
-    has_titled = F.col("_html").rlike(f"(?is){titled}")
-    blocks = _explode(
-        pages.withColumn("_titled", has_titled), _listing_blocks(F.col("_html"))
-    ).withColumnRenamed("_pos", "_block")
     offer = dict(having="href", value="[^\"'>]*/oferta/[^\"'>]*")
-    links = F.when(F.col("_titled"), H.all_elements(F.col("card"), "a", class_name="title", **offer)).otherwise(
-        H.all_elements(F.col("card"), "a", **offer))
-    rows = blocks.select("*", F.posexplode(links).alias("_in_block", "link")).withColumn(
-        "_pos", F.col("_block").cast("bigint") * 65_536 + F.col("_in_block"))
+    titled = H.open_tag_pattern(tag="a", class_name="title", **offer)
+    plain = H.open_tag_pattern(tag="a", **offer)
+    parts = F.split("_html", r"(?i)(?=<a[\s>/])")
+    # Where each part of the page begins: running lengths of the parts before it.
+    starts = F.aggregate(
+        parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p)))
+    )
+    links = F.filter(
+        F.transform(parts, lambda p, i: F.struct(F.get(F.col("_starts"), i).alias("at"), H.until_close(p, "a").alias("link"))),
+        lambda x: F.when(F.col("_titled"), x["link"].rlike(f"(?is)^{titled}")).otherwise(x["link"].rlike(f"(?is)^{plain}")),
+    )
+    placed = (
+        pages.withColumn("_titled", F.col("_html").rlike(f"(?is){titled}"))
+        .withColumn("_starts", starts)
+        .withColumns({f"_{t}": H.spans(F.col("_html"), t) for t in ("div", "article", "li")})
+        .withColumn("_links", links)
+    )
+    keep = [c for c in placed.columns if c not in ("_links", "_starts")]
+    rows = placed.select(*keep, F.posexplode("_links").alias("_pos", "_found")).withColumn("_at", F.col("_found.at"))
+    rows = (
+        rows.withColumn("_block", _around(F.col("_at")))
+        .withColumn("card", F.when(F.col("_block").isNotNull(), H.cut(F.col("_html"), F.col("_block"))).otherwise(F.lit("")))
+        .withColumn("link", F.concat("_found.link", F.lit("</a>")))
+        .drop("_html", "_div", "_article", "_li", "_found", "_block", "_at")
+    )
     href = F.coalesce(F.col("_texts")[0], F.lit(""))
     number = F.regexp_extract(F.col("_href"), r"^/*[^/]+/([0-9]+)(?:/|$)", 1)
     owner = H.first_element(F.col("card"), tag="a", having="href", value="[^\"'>]*/empresa/[^\"'>]*")

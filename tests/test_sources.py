@@ -119,3 +119,29 @@ def test_state_versions(spark, tmp_path):
     assert save_state(load_state(spark, root).unionByName(one), root) == 2
     (tmp_path / "state" / "v=3").mkdir()  # a job that died
     assert load_state(spark, root).count() == 2 and load_state(spark, root, before=2).count() == 1
+
+
+def test_offers_outside_the_blocks_and_in_any_kind_are_kept(spark):
+    pages = (
+        '<div class="details">side</div><ul><li><a href="/oferta/1/x">Junior A</a> Porto</li><li><a href="/oferta/2/x">Junior B</a> Braga</li></ul>',
+        '<div class="details"><a href="/oferta/3/x">Junior C</a> Porto</div><li><a href="/oferta/4/x">Junior D</a> Braga</li>',
+        '<li><div>x</div><a href="/oferta/5/x">Junior E</a> Braga</li>',
+    )
+    rows = H.parse_itjobs(cap(spark, "ITJobs.pt", *pages)).orderBy("item_ordinal").collect()
+    assert [(r.job_id, r.location) for r in rows] == [
+        ("1", "Porto, Portugal"), ("2", "Braga, Portugal"), ("3", "Porto, Portugal"), ("4", "Braga, Portugal"), ("5", "Braga, Portugal")]
+
+
+def test_card_with_an_inner_list_is_kept(spark):
+    page = ('<li><ul><li>tag</li><li>other</li></ul><h3 class="base-search-card__title">Role</h3>'
+            '<a class="base-card__full-link" href="https://x/a-1?t">x</a></li>')
+    assert [r.title for r in H.parse_linkedin(cap(spark, "LinkedIn", page)).collect()] == ["Role"]
+
+
+def test_very_long_tags_do_not_end_the_job(spark):
+    from feedrank.functions import html as M
+
+    tags = ("<a " + "x" * 1_000_000 + ' href="u1">', '<a d="' + "y" * 1_000_000 + '" ' + 'k="v" ' * 20_000 + "href=u2>",
+            '<a title="unclosed ' + "z" * 500_000, '<a title="x href=2" href="3">')
+    frame = spark.createDataFrame(list(enumerate(tags)), "i int, tag string")
+    assert [r[0] for r in frame.orderBy("i").select(M.raw_attr(F.col("tag"), "href")).collect()] == ["u1", "u2", None, "3"]
