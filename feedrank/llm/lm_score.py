@@ -38,13 +38,15 @@ CLASSES = 192
 PAD, START, END, FIRST = 0, 1, 2, 3
 SHARED = 40  # classes that subwords share
 ROUNDS = 2
-LEAST_STEPS = 200
+LEAST_STEPS = 400
 BATCH = 64
 #: Windows scored at once; their numbers stay in a core's cache.
 WINDOWS = 128
 RATE = 0.01
 #: A training document gives a window for every so many bytes, and one more.
-WINDOW_BYTES = 1024
+WINDOW_BYTES = 2048
+#: Words on either side of a window's place; more than a window needs.
+NEAR_WORDS = 10
 #: Counts of so many words go to every task; those of all others are joined.
 HOT_WORDS = 1 << 16
 CACHED_WORDS = 200_000
@@ -275,21 +277,29 @@ def _subword_rows(path: str | None):
 
 
 def _windows(texts: list[bytes], vocabulary: Vocabulary, pieces) -> np.ndarray:
-    """Windows of each text at seeded places: SPAN + 1 classes, -1 past the end of the text."""
-    rows = []
+    """Windows of each text at places that its hash names: SPAN + 1 classes, -1 past the end of the text."""
+    drawn = []
     for text in texts:
-        words = text.lower().split()
-        rng = np.random.default_rng(zlib.crc32(text))
-        for _ in range(1 + len(text) // WINDOW_BYTES):
-            at = int(rng.integers(0, len(words) + 1))
-            begin, end = max(0, at - STEP), min(len(words), at + STEP)
-            ids = [i for c in pieces.encode([w.decode() for w in words[begin:end]], num_threads=1) for i in c]
-            line = [*([PAD] * STEP + [START] if begin == 0 else []), *vocabulary.kind[ids].tolist()]
-            line += [END] if end == len(words) else []
-            line += [-1] * (SPAN + 1 - len(line))
-            k = int(rng.integers(0, len(line) - SPAN))
-            rows.append(line[k : k + SPAN + 1])
-    return np.array(rows, np.int64).reshape(-1, SPAN + 1)
+        words, seed = text.lower().split(), zlib.crc32(text)
+        for k in range(1 + len(text) // WINDOW_BYTES):
+            seed = (seed * 1_103_515_245 + 12_345 + k) & 0x7FFFFFFF
+            at = (seed >> 4) % (len(words) + 1)
+            begin, end = max(0, at - NEAR_WORDS), min(len(words), at + NEAR_WORDS)
+            drawn.append((words[begin:end], begin == 0, end == len(words), seed))
+    names = list({w for own, _, _, _ in drawn for w in own})
+    coded = pieces.encode([w.decode() for w in names], num_threads=1)
+    kinds = {w: vocabulary.kind[ids].tolist() for w, ids in zip(names, coded)}
+    rows = np.full((len(drawn), SPAN + 1), -1, np.int64)
+    for row, (own, first, last, seed) in zip(rows, drawn):
+        line = [PAD] * STEP + [START] if first else []
+        for w in own:
+            line += kinds[w]
+        if last:
+            line.append(END)
+        k = seed % max(1, len(line) - SPAN)
+        line = line[k : k + SPAN + 1]
+        row[: len(line)] = line
+    return rows
 
 
 def _train_rows(flat: np.ndarray, vocabulary: Vocabulary, path: str | None, round_: int):
@@ -419,6 +429,23 @@ def _score(flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.n
     return run
 
 
+def _hot_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most frequent words, HOT_WORDS at most.
+
+    The number of words per step of the count's logarithm, a few hundred rows,
+    says from which step on they are few enough.
+    """
+    step = F.floor(F.log2("n") * 16)
+    left, lowest = HOT_WORDS, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        if r.words > left:
+            break
+        left, lowest = left - r.words, r.step
+    rows = [] if lowest is None else counts.filter(step >= lowest).select("hash", "n").collect()
+    top = sorted((r.hash & (1 << 64) - 1, r.n) for r in rows)
+    return np.array([h for h, _ in top], np.uint64), np.array([n for _, n in top], np.float64)
+
+
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -433,9 +460,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     documents = training.count()
     stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     all_tokens, kinds = stats.n + documents, stats.v + (documents > 0)
-    # HOT_WORDS rows at most go through the driver to the tasks.
-    top = sorted((r.hash & (1 << 64) - 1, r.n) for r in counts.orderBy(F.desc("n"), "hash").limit(HOT_WORDS).select("hash", "n").collect())
-    hot = (np.array([h for h, _ in top], np.uint64), np.array([n for _, n in top], np.float64))
+    hot = _hot_words(counts)
     flat, vocabulary = fit(training, counts, documents, path)
     rows = materialize(
         marked.mapInArrow(
