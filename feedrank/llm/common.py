@@ -71,8 +71,10 @@ def keep_rows(docs: DataFrame, wanted: DataFrame, times: str | None = None) -> D
     """
     columns = docs.columns
     # Two non-null keys, so that one shuffle of the texts serves the join and the removal of repeats.
-    name = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.xxhash64("doc_id", "check").alias("_row")]
-    named = docs.withColumn("check", text_check()).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), *name)
+    own_id = F.coalesce("doc_id", F.lit(-1)).alias("_id")
+    own = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc")  # names of theirs cannot clash with ours
+    named = docs.select(own, own_id, F.xxhash64("doc_id", F.xxhash64(whole_text())).alias("_row"))
+    name = [own_id, F.xxhash64("doc_id", "check").alias("_row")]
     if times is None:
         kept = named.join(wanted.select(*name).distinct(), ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"])
     else:
