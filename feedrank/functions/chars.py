@@ -37,20 +37,15 @@ def _char_class(chars: list[str]) -> str:
         f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
-# Blocks with folding: Latin, Greek, Cyrillic and their extensions, combining
-# marks, phonetic and letter-like symbols, ligatures, full-width and styled
-# letters. No other block folds to a letter of a key or slug, and the tables are
-# part of every plan that uses them, so other scripts are left as they are.
-_BLOCKS = (
-    (0x80, 0x52F), (0x1AB0, 0x1AFF), (0x1D00, 0x1FFF), (0x2000, 0x24FF), (0x2C60, 0x2C7F),
-    (0x3300, 0x33FF), (0xFB00, 0xFB06), (0xFE20, 0xFE2F), (0xFF00, 0xFFEF), (0x1D400, 0x1D7FF),
-)
+_HANGUL = (0xAC00, 0xD7A3)  # syllables: taken apart by arithmetic, not by table
 # Text outside these ranges may hold a character that expands to several.
 _RARE = r"[^\x00-\x7F\u00C0-\u0131]"
+_FOLD_RARE = r"[^\x00-\x7F\u00E0-\u0148]|ß"
 
 
 def _code_points():
-    for low, high in _BLOCKS:
+    """All code points that may change, without surrogates and Hangul syllables."""
+    for low, high in ((0x80, _HANGUL[0] - 1), (_HANGUL[1] + 1, 0xD7FF), (0xE000, 0x10FFFF)):
         yield from range(low, high + 1)
 
 
@@ -106,11 +101,27 @@ def _apply(col: Column, tables: tuple[str, str, dict[str, str]], rare: str = _RA
     return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 
+def _jamo(char: Column) -> Column:
+    """The letters of a Hangul syllable."""
+    place = F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("int") - _HANGUL[0]
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    tail = place % 28
+    return F.concat(
+        letter(F.lit(0x1100) + F.floor(place / 588)),
+        letter(F.lit(0x1161) + F.floor(place % 588 / 28)),
+        F.when(tail > 0, letter(F.lit(0x11A7) + tail)).otherwise(F.lit("")),
+    )
+
+
 def strip_accents(col: Column) -> Column:
-    """NFKD with combining marks dropped, for the blocks listed above."""
-    return _apply(col, _accent_tables())
+    """NFKD with combining marks dropped."""
+    syllable = r"[\uAC00-\uD7A3]"
+    letters = F.aggregate(
+        F.array_distinct(F.regexp_extract_all(col, F.lit(f"({syllable})"))), col, lambda acc, c: F.replace(acc, c, _jamo(c))
+    )
+    return _apply(F.when(col.rlike(syllable), letters).otherwise(col), _accent_tables())
 
 
 def casefold(col: Column) -> Column:
     """Unicode case folding ("Straße" -> "strasse")."""
-    return _apply(F.lower(col), _fold_tables(), rare=r"[^\x00-\x7F\u00E0-\u0148]|ß")
+    return _apply(F.lower(col), _fold_tables(), rare=_FOLD_RARE)

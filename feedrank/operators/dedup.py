@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import dedup_key
-from ..schema import ORDER_COLUMNS
+from ..schema import ORDER_COLUMNS, request_keys
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -33,12 +33,13 @@ def with_dedup_key(df: DataFrame) -> DataFrame:
 def first_seen(df: DataFrame, order: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
     """Keep the first posting of every identity, in feed order.
 
-    Call it after ``prefilter``: a rejected copy must not hide a kept one.
+    Of several runs the first by run_id counts. Call it after ``prefilter``: a rejected copy must not hide a kept one.
     """
-    return first_by(with_dedup_key(df), ["dedup_key"], order)
+    runs = [c for c in ("run_id",) if c in df.columns]
+    return first_by(with_dedup_key(df), ["dedup_key"], [*runs, *order])
 
 
 def dedup_in_feed(df: DataFrame, order: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
-    """First row per job id inside one request set; rows without id are dropped."""
+    """First row per job id inside one request of one run; rows without id are dropped."""
     kept = df.filter(F.coalesce(F.col("job_id"), F.lit("")) != "")
-    return first_by(kept, ["source", "query_ordinal", "job_id"], order)
+    return first_by(kept, [*request_keys(df), "job_id"], order)

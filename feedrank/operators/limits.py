@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..schema import request_keys
 from ..session import broadcast_if_small
 
 
@@ -18,7 +19,7 @@ def manifest(spark: SparkSession, requests=R.REQUESTS) -> DataFrame:
 
 
 def ok_pages(captures: DataFrame) -> DataFrame:
-    """Pages with status 200 before the first other status of their request.
+    """Pages with status 200 before the first other status of their request, run by run.
 
     The first bad page per request is an aggregate over three narrow columns. It
     is counted before it is broadcast, so page bodies are not shuffled and a
@@ -26,12 +27,12 @@ def ok_pages(captures: DataFrame) -> DataFrame:
     """
     stops = (
         captures.filter(F.coalesce(F.col("status"), F.lit(0)) != 200)
-        .groupBy("source", "query_ordinal")
+        .groupBy(*request_keys(captures))
         .agg(F.min("page_no").alias("_stop"))
     )
     return (
         captures.filter(F.col("status") == 200)
-        .join(broadcast_if_small(stops), ["source", "query_ordinal"], "left")
+        .join(broadcast_if_small(stops), request_keys(captures), "left")
         .filter(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
         .drop("_stop")
     )
@@ -43,7 +44,7 @@ def limit_per_request(df: DataFrame, limit: int, order: str = "item_ordinal") ->
     ``row_number() <= constant`` lets Spark cut each map task to ``limit`` rows
     per request before the shuffle, so a large request costs tasks x limit rows.
     """
-    w = Window.partitionBy("source", "query_ordinal").orderBy(order)
+    w = Window.partitionBy(*request_keys(df)).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
 
@@ -51,23 +52,24 @@ def limit_by_manifest(df: DataFrame, requests: DataFrame, order: str = "item_ord
     """Row limit taken from the manifest; requests without a limit keep all rows.
 
     Ranks are only needed where a limit exists, and only up to the largest one,
-    which keeps the map-side cut.
+    which keeps the map-side cut. A row of a request without a limit is a group
+    of its own, so one pass serves both and no such request is gathered. Runs
+    are limited each for itself.
     """
     limits = requests.filter(F.col("row_limit").isNotNull()).select("source", "query_ordinal", "row_limit")
     largest = limits.agg(F.max("row_limit")).first()[0]
     if largest is None:
         return df
-    limits = broadcast_if_small(limits)
-    limited = df.join(limits, ["source", "query_ordinal"])
-    unlimited = df.join(limits, ["source", "query_ordinal"], "left_anti")
-    w = Window.partitionBy("source", "query_ordinal").orderBy(order)
-    cut = (
-        limited.withColumn("_n", F.row_number().over(w))
-        .filter(F.col("_n") <= int(largest))
-        .filter(F.col("_n") <= F.col("row_limit"))
+    marked = df.join(broadcast_if_small(limits), ["source", "query_ordinal"], "left").withColumn(
+        "_alone", F.when(F.col("row_limit").isNull(), F.monotonically_increasing_id())
+    )
+    w = Window.partitionBy(*request_keys(df), "_alone").orderBy(order)
+    return (
+        marked.withColumn("_n", F.row_number().over(w))
+        .filter(F.col("_n") <= max(1, int(largest)))
+        .filter(F.col("row_limit").isNull() | (F.col("_n") <= F.col("row_limit")))
         .select(*df.columns)
     )
-    return cut.unionByName(unlimited)
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

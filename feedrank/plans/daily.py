@@ -13,7 +13,7 @@ from ..operators.limits import limit_by_manifest, union_feeds
 from ..operators.skew import ROWS_PER_SALT
 from ..session import materialize
 from ..sources import html_feeds, json_feeds
-from ..sources.captures import accepted, quarantine, with_request
+from ..sources.captures import accepted, broken_bodies, quarantine, with_request, with_run
 
 
 @dataclass(frozen=True)
@@ -27,16 +27,25 @@ class Options:
 
 
 def ingest(captures: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, quarantined items) of all feeds."""
-    requested = with_request(captures, manifest)
+    """(postings, what was set aside) of all feeds, run by run.
+
+    Set aside are single items that break the schema, and whole bodies that are
+    no JSON or lack their feed's list. Everything is parsed once and written,
+    so that both results can be read without parsing again.
+    """
+    requested = with_request(with_run(captures), manifest)
     parsed = [parse(requested) for parse in json_feeds.PARSERS.values()]
     for source, parse in html_feeds.PARSERS.items():
         rows = parse(requested)
         if source == "LinkedIn":
             rows = limit_by_manifest(rows, manifest.filter(F.col("source") == source))
         parsed.append(rows)
-    everything = union_feeds(*parsed)
-    return accepted(everything), quarantine(everything)
+    everything = materialize(union_feeds(*parsed), "parsed")
+    broken = [
+        broken_bodies(requested.filter(F.col("source") == source), path)
+        for source, path in json_feeds.LIST_PATHS.items()
+    ]
+    return accepted(everything), union_feeds(quarantine(everything), *broken)
 
 
 def candidates(postings: DataFrame, rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:

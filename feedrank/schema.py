@@ -76,6 +76,16 @@ CAPTURE = T.StructType(
     ]
 )
 
+# A landing folder holds many runs; with this column a request is one of its run.
+RUN = T.StructField("run_id", T.StringType())
+CAPTURE_OF_RUN = T.StructType([*CAPTURE.fields, RUN])
+
+
+def request_keys(df: DataFrame) -> list[str]:
+    """Columns that name a request: the run where there is one, the feed, the request."""
+    return [c for c in ("run_id", "source", "query_ordinal") if c in df.columns]
+
+
 # Columns that carry the list order of the feeds through the plan.
 ORDER_COLUMNS = ("query_ordinal", "item_ordinal")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CAPTURE
+from ..schema import CAPTURE_OF_RUN
 from ..session import broadcast_if_small
 
 _ORDINAL_STEP = 2**32
@@ -17,7 +17,13 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     Partition the landing folder by source or date: filters on them then skip
     whole folders.
     """
-    return spark.read.schema(CAPTURE).format(fmt).load(path)
+    return with_run(spark.read.schema(CAPTURE_OF_RUN).format(fmt).load(path))
+
+
+def with_run(captures: DataFrame) -> DataFrame:
+    """The run of every capture: its own, else the day it was captured on."""
+    day = F.coalesce(F.date_format("captured_at", "yyyy-MM-dd"), F.lit(""))
+    return captures.withColumn("run_id", F.coalesce("run_id", day) if "run_id" in captures.columns else day)
 
 
 def read_bodies(
@@ -75,8 +81,16 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     )
 
 
-def broken_bodies(captures: DataFrame) -> DataFrame:
-    """JSON bodies that cannot be parsed at all."""
-    return captures.filter(
-        (F.col("status") == 200) & F.try_parse_json(F.coalesce("body", F.lit(""))).isNull()
-    ).select("source", F.lit("body is not JSON").alias("reason"), "body", "captured_at")
+def broken_bodies(captures: DataFrame, list_path: str | None = None) -> DataFrame:
+    """JSON bodies that cannot be parsed at all, or that lack the feed's list at ``list_path``."""
+    value = F.try_parse_json(F.coalesce("body", F.lit("")))
+    reason = F.when(value.isNull(), F.lit("body is not JSON"))
+    if list_path is not None:
+        kind = F.coalesce(F.schema_of_variant(F.try_variant_get(value, list_path, "variant")), F.lit("ABSENT"))
+        reason = reason.when(~F.startswith(kind, F.lit("ARRAY")), F.lit("body has no list of items"))
+    return (
+        captures.filter(F.col("status") == 200)
+        .withColumn("reason", reason)
+        .filter("reason is not null")
+        .select("source", "reason", "body", "captured_at")
+    )

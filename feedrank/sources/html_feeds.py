@@ -14,7 +14,7 @@ from ..functions.urls import absolute_url, id_after_dash, last_segment, strip_qu
 from ..operators.dedup import dedup_in_feed
 from ..operators.limits import ok_pages
 from .captures import item_ordinal, within_limit
-from .json_feeds import _OUT
+from .json_feeds import out_columns
 
 # Defaults shown when a card does not name the field.
 _NO_COMPANY_E = "Confidencial"
@@ -46,7 +46,7 @@ def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
         "raw": F.col("card"),
         "reject_reason": text(),
     }
-    return df.withColumns({**full, "item_ordinal": item_ordinal()}).select(*_OUT)
+    return df.withColumns({**full, "item_ordinal": item_ordinal()}).select(*out_columns(df))
 
 
 def modality_of_card(location: Column, title: Column) -> tuple[Column, Column]:

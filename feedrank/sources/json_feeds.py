@@ -23,6 +23,15 @@ _OUT = (
     "modality", "seniority", "is_remote", "salary", "post_date", "tags", "description_snippet",
     "captured_at", "raw", "reject_reason",
 )
+#: Where each feed's list of items is.
+LIST_PATHS = {"Arbeitnow": "$.data", "Himalayas": "$.jobs", "Jobicy": "$.jobs", "RemoteOK": "$"}
+
+
+def out_columns(df: DataFrame) -> tuple[str, ...]:
+    """Columns of parsed items; the run leads where captures name one."""
+    return (*(c for c in ("run_id",) if c in df.columns), *_OUT)
+
+
 _NONE = "None"  # fixed value: text of a null id
 
 
@@ -90,12 +99,12 @@ def _tags(*keys: str) -> Column:
     return out
 
 
-def _items(captures: DataFrame, source: str, array_path: str) -> DataFrame:
+def _items(captures: DataFrame, source: str) -> DataFrame:
     """One row per element of the payload's array, with its place."""
     return (
         captures.filter((F.col("source") == source) & (F.col("status") == 200))
         .withColumn("_doc", F.try_parse_json(F.coalesce("body", F.lit(""))))
-        .withColumn("_list", F.try_variant_get("_doc", array_path, "array<variant>"))
+        .withColumn("_list", F.try_variant_get("_doc", LIST_PATHS[source], "array<variant>"))
         .drop("body", "_doc")
     )
 
@@ -121,14 +130,14 @@ def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return (
         df.withColumns({**full, "item_ordinal": item_ordinal()})
         .withColumns({"raw": F.to_json("item"), "reject_reason": reason})
-        .select(*_OUT)
+        .select(*out_columns(df))
     )
 
 
 def parse_arbeitnow(captures: DataFrame) -> DataFrame:
     """Feed A: ``data[:limit]``; remote flag given as boolean or word."""
     remote = truthy(F.try_variant_get("item", "$.remote", "string"))
-    items = within_limit(_explode(_items(captures, "Arbeitnow", "$.data")))
+    items = within_limit(_explode(_items(captures, "Arbeitnow")))
     return _finish(items, {
         "job_id": _id("slug", F.lit("")),
         "title": _string("title", ""),
@@ -153,7 +162,7 @@ def parse_himalayas(captures: DataFrame) -> DataFrame:
     place_kind = _kind(_get("locationRestrictions"))
     listed = F.when(place_kind.startswith("ARRAY") | (place_kind == "STRING"),
                     blank_to_null(F.array_join(places, ", ")))
-    return _finish(_explode(_items(captures, "Himalayas", "$.jobs")), {
+    return _finish(_explode(_items(captures, "Himalayas")), {
         "job_id": _id("id", last_segment(url)),
         "title": _string("title", ""),
         "company": _string("companyName", "N/A"),
@@ -174,7 +183,7 @@ def parse_jobicy(captures: DataFrame) -> DataFrame:
     level = _string("jobLevel", "")
     entry = F.contains(F.lower(level), F.lit("entry")) | F.contains(F.lower(level), F.lit("junior"))
     empty = lambda key: F.coalesce(F.try_variant_get("item", f"$.{key}", "string"), F.lit("")) == ""
-    items = _explode(_items(captures, "Jobicy", "$.jobs")).filter(
+    items = _explode(_items(captures, "Jobicy")).filter(
         ~_kind(F.col("item")).startswith("OBJECT") | ~(empty("jobTitle") | empty("url")))
     return _finish(items, {
         "job_id": _id("id", F.lit("")),
@@ -194,7 +203,7 @@ def parse_jobicy(captures: DataFrame) -> DataFrame:
 
 def parse_remoteok(captures: DataFrame) -> DataFrame:
     """Feed D: array with a header element; id filter, then limit, then drop."""
-    lists = _items(captures, "RemoteOK", "$").withColumn(
+    lists = _items(captures, "RemoteOK").withColumn(
         "_list", F.filter("_list", lambda i: F.try_variant_get(i, "$.id", "variant").isNotNull()))
     empty = lambda key: F.coalesce(F.try_variant_get("item", f"$.{key}", "string"), F.lit("")) == ""
     items = within_limit(_explode(lists)).filter(~(empty("position") | empty("url")))

@@ -112,3 +112,30 @@ def test_markup(spark):
     assert values(spark, lambda c: H.text_of(H.balanced(c, "div")), [nested]) == ["in end"]
     cards = values(spark, lambda c: H.first_element(c, tag="h3", class_name="t"), ['<h3 class="tt">a</h3><h3 class="s t">b</h3>', "<p>"])
     assert cards == ['<h3 class="s t">b</h3>', None]
+
+
+def test_folding_of_every_code_point(spark):
+    import pandas as pd
+    from feedrank.functions import chars
+
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c) != chr(c).casefold() or 0xAC00 <= c <= 0xD7A3
+              or (0x80 <= c and not 0xD800 <= c <= 0xDFFF and chars._strip_rule(chr(c)) != chr(c))]
+    frame = spark.createDataFrame(pd.DataFrame({"c": [chr(c) for c in points]})).repartition(8)
+    rows = frame.select("c", chars.strip_accents(F.col("c")).alias("s"), chars.casefold(F.col("c")).alias("f")).collect()
+    assert len(rows) > 15_000
+    assert [r.c for r in rows if r.s != chars._strip_rule(r.c)] == []
+    assert [r.c for r in rows if r.f != r.c.casefold()] == []
+
+
+def test_sql_and_column_keys_are_one_definition(spark):
+    from feedrank.functions import sql
+    from feedrank.functions.names import company_key
+    from feedrank.functions.urls import dedup_key
+
+    sql.register(spark)
+    names = ["\ufb01rma \u03c2", "Stra\u00dfe", "\u0587x", "\uac00\ub098", "\u092bx \u0929", "plain & co", "\u00c9l\u00e8ve"]
+    frame = spark.createDataFrame([(None, "S", "1", n, n.upper()) for n in names], "u string, s string, j string, c string, t string")
+    rows = frame.select(
+        dedup_key(*map(F.col, "usjct")).alias("a"), F.expr("dedup_key(u, s, j, c, t)").alias("b"),
+        company_key(F.col("c")).alias("x"), F.expr("company_key(c)").alias("y")).collect()
+    assert all(r.a == r.b and r.a.startswith("job:") and r.x == r.y for r in rows)

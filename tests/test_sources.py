@@ -90,7 +90,8 @@ def test_documents(spark, tmp_path):
 def test_captures_and_bodies(spark, tmp_path):
     frame = cap(spark, "Arbeitnow", "{}")
     frame.write.parquet(str(tmp_path / "c"))
-    assert C.read_captures(spark, str(tmp_path / "c")).schema == CAPTURE
+    landed = C.read_captures(spark, str(tmp_path / "c"))
+    assert landed.columns == [*CAPTURE.names, "run_id"] and landed.first().run_id == ""
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "page-3.html").write_text("<li>\n</li>")
     row = C.read_bodies(spark, str(tmp_path / "b"), "LinkedIn", 4).first()
@@ -145,3 +146,34 @@ def test_very_long_tags_do_not_end_the_job(spark):
             '<a title="unclosed ' + "z" * 500_000, '<a title="x href=2" href="3">')
     frame = spark.createDataFrame(list(enumerate(tags)), "i int, tag string")
     assert [r[0] for r in frame.orderBy("i").select(M.raw_attr(F.col("tag"), "href")).collect()] == ["u1", "u2", None, "3"]
+
+
+def test_runs_are_handled_each_for_itself(spark):
+    from feedrank.operators import limits
+
+    rows = [("LinkedIn", 0, page, 429 if run == "d1" and page == 0 else 200, "x", None, None, run)
+            for run in ("d1", "d2") for page in range(3)]
+    from feedrank.schema import CAPTURE_OF_RUN
+
+    captures = spark.createDataFrame(rows, CAPTURE_OF_RUN)
+    kept = limits.ok_pages(captures).groupBy("run_id").count().collect()
+    assert [(r.run_id, r["count"]) for r in kept] == [("d2", 3)]
+    cards = spark.range(50).select(F.concat(F.lit("d"), F.col("id") % 2).alias("run_id"), F.lit("LinkedIn").alias("source"),
+                                   F.lit(0).alias("query_ordinal"), F.col("id").alias("item_ordinal"))
+    requests = limits.manifest(spark, [("LinkedIn", "q", 30, None), ("Other", "q", None, None)])
+    assert limits.limit_by_manifest(cards, requests).count() == 50
+    assert limits.limit_by_manifest(cards.withColumn("run_id", F.lit("d")), requests).count() == 30
+    other = cards.withColumn("source", F.lit("Other")).withColumn("query_ordinal", F.lit(1))
+    assert limits.limit_by_manifest(other.unionByName(cards.withColumn("run_id", F.lit("d"))), requests).count() == 80
+
+
+def test_nothing_landed_is_lost(spark):
+    from feedrank.operators import limits
+    from feedrank.plans.daily import ingest
+
+    good = json.dumps({"data": [{"title": "a", "url": "u"}, {"title": None}]})
+    landed = cap(spark, "Arbeitnow", good, good[:-3], json.dumps({"data": {"title": "x"}}), "")
+    postings, aside = ingest(landed, limits.manifest(spark, [("Arbeitnow", "q", None, None)]))
+    assert [r.title for r in postings.collect()] == ["a"]
+    assert sorted(r.reason for r in aside.collect()) == [
+        "body has no list of items", "body is not JSON", "body is not JSON", "title is not text"]
