@@ -283,6 +283,11 @@ def with_outreach(df: DataFrame, contacts: DataFrame, profile: DataFrame) -> Dat
     )
 
 
+def contacts_for(directory: DataFrame, top: DataFrame) -> DataFrame:
+    """Search results of the companies of ``top``, which must be few (a top N): only they are parsed."""
+    return directory.join(F.broadcast(top.select("company_key").distinct()), "company_key", "left_semi")
+
+
 def enrich_top(
     ranked: DataFrame,
     contacts: DataFrame,

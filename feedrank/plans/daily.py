@@ -88,8 +88,8 @@ def daily(
     eligible = rated.filter(
         classify.is_eligible(F.col("category"), F.col("rating_score"), options.min_score))
     ranked = ranking.ranked(eligible)
+    wanted = contacts.contacts_for(contact_directory, ranked.filter(F.col("rank") <= options.enrich_top))
     return (
-        contacts.enrich_top(ranked, contacts.best_contact(contact_directory), profile,
-                            options.enrich_top, options.enrich),
+        contacts.enrich_top(ranked, contacts.best_contact(wanted), profile, options.enrich_top, options.enrich),
         next_state,
     )

@@ -159,14 +159,14 @@ def html_feed_g(spark, sf):
 _case_p = "profile_id % 5"
 
 
-@query("q_profile_pages", O.with_([O.PROFILES], f"""SELECT profile_id, name AS profile_name,
+@query("q_profile_pages", O.with_([O.EVERY_PROFILE], f"""SELECT profile_id, name AS profile_name,
  CASE WHEN {_case_p} < 2 THEN printf('%.1f/5', s) ELSE {O.q(R.UNRATED)} END AS score, CASE WHEN {_case_p} < 2 THEN s ELSE 0.0 END AS numeric,
  CASE WHEN {_case_p} < 2 THEN concat(review_count, ' Reviews') ELSE {O.q(R.NO_REVIEWS)} END AS reviews,
  CASE WHEN {_case_p} <> 4 THEN concat('https://{R.PRIMARY_HOST}/companies/firm-', profile_id) END AS url
  FROM (SELECT *, CASE WHEN isnan(numeric_score) THEN 1.0 ELSE numeric_score END AS s,
   CASE WHEN {_case_p} < 2 AND review_count > 0 THEN profile_name WHEN {_case_p} = 2 THEN profile_name END AS name FROM profiles)"""))
 def profile_pages(spark, sf):
-    pages = renders.profile_pages(X.profiles(spark, sf), R.PRIMARY_HOST)
+    pages = renders.profile_pages(X.profiles(spark, sf, gaps=False), R.PRIMARY_HOST)
     return Dir.parse_profile_pages(pages).select("profile_id", "profile_name", "score", "numeric", "reviews", "url")
 
 

@@ -106,10 +106,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reputation profiles of three in four customers."""
+def profiles(spark: SparkSession, sf_dir: str, gaps: bool = True) -> DataFrame:
+    """Reputation profiles of the customers; with ``gaps`` one in four has none, for lookups that miss."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer", "c_custkey", "c_name").filter(key % 4 != 3).select(
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return (customers.filter(key % 4 != 3) if gaps else customers).select(
         key.alias("profile_id"),
         F.concat(F.upper(customer_label(F.col("c_name"))),
                  F.when(key % 3 == 0, F.lit(" Soluções")).otherwise(F.lit(""))).alias("profile_name"),
@@ -137,13 +138,14 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rating_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached entries of nine kinds, one for each row of the decision table."""
+def rating_state(spark: SparkSession, sf_dir: str, gaps: bool = True) -> DataFrame:
+    """Cached entries of nine kinds, one for each row of the decision table; with ``gaps`` three in twelve have none."""
     key, name = F.col("c_custkey"), employer(F.col("c_custkey"), F.col("c_name"))
     kind = key % 12
     slug = slugify(name)
     primary = kind < 6
-    return table(spark, sf_dir, "customer", "c_custkey", "c_name").filter(kind < 9).select(
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return (customers.filter(kind < 9) if gaps else customers).select(
         company_key(name).alias("company_key"),
         F.when(primary, F.lit(R.PRIMARY_PLATFORM)).otherwise(F.lit(R.FALLBACK_PLATFORM)).alias("platform"),
         F.when(kind == 5, F.lit("5.0/5")).when(primary, F.lit("3.5/5")).otherwise(F.lit("4.2/5")).alias("score"),
@@ -177,8 +179,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contact_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured people-search results, six queries with one or two results each."""
+def contact_directory(spark: SparkSession, sf_dir: str, gaps: bool = True) -> DataFrame:
+    """Captured people-search results, six queries with one or two results each; with ``gaps`` one in five firms has none."""
     key, name = F.col("c_custkey"), employer(F.col("c_custkey"), F.col("c_name"))
     query = F.col("q").cast("bigint")
     turn = (key + query) % 6
@@ -195,7 +197,7 @@ def contact_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(key % 3 == 0, F.lit("Lisbon")).when(key % 3 == 1, F.lit("Madrid")).otherwise(F.lit("EMEA"))
     return (
         table(spark, sf_dir, "customer", "c_custkey", "c_name")
-        .filter(key % 5 != 4)
+        .filter((key % 5 != 4) | F.lit(not gaps))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(5))))
         .select(
             company_key(name).alias("company_key"),

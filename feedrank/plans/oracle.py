@@ -62,6 +62,8 @@ profiles AS (
   c_custkey % 150 AS review_count
  FROM customer WHERE c_custkey % 4 <> 3)"""
 
+EVERY_PROFILE = PROFILES.replace(" WHERE c_custkey % 4 <> 3", "")
+
 EXCLUDED = f"({has('company', R.BLOCKED_EMPLOYER_PATTERNS)} OR {has('title', R.BLOCKED_EMPLOYER_PATTERNS)} OR {has('title', R.EXCLUDE_PATTERNS)})"
 ENTRY = has("title", R.ENTRY_PATTERNS)
 TOPIC = f"""CASE WHEN {has('title', R.AI_PATTERNS)} THEN 'AI' WHEN {has('title', R.SOFTWARE_PATTERNS)} THEN 'SWE'
@@ -191,6 +193,8 @@ state AS (
   CASE k WHEN 6 THEN {X.RUN_EPOCH - 100} WHEN 7 THEN {X.RUN_EPOCH - 100_000} END AS checked_at
  FROM (SELECT *, c_custkey % 12 AS k FROM customers) WHERE k < 9)"""
 
+EVERY_STATE = STATE.replace(" WHERE k < 9", "")
+
 EVIDENCE = f"""
 evidence AS (
  SELECT {ckey('employer')} AS company_key, {q(R.FALLBACK_PLATFORM)} AS platform,

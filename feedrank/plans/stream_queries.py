@@ -63,12 +63,12 @@ def stream_ttl(spark, sf):
     return S.recheck_due(load_state(spark, root, S.CHECKS), _NOW)
 
 
-@query("q_state_versions", O.with_([O.POSTINGS.split("postings AS")[0].rstrip().rstrip(","), O.CUSTOMERS, O.STATE], f"""
+@query("q_state_versions", O.with_([O.POSTINGS.split("postings AS")[0].rstrip().rstrip(","), O.CUSTOMERS, O.EVERY_STATE], f"""
 SELECT company_key, platform, score, CASE WHEN platform = {O.q(R.FALLBACK_PLATFORM)} THEN {X.RUN_EPOCH} ELSE checked_at END AS checked_at FROM state"""))
 def state_versions(spark, sf):
     """Save, change and save again; the reader sees the last complete snapshot."""
     root = scratch_path(spark, "state")
-    save_state(X.rating_state(spark, sf), root)
+    save_state(X.rating_state(spark, sf, gaps=False), root)
     state = load_state(spark, root)
     stamped = F.when(F.col("platform") == R.FALLBACK_PLATFORM, F.lit(X.RUN_EPOCH)).otherwise(F.col("checked_at"))
     save_state(state.withColumn("checked_at", stamped.cast("bigint")), root)

@@ -48,3 +48,10 @@ def save_state(state: DataFrame, root: str, version: int | None = None) -> int:
     number = version if version is not None else (known[-1] + 1 if known else 1)
     state.write.mode("overwrite").parquet(f"{root}/v={number}")
     return number
+
+
+def prune(spark: SparkSession, root: str, keep: int) -> None:
+    """Delete all but the last ``keep`` complete snapshots."""
+    for version in versions(spark, root)[:-keep]:
+        path, fs = _fs(spark, f"{root}/v={version}")
+        fs.delete(path, True)

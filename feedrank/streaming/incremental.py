@@ -14,9 +14,11 @@ from ..operators.dedup import with_dedup_key
 from ..operators.ratings import is_fresh, join_ratings
 from ..operators.resolve import companies_of, with_company_key
 from ..schema import CAPTURE, RATING
-from ..state import load_state, save_state
+from ..session import materialize
+from ..state import load_state, prune, save_state
 
 SEEN_FOR = "7 days"
+KEPT = 24  # snapshots of the check times
 CHECKS = T.StructType([T.StructField("company_key", T.StringType()), T.StructField("checked_at", T.LongType())])
 
 
@@ -53,18 +55,26 @@ def each_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], c
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint keeps for its stream over restarts."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def rate_batches(stream: DataFrame, state_root: str, out: str, checkpoint: str) -> None:
     """Join each batch to the newest rating state.
 
-    The state is read again for every batch. Each batch owns a folder that a
-    repeated batch replaces, so a retry cannot write rows twice.
+    The state is read again for every batch. Each batch of a stream owns a folder
+    that a repeated batch replaces, so a retry cannot write rows twice; a stream
+    with a new checkpoint has folders of its own. The batch is written once
+    before the join reads it twice.
     """
     def batch(frame: DataFrame, batch_id: int) -> None:
-        state = load_state(frame.sparkSession, state_root)
+        spark = frame.sparkSession
+        state = load_state(spark, state_root)
         ratings = state.select("company_key", F.struct(*[f.name for f in RATING.fields]).alias("rating"))
-        rows = with_company_key(frame)
+        rows = materialize(with_company_key(frame), "batch")
         rated = join_ratings(rows, ratings, companies_of(rows))
-        rated.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rated.write.mode("overwrite").parquet(f"{out}/stream={stream_id(spark, checkpoint)}/batch={batch_id}")
 
     each_available(stream, batch, checkpoint)
 
@@ -83,11 +93,13 @@ def recheck_due(state: DataFrame, run_epoch: int, ttl: int = R.RECHECK_SECONDS)
 def track_checks(stream: DataFrame, state_root: str, checkpoint: str) -> None:
     """Keep the check-time state up to date with a stream of checks.
 
-    Batch n writes snapshot n + 1 from the one before it: running a batch
-    again gives the same snapshot.
+    Each batch writes the next snapshot from the newest one, whatever number the
+    checkpoint gives the batch. The latest time wins, so a batch that runs again
+    changes nothing. Old snapshots go; readers of the last KEPT are safe.
     """
     def batch(frame: DataFrame, batch_id: int) -> None:
-        old = load_state(frame.sparkSession, state_root, CHECKS, before=batch_id + 1)
-        save_state(merge_checks(old, frame), state_root, version=batch_id + 1)
+        old = load_state(frame.sparkSession, state_root, CHECKS)
+        save_state(merge_checks(old, frame), state_root)
+        prune(frame.sparkSession, state_root, KEPT)
 
     each_available(stream, batch, checkpoint)

@@ -46,3 +46,15 @@ def test_checks(spark, tmp_path):
     state = load_state(spark, root, S.CHECKS)
     assert sorted(map(tuple, state.collect())) == [("a", 100_000), ("b", 200)]
     assert [r.company_key for r in S.recheck_due(state, 100_500).collect()] == ["b"]
+
+
+def test_new_checkpoint_keeps_the_state(spark, tmp_path):
+    from feedrank.state import load_state, versions
+    from feedrank.streaming import incremental as S
+
+    root = str(tmp_path / "state")
+    for turn, rows in enumerate(([("a", 5), ("b", 7)], [("a", 9)])):
+        spark.createDataFrame(rows, S.CHECKS).write.parquet(str(tmp_path / f"in{turn}"))
+        S.track_checks(S.read_stream(spark, str(tmp_path / f"in{turn}"), S.CHECKS), root, str(tmp_path / f"check{turn}"))
+    assert sorted(map(tuple, load_state(spark, root, S.CHECKS).collect())) == [("a", 9), ("b", 7)]
+    assert versions(spark, root) == [1, 2]
