@@ -39,7 +39,7 @@ def normalize_folded(folded: Column, suffixes: Sequence[str] = rules.SUFFIX_TOKE
     """``normalize_name`` on text that is already accent-free and lower-case."""
     raw = strip(folded)
     clean = F.replace(raw, F.lit("&"), F.lit(" and "))
-    clean = F.regexp_replace(clean, r"(?U)\bs\.?\s*a\.?\b", " ")
+    clean = F.regexp_replace(clean, rules.LEGAL_FORM, " ")
     tokens = F.trim(F.regexp_replace(clean, "[^a-z0-9]+", " "))
     if suffixes:
         tail = "|".join(quote_java(s) for s in suffixes)

@@ -51,7 +51,7 @@ def register(spark: SparkSession, suffixes=rules.SUFFIX_TOKENS) -> None:
         "company_key(s STRING)": "regexp_replace(fold_name(s), '[^a-z0-9]', '')",
         "slugify(s STRING)": "trim(BOTH '-' FROM regexp_replace(replace(fold_name(s), '&', ' and '), '[^a-z0-9]+', '-'))",
         "normalize_folded(f STRING)": f"""coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(
-            replace(regexp_replace(f, {_lit(r'(?U)^\s+|\s+$')}, ''), '&', ' and '), {_lit(r'(?U)\bs\.?\s*a\.?\b')}, ' '), '[^a-z0-9]+', ' ')),
+            replace(regexp_replace(f, {_lit(r'(?U)^\s+|\s+$')}, ''), '&', ' and '), {_lit(rules.LEGAL_FORM)}, ' '), '[^a-z0-9]+', ' ')),
             {_lit(f'(?:(?:^| )(?:{tail}))+$')}, ''), ''), regexp_replace(f, {_lit(r'(?U)^\s+|\s+$')}, ''))""",
         "normalize_name(s STRING)": "normalize_folded(fold_name(s))",
         "norm_similarity(a STRING, b STRING)": f"""CASE WHEN coalesce(a, '') = '' OR coalesce(b, '') = '' THEN 0.0D

@@ -107,3 +107,9 @@ def title_case(col: Column) -> Column:
     """First letter of each alphabetic run upper, the rest lower."""
     runs = F.regexp_extract_all(col, F.lit(r"(\p{L}+|[^\p{L}]+)"))
     return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with its ``{name}`` places filled; null when a value is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])

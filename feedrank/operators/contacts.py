@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.names import company_key
-from ..functions.text import blank_to_null, contains_any, quote_java, strip, title_case, truthy, FLAG_WORDS
+from ..functions.text import blank_to_null, contains_any, filled, quote_java, strip, title_case, truthy, FLAG_WORDS
 from ..functions.urls import strip_query
 from ..schema import OUTREACH
 from .ranking import top_n
@@ -129,22 +129,18 @@ def confidence(contact: Column, area: Column) -> Column:
     return F.when(contact.isNull(), F.lit("NONE")).when(contact["tier"] == 0, manager).otherwise(recruiter)
 
 
-def evidence(contact: Column, area: Column, company: Column) -> Column:
+def evidence(contact: Column, area: Column, company: Column, texts: dict[str, str] = R.EVIDENCE_TEXTS) -> Column:
     """Reasons in rule order."""
-    about = contact["about"]
+    about, firm = contact["about"], strip(company)
     manager = F.array_compact(F.array(
-        F.when(F.contains(about, F.lower(area)),
-               F.concat(F.lit("Cargo diretamente ligado à área da vaga ("), area, F.lit(")."))),
-        F.when(contains_any(about, R.MANAGER_PLACES),
-               F.lit("Localização compatível com a posição anunciada.")),
-        F.when(contains_any(about, R.TEAM_WORDS),
-               F.lit("Sinais públicos de gestão e liderança técnica na equipa.")),
-        F.concat(F.lit("Atua como "), contact["role"], F.lit(" na empresa "), strip(company), F.lit(".")),
+        F.when(F.contains(about, F.lower(area)), filled(texts["area"], area=area)),
+        F.when(contains_any(about, R.MANAGER_PLACES), F.lit(texts["place"])),
+        F.when(contains_any(about, R.TEAM_WORDS), F.lit(texts["team"])),
+        filled(texts["role"], role=contact["role"], company=firm),
     ))
     recruiter = F.array_compact(F.array(
-        F.concat(F.lit("Recrutador(a) técnico(a) identificado(a) na empresa "), strip(company), F.lit(".")),
-        F.when(contains_any(about, R.RECRUITER_PLACES),
-               F.lit("Foco em recrutamento técnico na região relevante.")),
+        filled(texts["recruiter"], company=firm),
+        F.when(contains_any(about, R.RECRUITER_PLACES), F.lit(texts["region"])),
     ))
     return F.when(contact["tier"] == 0, manager).otherwise(recruiter)
 
@@ -182,49 +178,32 @@ def profile_facts(profile: DataFrame) -> ProfileFacts | None:
     return None if row is None else ProfileFacts(row.a, row.b, row.c)
 
 
-def facts(title: Column, area: Column, tech: Column, known: ProfileFacts) -> tuple[Column, Column]:
+def facts(
+    title: Column, area: Column, tech: Column, known: ProfileFacts, texts: dict[str, tuple[str, str]] = R.CLAIM_TEXTS
+) -> tuple[Column, Column]:
     """(hook, proof) backed by the profile: a fitting project, else its skills."""
     wants_retrieval = F.contains(F.lower(F.concat(title, F.lit(" "), area)), F.lit("rag")) | F.exists(
         tech, lambda t: F.lower(t).isin("rag", "llms", "fastapi"))
-    cases = (
-        (wants_retrieval & F.lit(known.retrieval_project),
-         F.lit("built an end-to-end RAG and semantic search pipeline using FastAPI and vector search"),
-         F.concat(F.lit("The team's focus on "), area,
-                  F.lit(" and modern AI architectures aligns directly with my recent hands-on RAG implementation."))),
-        (F.lit(known.aggregator_project),
-         F.lit("developed an asynchronous data pipeline in Python with automated scraping, "
-               "strict regex filtering, and CI/CD"),
-         F.concat(F.lit("The requirements for "), title,
-                  F.lit(" match my experience building production-ready Python pipelines "
-                        "and data scraping workflows."))),
-        (F.lit(known.python_and_pytorch),
-         F.lit("implemented machine learning pipelines in Python and PyTorch with Docker deployment"),
-         F.concat(F.lit("The technical stack for "), title,
-                  F.lit(" directly matches my core Python and ML background."))),
-    )
-    proof = hook = None
-    for test, proof_text, hook_text in cases:
-        proof = F.when(test, proof_text) if proof is None else proof.when(test, proof_text)
-        hook = F.when(test, hook_text) if hook is None else hook.when(test, hook_text)
-    return (
-        hook.otherwise(F.concat(F.lit("The responsibilities described for the "), title,
-                                F.lit(" role strongly overlap with my background."))),
-        proof.otherwise(F.lit("developed practical software and AI projects in Python "
-                              "with a focus on clean engineering")),
-    )
+    tests = {
+        "retrieval": wants_retrieval & F.lit(known.retrieval_project),
+        "aggregator": F.lit(known.aggregator_project),
+        "skills": F.lit(known.python_and_pytorch),
+    }
+
+    def chosen(which: int) -> Column:
+        text = {name: filled(pair[which], title=title, area=area) for name, pair in texts.items()}
+        out = None
+        for name, test in tests.items():
+            out = F.when(test, text[name]) if out is None else out.when(test, text[name])
+        return out.otherwise(text["none"])
 
+    return chosen(1), chosen(0)
 
-def message(name: Column, title: Column, proof: Column, level: Column) -> Column:
+
+def message(name: Column, title: Column, proof: Column, level: Column, text: str = R.MESSAGE_TEXT) -> Column:
     """Short introduction; only for HIGH and MEDIUM confidence."""
     first = F.coalesce(title_case(blank_to_null(F.get(F.split(strip(name), r"(?U)\s+"), 0))), F.lit("there"))
-    text = F.concat(
-        F.lit("Hi "), first, F.lit(" — I applied for the "), title, F.lit(" position today.\n\n"),
-        F.lit("I saw the work your team is doing in this area. I recently "), proof,
-        F.lit(", so the overlap with the vacancy stood out to me.\n\n"),
-        F.lit("I wanted to introduce myself directly after submitting my official application. "),
-        F.lit("Thanks for taking a look!"),
-    )
-    return F.when(level.isin("HIGH", "MEDIUM"), text)
+    return F.when(level.isin("HIGH", "MEDIUM"), filled(text, name=first, title=title, proof=proof))
 
 
 def empty_outreach() -> Column:

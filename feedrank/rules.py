@@ -282,6 +282,53 @@ REQUESTS = tuple(
 )
 
 
+# Patterns of ratings in search results, of error pages and of a legal form.
+RATING_SENTENCE = (
+    r"(?iU)rating\s+(?:of\s+)?([1-5](?:[.,][0-9])?)\s+out\s+of\s+5"
+    r"(?:\s+stars)?(?:[^\d]*(\d[\d,.]*[kK]?)\s+company\s+reviews)?"
+)
+RATING_SHORT = r"(?iU)\b([1-5](?:[.,][0-9])?)\s*(?:/5|stars|★)\b"
+RATING_PAGES = r"(?i)/(?:Overview|Reviews|Jobs|Salary)/"
+ERROR_PAGE = r"(?iU)erro\s*404"
+LEGAL_FORM = r"(?U)\bs\.?\s*a\.?\b"
+
+# Texts of outreach records. Names in braces are filled in.
+EVIDENCE_TEXTS = {
+    "area": "Cargo diretamente ligado à área da vaga ({area}).",
+    "place": "Localização compatível com a posição anunciada.",
+    "team": "Sinais públicos de gestão e liderança técnica na equipa.",
+    "role": "Atua como {role} na empresa {company}.",
+    "recruiter": "Recrutador(a) técnico(a) identificado(a) na empresa {company}.",
+    "region": "Foco em recrutamento técnico na região relevante.",
+}
+# (proof, hook) for a fitting project, for the skills, and for neither.
+CLAIM_TEXTS = {
+    "retrieval": (
+        "built an end-to-end RAG and semantic search pipeline using FastAPI and vector search",
+        "The team's focus on {area} and modern AI architectures aligns directly with my recent hands-on RAG implementation.",
+    ),
+    "aggregator": (
+        "developed an asynchronous data pipeline in Python with automated scraping, strict regex filtering, and CI/CD",
+        "The requirements for {title} match my experience building production-ready Python pipelines "
+        "and data scraping workflows.",
+    ),
+    "skills": (
+        "implemented machine learning pipelines in Python and PyTorch with Docker deployment",
+        "The technical stack for {title} directly matches my core Python and ML background.",
+    ),
+    "none": (
+        "developed practical software and AI projects in Python with a focus on clean engineering",
+        "The responsibilities described for the {title} role strongly overlap with my background.",
+    ),
+}
+MESSAGE_TEXT = (
+    "Hi {name} — I applied for the {title} position today.\n\n"
+    "I saw the work your team is doing in this area. I recently {proof}, so the overlap with the vacancy "
+    "stood out to me.\n\n"
+    "I wanted to introduce myself directly after submitting my official application. Thanks for taking a look!"
+)
+
+
 @dataclass(frozen=True)
 class Rules:
     """Pattern lists used by the classification operators."""

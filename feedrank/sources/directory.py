@@ -63,7 +63,7 @@ def parse_profile_pages(pages: DataFrame, host: str = R.PRIMARY_HOST) -> DataFra
     empty_score = F.col("_score").isNotNull() & F.lower("reviews").isin("0 reviews", "0 review")
     usable = (
         F.col("url").isNotNull() & F.col("_name").isNotNull()
-        & ~F.col("_name").rlike(r"(?iU)erro\s*404") & ~empty_score
+        & ~F.col("_name").rlike(R.ERROR_PAGE) & ~empty_score
     )
     return parsed.select(
         *[c for c in pages.columns if c not in ("body", "page_url")],
@@ -107,13 +107,6 @@ def autocomplete_candidates(payloads: DataFrame) -> DataFrame:
     )
 
 
-_SENTENCE = (
-    r"(?iU)rating\s+(?:of\s+)?([1-5](?:[.,][0-9])?)\s+out\s+of\s+5"
-    r"(?:\s+stars)?(?:[^\d]*(\d[\d,.]*[kK]?)\s+company\s+reviews)?"
-)
-_SHORT = r"(?iU)\b([1-5](?:[.,][0-9])?)\s*(?:/5|stars|★)\b"
-
-
 def search_ratings(pages: DataFrame, host: str = R.FALLBACK_HOST) -> DataFrame:
     """Rating evidence in the first 8 results of each captured search.
 
@@ -124,11 +117,10 @@ def search_ratings(pages: DataFrame, host: str = R.FALLBACK_HOST) -> DataFrame:
     def result(block):
         text = H.text_of(block)
         link = H.attr(H.first_tag(block, tag="a", class_name="result__a"), "href")
-        from_host = F.contains(authority(link), F.lit(host)) & path(link).rlike(
-            r"(?i)/(?:Overview|Reviews|Jobs|Salary)/")
-        long_form = blank_to_null(F.regexp_extract(text, _SENTENCE, 1))
-        score = F.coalesce(long_form, blank_to_null(F.regexp_extract(text, _SHORT, 1)))
-        count = F.when(long_form.isNotNull(), blank_to_null(F.regexp_extract(text, _SENTENCE, 2)))
+        from_host = F.contains(authority(link), F.lit(host)) & path(link).rlike(R.RATING_PAGES)
+        long_form = blank_to_null(F.regexp_extract(text, R.RATING_SENTENCE, 1))
+        score = F.coalesce(long_form, blank_to_null(F.regexp_extract(text, R.RATING_SHORT, 1)))
+        count = F.when(long_form.isNotNull(), blank_to_null(F.regexp_extract(text, R.RATING_SENTENCE, 2)))
         return F.struct(F.when(F.coalesce(from_host, F.lit(False)), score).alias("score"), count.alias("count"))
 
     blocks = F.transform(
