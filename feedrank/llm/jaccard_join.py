@@ -210,7 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     have one set, the empty one, and no links. A null doc_id is stood in for by
     its set's hash. Repeated rows are copies. An empty table gives no rows.
     """
-    node = F.coalesce("doc_id", "high")
+    # A stand-in is above all ids, so that a class is named by an id where it has one.
+    stand_in = F.col("high").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    node = F.coalesce("doc_id", stand_in)
     drawn = materialize(sketches(docs), "jaccard-sketches")
     sets = materialize(
         drawn.groupBy("high", "low").agg(F.min(node).alias("node"), F.count(F.lit(1)).alias("n_copies")), "jaccard-sets"
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if nameless.take(1):
         text_of = nameless.mapInArrow(_hashed, "high long, text string").dropDuplicates(["high"])
         with_text = with_text.unionByName(
-            wanted.filter("node = high").join(text_of, "high").select("root", "count", "node", "high", "text")
+            wanted.filter(F.col("node") == stand_in).join(text_of, "high").select("root", "count", "node", "high", "text")
         )
     shingled = with_text.mapInArrow(_shingles, "root long, count long, node long, shingles binary").dropDuplicates(
         ["root", "node"]

@@ -32,7 +32,8 @@ MOST_RULES = 12
 MOST_CONDITIONS = 4
 #: A rule must be this precise on the pruning rows, so that clean documents stay.
 LEAST_PRECISION = 0.9
-LEAST_COVERED = 3
+#: Low-quality rows that a rule must cover, growing and pruning rows together.
+LEAST_COVERED = 5
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -230,15 +231,17 @@ def learn(labelled: DataFrame, least_precision: float = LEAST_PRECISION) -> list
         sums = []
         for k, prefix in enumerate(prefixes):
             for name, label in (("low", F.col("low")), ("good", ~F.col("low"))):
-                sums.append(F.coalesce(F.sum((_matches(prefix) & label).cast("long")), F.lit(0)).alias(f"{name}_{k}"))
-        found = left.filter("not grow").agg(*sums).first()
+                hit = _matches(prefix) & label
+                sums.append(F.count_if(hit & ~F.col("grow")).alias(f"{name}_{k}"))
+                sums.append(F.count_if(hit).alias(f"all_{name}_{k}"))
+        found = left.agg(*sums).first()
         scored = [
-            ((p - n) / max(p + n, 1), p / max(p + n, 1), p, prefix)
+            ((p - n) / max(p + n, 1), p / max(p + n, 1), found[f"all_low_{k}"], prefix)
             for k, prefix in enumerate(prefixes)
             for p, n in [(found[f"low_{k}"], found[f"good_{k}"])]
         ]
-        _, precision, p, pruned = max(scored, key=lambda s: s[0])
-        if p < LEAST_COVERED or precision < least_precision:
+        _, precision, covered, pruned = max(scored, key=lambda s: s[0])
+        if covered < LEAST_COVERED or precision < least_precision:
             break
         rules.append(pruned)
     return rules
