@@ -9,14 +9,14 @@ of STEP targets; each block is scored once, in a window that also holds the STEP
 subwords before it, many windows at a time, under a causal mask.
 
 Counts cover all training words. The weights are trained in numpy where the
-data is: every task steps through windows drawn from all its training
-documents, at one rate, and the tasks' weights are averaged after every round.
+data is: in every round each task steps once through all targets of its training
+documents, slice by slice, and the tasks' weights are averaged after the round.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +43,6 @@ BATCH = 64
 #: Windows scored at once; their numbers stay in a core's cache.
 WINDOWS = 128
 RATE = 0.01
-#: A training document gives a window for every so many bytes, and one more.
-WINDOW_BYTES = 2048
-#: Words on either side of a window's place; more than a window needs.
-NEAR_WORDS = 10
 #: Counts of so many words go to every task; those of all others are joined.
 HOT_WORDS = 1 << 16
 CACHED_WORDS = 200_000
@@ -175,25 +171,41 @@ class Model:
         return np.concatenate([np.asarray(g[n], np.float32).ravel() for n in _SHAPES])
 
 
-def train(flat: np.ndarray, windows: np.ndarray, seed: int, rate: float = RATE) -> np.ndarray:
-    """Adam over shuffled windows (rows of SPAN + 1 classes, -1 past the end), LEAST_STEPS steps or one pass."""
+def train(flat: np.ndarray, windows: np.ndarray | Iterable[np.ndarray], seed: int, rate: float = RATE) -> np.ndarray:
+    """Adam over windows (rows of SPAN + 1 classes, -1 past the end), shuffled inside each array.
+
+    Every window once; fewer windows than LEAST_STEPS steps need are stepped
+    through again. Only as many as that are held; the others are met once.
+    """
     flat = flat.copy()
     model, rng = Model(flat), np.random.default_rng(seed)
     first, second, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    steps = max(LEAST_STEPS, -(-len(windows) // BATCH))
-    while step < steps:
-        order = rng.permutation(len(windows))
-        for start in range(0, len(windows), BATCH):
-            rows = windows[order[start : start + BATCH]]
+    held, room = [], LEAST_STEPS * BATCH
+
+    def passed(part: np.ndarray, most: float = math.inf) -> None:
+        nonlocal step, first, second, flat
+        order = rng.permutation(len(part))
+        for start in range(0, len(part), BATCH):
+            if step >= most:
+                break
+            rows = part[order[start : start + BATCH]].astype(np.int64)
             inputs, targets = np.maximum(rows[:, :SPAN], PAD), rows[:, STEP + 1 :]
             grad = model.gradient(inputs, np.maximum(targets, PAD), targets >= FIRST - 1)
             step += 1
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
             lift = math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            flat -= rate * (1 - 0.9 * step / steps) * lift * first / (np.sqrt(second) + 1e-8)
-            if step == steps:
-                break
+            # The number of steps is not known before the end: the rate falls as 1 / step, to a tenth.
+            flat -= rate * max(0.1, 1 / (1 + 2 * step / LEAST_STEPS)) * lift * first / (np.sqrt(second) + 1e-8)
+
+    for part in [windows] if isinstance(windows, np.ndarray) else windows:
+        if room > 0:
+            held.append(part[:room])
+            room -= len(held[-1])
+        passed(part)
+    few = np.concatenate(held) if held else np.zeros((0, SPAN + 1), np.int16)
+    while len(few) and step < LEAST_STEPS:
+        passed(few, LEAST_STEPS)
     return flat
 
 
@@ -276,41 +288,67 @@ def _subword_rows(path: str | None):
     return run
 
 
-def _windows(texts: list[bytes], vocabulary: Vocabulary, pieces) -> np.ndarray:
-    """Windows of each text at places that its hash names: SPAN + 1 classes, -1 past the end of the text."""
-    drawn = []
-    for text in texts:
-        words, seed = text.lower().split(), zlib.crc32(text)
-        for k in range(1 + len(text) // WINDOW_BYTES):
-            seed = (seed * 1_103_515_245 + 12_345 + k) & 0x7FFFFFFF
-            at = (seed >> 4) % (len(words) + 1)
-            begin, end = max(0, at - NEAR_WORDS), min(len(words), at + NEAR_WORDS)
-            drawn.append((words[begin:end], begin == 0, end == len(words), seed))
-    names = list({w for own, _, _, _ in drawn for w in own})
-    coded = pieces.encode([w.decode() for w in names], num_threads=1)
-    kinds = {w: vocabulary.kind[ids].tolist() for w, ids in zip(names, coded)}
-    rows = np.full((len(drawn), SPAN + 1), -1, np.int64)
-    for row, (own, first, last, seed) in zip(rows, drawn):
-        line = [PAD] * STEP + [START] if first else []
-        for w in own:
-            line += kinds[w]
-        if last:
-            line.append(END)
-        k = seed % max(1, len(line) - SPAN)
-        line = line[k : k + SPAN + 1]
-        row[: len(line)] = line
-    return rows
+def _lines(table, vocabulary: Vocabulary, pieces, cache: Cache):
+    """Classes of all subwords of a word table, their number in each of its words, and the words' log10 shares in them."""
+    low, starts, ends, hashes, _ = table
+    distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+    spot = dict(zip(distinct.tolist(), at.tolist()))
+
+    def make(new: list[int]) -> list[tuple[bytes, float]]:
+        at = [spot[h] for h in new]
+        coded = pieces.encode([low[starts[k] : ends[k]].decode() for k in at], num_threads=1)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter((i for c in coded for i in c), np.int64)
+        kinds = vocabulary.kind[ids].tobytes()
+        ends_ = np.cumsum(lengths)
+        sums = np.concatenate([np.zeros(1), np.cumsum(vocabulary.share[ids])])
+        shares = sums[ends_] - sums[ends_ - lengths]
+        return [(kinds[e - n : e], s) for e, n, s in zip(ends_.tolist(), lengths.tolist(), shares.tolist())]
+
+    values = cache.get(distinct.tolist(), make)
+    sizes = np.fromiter((len(v[0]) for v in values), np.int64, len(values))
+    shares = np.fromiter((v[1] for v in values), np.float64, len(values))[place]
+    blob = np.frombuffer(b"".join([v[0] for v in values]), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes[place]
+    reach = np.cumsum(counts)
+    kinds = blob[np.arange(reach[-1] if len(reach) else 0) + np.repeat(begins[place] - (reach - counts), counts)]
+    return kinds, counts, shares
+
+
+def _windows(texts: list[bytes], vocabulary: Vocabulary, pieces, cache: Cache | None = None) -> np.ndarray:
+    """Windows STEP apart over each whole text, so that each class is a target once: SPAN + 1 classes, -1 past the end."""
+    table = _word_table(texts)
+    kinds, counts, _ = _lines(table, vocabulary, pieces, cache or Cache(None, CACHED_WORDS))
+    cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[table[4]]
+    kinds = np.insert(kinds, cut[1:], END)
+    lengths = np.diff(cut) + 1
+    blocks = -(-lengths // STEP)
+    room = STEP * (blocks + 1) + 1  # STEP pads, the start, the classes
+    base = np.cumsum(room) - room
+    line = np.full(room.sum(), -1, np.int16)
+    line[(base[:, None] + np.arange(STEP)).ravel()] = PAD
+    line[base + STEP] = START
+    line[np.repeat(base + STEP + 1 - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(kinds))] = kinds
+    begin = np.repeat(base - STEP * (np.cumsum(blocks) - blocks), blocks) + STEP * np.arange(blocks.sum())
+    return line[begin[:, None] + np.arange(SPAN + 1)]
 
 
 def _train_rows(flat: np.ndarray, vocabulary: Vocabulary, path: str | None, round_: int):
     def run(batches):
-        pieces = _pieces(path or model_path())
-        drawn = [_windows(texts, vocabulary, pieces) for _, texts in slices(batches, "text")]
-        windows = np.concatenate(drawn) if drawn else np.zeros((0, SPAN + 1), np.int64)
-        if len(windows):
-            weights = train(flat, windows, round_, RATE / (1 + round_))
+        pieces, cache, met = _pieces(path or model_path()), Cache(None, CACHED_WORDS), 0
+
+        def parts():
+            nonlocal met
+            for _, texts in slices(batches, "text"):
+                windows = _windows(texts, vocabulary, pieces, cache)
+                met += len(windows)
+                yield windows
+
+        weights = train(flat, parts(), round_, RATE / (1 + round_))
+        if met:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(weights))), pa.array(weights.astype(np.float64)), pa.array(np.full(len(weights), len(windows)))],
+                [pa.array(np.arange(len(weights))), pa.array(weights.astype(np.float64)), pa.array(np.full(len(weights), met))],
                 ["at", "weight", "windows"],
             )
 
@@ -345,22 +383,6 @@ def _score(flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.n
     hot_hashes, hot_counts = hot
     cache = Cache(None, CACHED_WORDS)
 
-    def words_of(low: bytes, starts, ends, spot):
-        pieces = _pieces(path or model_path())
-
-        def make(new: list[int]) -> list[tuple[bytes, float]]:
-            at = [spot[h] for h in new]
-            coded = pieces.encode([low[starts[k] : ends[k]].decode() for k in at], num_threads=1)
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            ids = np.fromiter((i for c in coded for i in c), np.int64)
-            kinds = vocabulary.kind[ids].tobytes()
-            ends_ = np.cumsum(lengths)
-            sums = np.concatenate([np.zeros(1), np.cumsum(vocabulary.share[ids])])
-            shares = sums[ends_] - sums[ends_ - lengths]
-            return [(kinds[e - n : e], s) for e, n, s in zip(ends_.tolist(), lengths.tolist(), shares.tolist())]
-
-        return make
-
     def class_logs(model: Model, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each class of the lines (which end with END)."""
         blocks = -(-lengths // STEP)
@@ -383,19 +405,13 @@ def _score(flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.n
         return out[spots]
 
     def run(batches):
-        model = Model(flat)
+        model, pieces = Model(flat), _pieces(path or model_path())
         for batch, texts in slices(batches, "text"):
-            low, starts, ends, hashes, firsts = _word_table(texts)
-            distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-            spot = dict(zip(distinct.tolist(), at.tolist()))
-            values = cache.get(distinct.tolist(), words_of(low, starts, ends, spot))
-            sizes = np.fromiter((len(v[0]) for v in values), np.int64, len(values))
-            shares = np.fromiter((v[1] for v in values), np.float64, len(values))[place]
-            blob = np.frombuffer(b"".join([v[0] for v in values]), np.uint8)
-            begins = np.cumsum(sizes) - sizes
-            counts = sizes[place]
+            table = _word_table(texts)
+            hashes, firsts = table[3:]
+            kinds, counts, shares = _lines(table, vocabulary, pieces, cache)
+            distinct, place = np.unique(hashes, return_inverse=True)
             reach = np.cumsum(counts)
-            kinds = blob[np.arange(reach[-1] if len(reach) else 0) + np.repeat(begins[place] - (reach - counts), counts)]
             cut = np.concatenate([np.zeros(1, np.int64), reach])[firsts]
             kinds = np.insert(kinds, cut[1:], END)
             logs_of = np.concatenate([np.zeros(1), np.cumsum(class_logs(model, kinds, np.diff(cut) + 1))])

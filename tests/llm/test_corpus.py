@@ -162,6 +162,23 @@ def test_training_beats_the_prior(spark):
     assert score(done) > score(start)
 
 
+def test_training_meets_every_target(monkeypatch):
+    pieces = lm_score._pieces(sp_codec.model_path())
+    texts = [prose(n, n).encode() for n in (3, 40, 1_000)] + [b"", b"  ", b"tok " * 500]
+    vocabulary = lm_score.Vocabulary(np.zeros(pieces.get_piece_size()))
+    windows = lm_score._windows(texts, vocabulary, pieces)
+    lines = [[int(vocabulary.kind[i]) for w in t.lower().split() for i in pieces.encode(w.decode())] + [lm_score.END] for t in texts]
+    goals = windows[:, lm_score.STEP + 1 :]
+    assert goals[goals >= 0].tolist() == [k for line in lines for k in line]
+    assert (windows[:, lm_score.STEP] == lm_score.START).sum() == len(texts)
+    met, gradient = [], lm_score.Model.gradient
+    monkeypatch.setattr(lm_score, "LEAST_STEPS", 1)
+    monkeypatch.setattr(lm_score.Model, "gradient", lambda m, i, t, counted: met.append(counted.sum()) or gradient(m, i, t, counted))
+    start = lm_score.Model.fresh(vocabulary.prior(np.zeros(pieces.get_piece_size()), 6))
+    lm_score.train(start, iter([windows[:9], windows[9:]]), 1)
+    assert sum(met) == sum(map(len, lines))
+
+
 # -- 3 sharding, 10 mixing
 
 
