@@ -4,7 +4,8 @@ Words are split into subwords by a public vocabulary. The frequent subwords are
 classes of their own, the others share classes of about equal mass; the model
 predicts the next class from the last subwords, and a class gives each of its
 subwords its share of the training counts, plus one. A word's probability is a
-fixed mixture of the model's and of the frequent words' shares. A text is cut into blocks
+fixed mixture of the model's and of the word's share of the training words; the
+counts of frequent words are sent to the tasks, those of others are joined. A text is cut into blocks
 of STEP targets; each block is scored once, in a window that also holds the STEP
 subwords before it, many windows at a time, under a causal mask.
 
@@ -46,7 +47,7 @@ RATE = 0.01
 #: Counts of so many words go to every task; those of all others are joined.
 HOT_WORDS = 1 << 16
 CACHED_WORDS = 200_000
-#: Share of the attention model in a word's probability; the rest goes to the hot words by their counts.
+#: Share of the attention model in a word's probability; the rest goes to the training words by their counts.
 ATTENTION = 0.4
 _SHAPES = {
     "embed": (CLASSES, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
@@ -378,8 +379,13 @@ def fit(training: DataFrame, counts: DataFrame, documents: int, path: str | None
     return flat, vocabulary
 
 
-def _score(flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.ndarray], documents: int, path: str | None):
-    """Per text: words, sums over hot words, cold words with their counts, and the model's score."""
+def _score(
+    flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.ndarray], documents: int, all_tokens: int, path: str | None
+):
+    """Per text: words, sums over hot words, and cold words with the model's share in each occurrence's log probability.
+
+    The score counts a cold word as one that training lacks.
+    """
     hot_hashes, hot_counts = hot
     cache = Cache(None, CACHED_WORDS)
 
@@ -421,7 +427,7 @@ def _score(flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.n
             hot_n = np.where(known, hot_counts[near], 0.0) if len(hot_hashes) else np.zeros(len(distinct))
             by_model = np.diff(np.concatenate([np.zeros(1), logs_of[reach]])) + np.insert(shares, firsts[1:], 0) * math.log(10)
             with np.errstate(divide="ignore"):
-                by_count = np.log(np.insert(hot_n[place], firsts[1:], documents) / max(hot_counts.sum() + documents, 1))
+                by_count = np.log(np.insert(hot_n[place], firsts[1:], documents) / max(all_tokens, 1))
             mixed = np.logaddexp(math.log(ATTENTION) + by_model, math.log(1 - ATTENTION) + by_count) / math.log(10)
             tokens = np.concatenate([np.zeros(1), np.cumsum(mixed)])
             scores = np.diff(tokens[firsts + np.arange(len(firsts))])
@@ -429,17 +435,20 @@ def _score(flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.n
             logs = np.log10(hot_n + 1.0)
             owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
             cold = np.flatnonzero(~known[place])
-            pairs = np.unique(np.stack([owner[cold], place[cold]]), axis=1, return_counts=True) if len(cold) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            offsets = np.searchsorted(pairs[0][0], np.arange(len(texts) + 1)).astype(np.int32)
-            cold_hash = pa.ListArray.from_arrays(pa.array(offsets), pa.array(distinct[pairs[0][1]].view(np.int64)))
-            cold_n = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs[1].astype(np.int64)))
+            cold = cold[np.lexsort((place[cold], owner[cold]))]
+            at = np.flatnonzero((np.diff(owner[cold], prepend=-1) != 0) | (np.diff(place[cold], prepend=-1) != 0))
+            offsets = np.searchsorted(owner[cold][at], np.arange(len(texts) + 1)).astype(np.int32)
+            cold_hash = pa.ListArray.from_arrays(pa.array(offsets), pa.array(distinct[place[cold][at]].view(np.int64)))
+            own = math.log(ATTENTION) + np.delete(by_model, firsts[1:] + np.arange(len(texts)))[cold]
+            times = pa.ListArray.from_arrays(pa.array(np.append(at, len(cold)).astype(np.int32)), pa.array(own))
+            cold_model = pa.ListArray.from_arrays(pa.array(offsets), times)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(np.diff(firsts) + 1),
                     pa.array(total(known[place].astype(np.float64)).astype(np.int64)), pa.array(total(logs[place])),
-                    pa.array(scores), cold_hash, cold_n,
+                    pa.array(scores), cold_hash, cold_model,
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_hot", "hot_logs", "score", "cold", "cold_n"],
+                ["doc_id", "held_out", "n_tokens", "n_hot", "hot_logs", "score", "cold", "cold_model"],
             )
 
     return run
@@ -480,20 +489,31 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     flat, vocabulary = fit(training, counts, documents, path)
     rows = materialize(
         marked.mapInArrow(
-            _score(flat, vocabulary, hot, documents, path),
+            _score(flat, vocabulary, hot, documents, all_tokens, path),
             "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_logs double, score double, "
-            "cold array<long>, cold_n array<long>",
+            "cold array<long>, cold_model array<array<double>>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "lm-rows",
     )
-    cold = rows.select("row", F.explode(F.arrays_zip("cold", "cold_n")).alias("c")).select(
-        "row", F.col("c.cold").alias("hash"), F.col("c.cold_n").alias("times")
+    cold = rows.select("row", F.explode(F.arrays_zip("cold", "cold_model")).alias("c")).select(
+        "row", F.col("c.cold").alias("hash"), F.col("c.cold_model").alias("model")
     )
+    by_count = F.log(F.col("n") * ((1 - ATTENTION) / max(all_tokens, 1)))
+
+    def gain(own: Column) -> Column:
+        """What the word's count adds to the log probability of an occurrence: log(1 + exp(over)) for any size of ``over``."""
+        over = by_count - own
+        return F.greatest(over, F.lit(0.0)) + F.log1p(F.exp(-F.abs(over)))
+
+    times = F.size("model")
     looked_up = (
-        cold.join(counts.select("hash", "n"), "hash")  # words that training lacks add log10(1) = 0
+        cold.join(counts.select("hash", "n"), "hash")  # words that training lacks add log10(1) = 0, and no share
         .groupBy("row")
-        .agg(F.sum("times").alias("n_cold"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("cold_logs"))
-    )
+        .agg(
+            F.sum(times).alias("n_cold"), F.sum(times * F.log10(F.col("n") + 1)).alias("cold_logs"),
+            F.sum(F.aggregate("model", F.lit(0.0), lambda a, own: a + gain(own))).alias("gains"),
+        )
+    )
     end_known, end_log = int(documents > 0), math.log10(documents + 1)
     return rows.join(looked_up, "row", "left").select(
         "doc_id",
@@ -505,7 +525,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             F.col("hot_logs") + F.coalesce("cold_logs", F.lit(0.0)) + end_log
             - F.col("n_tokens") * math.log10(all_tokens + kinds + 1)
         ).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gains", F.lit(0.0)) / math.log(10)).alias("score"),
     )
 
 

@@ -179,6 +179,17 @@ def test_training_meets_every_target(monkeypatch):
     assert sum(met) == sum(map(len, lines))
 
 
+@pytest.mark.parametrize("most", [0, 40])
+def test_hot_words_change_no_score(docs, monkeypatch, most):
+    """Counts that are joined give the scores that counts in the task give."""
+    weights = lm_score.fit(docs.filter("not (doc_id <=> 5)"), lm_score.word_counts(docs), 40)
+    monkeypatch.setattr(lm_score, "fit", lambda *_: weights)
+    told = lambda: sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 4), round(r.score, 4)) for r in lm_score.score(docs).collect())
+    want = told()
+    monkeypatch.setattr(lm_score, "HOT_WORDS", most)
+    assert np.allclose(told(), want, atol=1e-3)
+
+
 # -- 3 sharding, 10 mixing
 
 
