@@ -64,7 +64,7 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     # Places that are least for some window; equal ones that a window holds are neighbours among them.
     top = ~sliding_min(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
     places = np.flatnonzero(grams == top)
-    twice = np.flatnonzero((grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) < width))
+    twice = np.flatnonzero((grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= width))
     periodic = np.zeros(len(start), bool)
     for k in twice.tolist():
         a, b = places[k], places[k + 1]

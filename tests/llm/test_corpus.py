@@ -421,6 +421,16 @@ def test_passages_of_few_letters(spark):
     assert set(map(tuple, suffix_dedup.digests(suffix_dedup.remove_repeats(frame)).collect())) == want
 
 
+@pytest.mark.parametrize("period", [168, 169, 170])
+def test_periods_about_the_grams_of_a_string(spark, period):
+    """Lines of as many bytes as a string has q-grams, alone and in two documents of different length."""
+    line = lambda seed: "".join(random.Random(seed).choices("abcdefgh ", k=period - 1)) + "\n"
+    for texts in ([line(1) * 5], [prose(60, 3) + line(2) * 4 + prose(60, 4), line(2)[50:] + line(2) * 9]):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        want = {(i, *x) for i, x in enumerate(removed([t.encode() for t in texts]))}
+        assert set(map(tuple, suffix_dedup.digests(suffix_dedup.remove_repeats(frame)).collect())) == want
+
+
 def shingles(text):
     w = raw(text).split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
