@@ -1,8 +1,11 @@
 """PII: detected entities get keyed surrogates of the same type and format.
 
 An entity is named by its canonical form (a phone number by its digits, an
-e-mail address in lower case, a person by title-less name), so that spellings of
-one entity share one surrogate. The surrogate's canonical form is drawn from a
+e-mail address in lower case, a person by gender, script, given and family
+name), so that spellings of one entity share one surrogate. Persons are found
+by their titles; then their full and family names are replaced wherever the same
+text has them without one. A family name is an entity of its own, so that all
+who bear it keep one name; given names are told apart inside it. The surrogate's canonical form is drawn from a
 keyed hash of the entity's; every occurrence shows it in its own format. All
 distinct entities of the table are checked together: of entities whose surrogates
 are equal all but one draw again, and so does one whose surrogate is an entity
@@ -11,6 +14,7 @@ of the table itself.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -68,7 +72,7 @@ PATTERNS = (
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])"), ""),
     (
         "name",
-        re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, (t for ts in TITLES.values() for t in ts)), key=len, reverse=True))})\b\.? ({_NAME}(?: {_NAME}){{0,2}})(?!\w)"),
+        re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, (t for ts in TITLES.values() for t in ts)), key=len, reverse=True))})\b\.? (?=({_NAME}(?: {_NAME}){{0,2}})(?!\w))"),
         "",
     ),
 )
@@ -98,22 +102,115 @@ def _script(text: str) -> str:
 
 
 def _person(match: re.Match) -> tuple[str, int, int] | None:
-    """Canonical form (gender|script|words|family name) and span of the capitalised words after a title."""
+    """Canonical form (gender|script|given names|family name) and span of the capitalised words after a title."""
     words, end = [], match.start(1)
     for part in re.finditer(_NAME, match[1]):
         if not part[0][0].isupper() or (words and part[0].isupper() != words[0].isupper()):
             break
-        words.append(part[0])
-        end = match.start(1) + part.end()
+        own = _bare(part[0])
+        if own.casefold() in _TITLE:  # a title of the next person, or a second one that is matched itself
+            break
+        words.append(own)
+        end = match.start(1) + part.start() + len(own)
+        if own != part[0]:
+            break
     if not words:
         return None
     title = match[0][: match.start(1) - match.start()].rstrip(". ").casefold()
-    name = unicodedata.normalize("NFC", words[-1]).casefold()  # the family name is what mentions share
-    return f"{_TITLE.get(title, 'n')}|{_script(words[0])}|{name}", match.start(1), end
+    *given, family = map(_folded, words)
+    return f"{_TITLE.get(title, 'n')}|{_script(words[-1])}|{' '.join(given)}|{family}", match.start(1), end
+
+
+def _bare(word: str) -> str:
+    """The word without a possessive ending."""
+    return re.sub(r"(?<=.)['’][sS]$", "", word)
+
+
+def _folded(word: str) -> str:
+    return unicodedata.normalize("NFC", word).casefold()
+
+
+def _family(name: str) -> str:
+    """The canonical form of a person's family name."""
+    _, script, _, family = name.split("|")
+    return f"{script}|{family}"
+
+
+def _told_apart(names: list[str]) -> dict[str, str]:
+    """Names as titles give them -> the persons of the text.
+
+    A neutral title takes the one gender that the text gives the full name, else
+    the family name while that has one bearer. A family name alone is the one
+    bearer of its gender.
+    """
+    bearers: dict[str, dict[str, set[str]]] = {}
+    for name in names:
+        gender, _, given, _ = name.split("|")
+        bearers.setdefault(_family(name), {}).setdefault(given, set()).update({gender} - {"n"})
+    found = {}
+    for name in names:
+        gender, script, given, family = name.split("|")
+        own = bearers[_family(name)]
+        full = [g for g in own if g]
+        if gender == "n":
+            genders = own[given]
+            if not genders and (not given or len(full) == 1):
+                genders = set().union(*own.values())
+            gender = min(genders) if len(genders) == 1 else "n"
+        if not given:
+            alike = [g for g in full if gender == "n" or gender in own[g] or not own[g]]
+            given = alike[0] if len(alike) == 1 else ""
+        found[name] = f"{gender}|{script}|{given}|{family}"
+    return found
+
+
+def _untitled(text: str, persons: list[str], taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(person, start, end) of full and family names of ``persons`` at places that are not taken."""
+    by_family: dict[str, dict[str, str]] = {}
+    for name in persons:
+        _, _, given, family = name.split("|")
+        by_family.setdefault(family, {}).setdefault(given, name)
+    starts = [a for a, _ in taken]
+    before: list[tuple[str, int, int]] = []  # the given names that may belong to the next word
+    for match in re.finditer(rf"(?<!\w){_NAME}(?!\w)", text):
+        own = _bare(match[0])
+        pieces = [(own, match.start())]
+        if _folded(own) not in by_family and own != re.sub(r"['’-]", "", own):
+            pieces = [(part[0], match.start() + part.start()) for part in re.finditer(r"[^\W\d_]+", own)]
+        for word, start in pieces:
+            end, fold = start + len(word), _folded(word)
+            if before and text[before[-1][2] : start] != " ":
+                before = []
+            bearers = by_family.get(fold)
+            if bearers is None or not word[0].isupper():
+                before = [*before[-1:], (fold, start, end)] if word[0].isupper() else []
+                continue
+            name, begin = None, start
+            for k in (2, 1):
+                given = " ".join(w for w, _, _ in before[-k:])
+                if len(before) >= k and given in bearers:
+                    name, begin = bearers[given], before[-k][1]
+                    break
+            if name is None:
+                if len(word) < 2:  # an initial alone is no name
+                    before = [*before[-1:], (fold, start, end)]
+                    continue
+                name = next(iter(bearers.values()))
+                if len(bearers) > 1:
+                    gender, script, _, family = name.split("|")
+                    name = bearers.get("", f"n|{script}||{family}")
+            before = [*before[-1:], (fold, start, end)]  # a family name may be another's given name
+            at = bisect.bisect_right(starts, begin)
+            if (at == 0 or taken[at - 1][1] <= begin) and (at == len(taken) or taken[at][0] >= end):
+                yield name, begin, end
+                before = []
 
 
 def find(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, canonical form, start, end) of the entities, in order; earlier patterns win overlaps."""
+    """(kind, canonical form, start, end) of the entities, in order; earlier patterns win overlaps.
+
+    Full and family names of the persons found are sought once more without titles.
+    """
     found, taken = [], []
     digits = any(c in text for c in "0123456789")
     for kind, pattern, needle in PATTERNS:
@@ -146,9 +243,21 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
             if all(end <= a or start >= b for a, b in taken):
                 taken.append((start, end))
                 found.append((kind, name, start, end))
+    if named := [f[1] for f in found if f[0] == "name"]:
+        persons = _told_apart(named)
+        found = [(kind, persons[name] if kind == "name" else name, a, b) for kind, name, a, b in found]
+        known = list(dict.fromkeys(persons[n] for n in named))
+        found += [("name", *f) for f in _untitled(text, known, sorted(taken))]
     return sorted(found, key=lambda f: f[2])
 
 
+def _entities(text: str) -> set[tuple[str, str]]:
+    """(kind, canonical form) of all that gets a surrogate: what is found, and the persons' family names."""
+    found = {(kind, name) for kind, name, _, _ in find(text)}
+    families = {("family", _family(name)) for kind, name in found if kind == "name"}
+    return {(kind, name) for kind, name in found if kind != "name" or name.split("|")[2]} | families
+
+
 class Draws:
     """A stream of numbers that a key, an entity and an attempt decide."""
 
@@ -196,16 +305,20 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
         return f"{name[:2]}{check:02d}{body}"
     if kind in ("phone", "ssn"):
         return str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in name[1:])
-    if kind == "name":
-        gender, script, _ = name.split("|", 2)
+    if kind == "family":
+        script = name.split("|")[0]
         parts = SYLLABLES[script]
-        family = "".join(parts[draw.below(len(parts))] for _ in range(3 + attempt // 2))
-        return f"{gender}|{script}|{family}"
+        return f"{script}|{''.join(parts[draw.below(len(parts))] for _ in range(3 + attempt // 2))}"
+    if kind == "name":  # the family name has a surrogate of its own, by which no two are equal
+        gender, script, given, family = name.split("|")
+        names = GIVEN[script, gender]
+        new = ("-".join(names[draw.below(len(names))] for _ in range(1 + attempt // 2)) for _ in given.split())
+        return f"{gender}|{script}|{' '.join(new)}|{family}"
     prefix = "AKIA" if name.startswith("AKIA") else ""
     return prefix + draw.like(name[len(prefix):], hexa=not re.search(r"[g-zG-Z]", name))
 
 
-def show(kind: str, own: str, replaced: str, key: bytes = KEY) -> str:
+def show(kind: str, own: str, replaced: str) -> str:
     """The surrogate in the format of this occurrence."""
     if kind in ("phone", "card", "ssn"):
         digits, keep = list(replaced), len(_digits(own)) - len(replaced)
@@ -222,13 +335,8 @@ def show(kind: str, own: str, replaced: str, key: bytes = KEY) -> str:
     if kind == "email":
         return replaced.upper() if own.isupper() else replaced
     if kind == "name":
-        gender, script, family = replaced.split("|", 2)
-        words = re.findall(_NAME, own)
-        given = []
-        for word in words[:-1]:  # the same given name gets the same surrogate beside the same family name
-            names = GIVEN[script, gender]
-            given.append(names[Draws(key, "given", family, word.casefold()).below(len(names))])
-        out = " ".join([*given, family.capitalize()])
+        _, _, given, family = replaced.split("|")
+        out = f"{given} {family.capitalize()}" if " " in own and given else family.capitalize()
         return out.upper() if own.isupper() and len(own) > 1 else out
     return replaced
 
@@ -237,7 +345,11 @@ def replace(text: str, moved: dict[tuple[str, str], int], key: bytes = KEY) -> t
     """The text with surrogates, and their kinds and places in the new text."""
     out, at, spans, size = [], 0, [], 0
     for kind, name, start, end in find(text):
-        new = show(kind, text[start:end], surrogate(kind, name, moved.get((kind, name), 0), key), key)
+        new = surrogate(kind, name, moved.get((kind, name), 0), key)
+        if kind == "name":
+            family = "family", _family(name)
+            new = f"{new.rpartition('|')[0]}|{surrogate(*family, moved.get(family, 0), key).partition('|')[2]}"
+        new = show(kind, text[start:end], new)
         out += [text[at:start], new]
         size += start - at
         spans.append({"kind": kind, "start": size, "end": size + len(new)})
@@ -248,7 +360,7 @@ def replace(text: str, moved: dict[tuple[str, str], int], key: bytes = KEY) -> t
 
 def _named(batches) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, "text"):
-        rows = {(k, n) for t in texts for k, n, _, _ in find(t.decode())}
+        rows = {e for t in texts for e in _entities(t.decode())}
         yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in rows], "name": [n for _, n in rows]}, schema=_ENTITY)
 
 
@@ -279,7 +391,7 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         if not clash.take(1):
             return state
         marked = state.join(clash.select("kind", "surrogate", "stays", "real"), ["kind", "surrogate"], "left")
-        # A person's family name may be that of another: only equal surrogates and real entities draw again.
+        # Only equal surrogates and real entities draw again.
         again = F.col("stays").isNotNull() & (F.col("real").isNotNull() | (F.col("stays.name") != F.col("name")))
         redrawn = marked.filter(again).select("kind", "name", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         state = materialize(marked.filter(~again).select(*state.columns).unionByName(redrawn), "pii-surrogates")
@@ -318,7 +430,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, sent_rows: int = SENT_ROWS)
 
         return rows
 
-    few = moved.limit(sent_rows + 1).collect()  # rarely a row: most surrogates hold at once
+    few = moved.limit(sent_rows + 1).collect()  # given names are drawn again most: a family has few first ones
     if len(few) <= sent_rows:
         sent = {(r.kind, r.name): r.attempt for r in few}
         return docs.select("doc_id", "text").mapInArrow(run(sent, False), schema)
@@ -327,7 +439,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, sent_rows: int = SENT_ROWS)
 
     def own(batches):
         for batch, texts in slices(batches, "text"):
-            rows = {(a, k, n) for a, t in zip(batch.column(1).to_pylist(), texts) for k, n, _, _ in find(t.decode())}
+            rows = {(a, k, n) for a, t in zip(batch.column(1).to_pylist(), texts) for k, n in _entities(t.decode())}
             yield pa.RecordBatch.from_pylist(
                 [{"at": a, "kind": k, "name": n} for a, k, n in rows], schema=pa.schema([("at", pa.int64()), *_ENTITY])
             )

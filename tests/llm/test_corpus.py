@@ -357,6 +357,28 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     assert len({r.surrogate for r in state}) == 2 and all(r.surrogate >= "2" for r in state)
 
 
+def test_persons_without_titles(spark):
+    text = ("Dr Anna Miller spoke. Mrs. Miller's paper by Anna Miller and MILLER; Miller, Peter Miller-Kurz. miller stays. "
+            "Dr Smith met Mrs Smith and Smithers. Mr Peter Jones, Mr Paul Jones: Paul Jones, Jones.")
+    names = [(n, text[a:b]) for k, n, a, b in pii.find(text) if k == "name"]
+    anna = "f|latin|anna|miller"
+    assert names[:6] == [(anna, own) for own in ("Anna Miller", "Miller", "Anna Miller", "MILLER", "Miller", "Miller")]
+    assert [n for n, own in names if own == "Smith"] == ["f|latin||smith"] * 2
+    assert [n for n, own in names if own == "Paul Jones"] == ["m|latin|paul|jones"] * 2
+    new = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert not re.search(r"Anna Miller|Miller|MILLER|Smith\b|Jones|Paul", new) and "miller stays" in new and "Smithers" in new
+    shown = re.match(r"Dr (\S+ (\S+)) spoke. Mrs. (\S+)'s paper by (\S+ \S+) and (\S+); (\S+), ", new).groups()
+    assert shown[0] == shown[3] and {shown[1]} == {shown[2], shown[5], shown[4].capitalize()}
+
+
+def test_full_names_stay_apart(spark):
+    rows_ = [(i, f"{title} {given}{i} Smith".replace(str(i), "abcdefghijklmnopqrstuvwxyz"[i])) for i in range(26) for title, given in [("Mr", "Pe")]]
+    rows_ += [(100 + i, f"Κύριος {'αβγδεζηθικλμ'[i].upper()}νν Παππ") for i in range(12)] + [(200 + i, f"Dr {'ΑΒΓΔΕΖΗΘ'[i]}νν Παππ") for i in range(8)]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(rows_, "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(rows_)
+    assert len({t.split()[-1] for t in got}) == 2  # one family name each for Smith and Παππ
+
+
 # -- 7 exact, 8 passages, 9 near duplicates
 
 
