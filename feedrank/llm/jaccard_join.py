@@ -1,10 +1,10 @@
-"""N-gram Jaccard join over a MinHash LSH forest.
+"""N-gram Jaccard join over MinHash bands.
 
 Texts with the same set of word shingles are one node. A node's signature is a
-row of minima; each tree of the forest orders the nodes by a prefix of labels
-from its own part of the signature. Prefixes are shortened from the full depth
-while a pair at the threshold would be missed more often than the target
-recall allows; nodes that share the prefix left are a bucket. Buckets with the
+row of minima; each tree has its own part of it. The trees are no sorted tries:
+a prefix of fixed length, the longest by which a pair at the threshold is missed
+no more often than the target recall allows, is hashed into one key a tree, and
+nodes of one key are a bucket (banding). Buckets with the
 same members in several trees count once. Inside a bucket all signatures are
 compared, and pairs that may be similar connect candidate groups. Inside those,
 shingle sets are compared exactly: every link counts, and links join classes.
