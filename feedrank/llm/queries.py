@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_score, mixing, pii, quality_rules, sharding, sp_codec, suffix_dedup, token_binary
+from . import (
+    decontaminate, exact_dedup, jaccard_join, lexical_search, lm_score, mixing, period_runs, pii, quality_rules, sharding,
+    sp_codec, suffix_dedup, token_binary,
+)
 
 QUERIES = {
     "op1_quality_rules": (quality_rules.op1_quality_rules, None),
@@ -15,4 +18,7 @@ QUERIES = {
     "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, None),
     "op9_jaccard_join": (jaccard_join.op9_jaccard_join, None),
     "op10_mixing": (mixing.op10_mixing, None),
+    "op11_decontaminate": (decontaminate.op11_decontaminate, decontaminate.OP11_SQL),
+    "op12_period_runs": (period_runs.op12_period_runs, None),
+    "op13_lexical_search": (lexical_search.op13_lexical_search, lexical_search.OP13_SQL),
 }

@@ -533,7 +533,7 @@ def test_pipeline_stages(spark, docs, nothing):
         assert stage(spark, nothing, sf).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op13_lexical_search"}))  # op13 returns rows of items
 def test_registered_queries_return_every_document(spark, name):
     sf = "/root/testdata/sf0.001"
     df = queries.QUERIES[name][0](spark, sf)
