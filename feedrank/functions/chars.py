@@ -1,17 +1,19 @@
 """Character folding as JVM expressions.
 
-Spark has no NFKD and no casefold function. Both are per-character rules, so
-they are written with ``translate`` (one character to one or none) plus a
-replacement for the few characters that expand to several. The tables are
-derived from ``unicodedata`` once per driver process; nothing runs in Python
-workers. Pure ASCII text, the common case, skips all of it.
+Spark has no NFKD and no casefold function, but it ships the Unicode tables that
+its collations use. They are reached with ``reflect``, so no plan carries
+a character table and nothing runs in Python workers. Pure ASCII text, the
+common case, skips the call.
+
+Spark takes ``reflect`` for non-deterministic: it does not push filters below a
+projection that folds, nor copy the expression into others. Fold a name once, in
+a column of its own, after the filters.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,103 +27,34 @@ def literal_map(pairs: dict[str, str]) -> Column:
     return F.str_to_map(F.lit(text), F.lit(_PAIR_SEP), F.lit(_KEY_SEP))
 
 
-def _char_class(chars: list[str]) -> str:
-    """Regex class of the given characters, neighbours joined to ranges."""
-    spans: list[list[int]] = []
-    for cp in sorted(map(ord, chars)):
-        if spans and cp == spans[-1][1] + 1:
-            spans[-1][1] = cp
-        else:
-            spans.append([cp, cp])
-    return "[" + "".join(
-        f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
-
-
-_HANGUL = (0xAC00, 0xD7A3)  # syllables: taken apart by arithmetic, not by table
-# Text outside these ranges may hold a character that expands to several.
-_RARE = r"[^\x00-\x7F\u00C0-\u0131]"
-_FOLD_RARE = r"[^\x00-\x7F\u00E0-\u0148]|ß"
-
-
-def _code_points():
-    """All code points that may change, without surrogates and Hangul syllables."""
-    for low, high in ((0x80, _HANGUL[0] - 1), (_HANGUL[1] + 1, 0xD7FF), (0xE000, 0x10FFFF)):
-        yield from range(low, high + 1)
-
-
-def _tables(rule: Callable[[str], str]) -> tuple[str, str, dict[str, str]]:
-    """Split a character rule into translate arguments and expansions."""
-    source, target, dropped, expanded = [], [], [], {}
-    for cp in _code_points():
-        char = chr(cp)
-        folded = rule(char)
-        if folded == char:
-            continue
-        if not folded:
-            dropped.append(char)
-        elif len(folded) == 1:
-            source.append(char)
-            target.append(folded)
-        else:
-            expanded[char] = folded
-    # translate() deletes the characters that have no counterpart.
-    return "".join(source) + "".join(dropped), "".join(target), expanded
-
-
-def _strip_rule(char: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-
-
-def _fold_rule(char: str) -> str:
-    # Applied after lower(), so only characters that are already lower count.
-    return char.casefold() if char.lower() == char else char
+_NOT_ASCII = r"[^\x00-\x7F]"
+NORMALIZER = ("com.ibm.icu.text.Normalizer", "decompose")
+FOLDER = ("com.ibm.icu.lang.UCharacter", "foldCase")
 
 
 @functools.lru_cache(maxsize=None)
-def _accent_tables():
-    return _tables(_strip_rule)
+def marks() -> str:
+    """Regex class of the combining marks: characters with a combining class."""
+    spans: list[list[int]] = []
+    for cp in range(0x80, 0x110000):
+        if unicodedata.combining(chr(cp)):
+            if spans and cp == spans[-1][1] + 1:
+                spans[-1][1] = cp
+            else:
+                spans.append([cp, cp])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
 
 
-@functools.lru_cache(maxsize=None)
-def _fold_tables():
-    return _tables(_fold_rule)
-
-
-def _apply(col: Column, tables: tuple[str, str, dict[str, str]], rare: str = _RARE) -> Column:
-    source, target, expanded = tables
-    found = F.when(
-        col.rlike(rare),
-        F.array_distinct(F.regexp_extract_all(col, F.lit(f"({_char_class(list(expanded))})"))),
-    ).otherwise(F.array().cast("array<string>"))
-    folded = F.aggregate(
-        found,
-        F.translate(col, source, target),
-        lambda acc, c: F.replace(acc, c, F.element_at(literal_map(expanded), c)),
-    )
-    return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
-
-
-def _jamo(char: Column) -> Column:
-    """The letters of a Hangul syllable."""
-    place = F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("int") - _HANGUL[0]
-    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
-    tail = place % 28
-    return F.concat(
-        letter(F.lit(0x1100) + F.floor(place / 588)),
-        letter(F.lit(0x1161) + F.floor(place % 588 / 28)),
-        F.when(tail > 0, letter(F.lit(0x11A7) + tail)).otherwise(F.lit("")),
-    )
+def _unicode(method: tuple[str, str], col: Column) -> Column:
+    return F.reflect(F.lit(method[0]), F.lit(method[1]), col, F.lit(True))
 
 
 def strip_accents(col: Column) -> Column:
     """NFKD with combining marks dropped."""
-    syllable = r"[\uAC00-\uD7A3]"
-    letters = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(col, F.lit(f"({syllable})"))), col, lambda acc, c: F.replace(acc, c, _jamo(c))
-    )
-    return _apply(F.when(col.rlike(syllable), letters).otherwise(col), _accent_tables())
+    plain = F.regexp_replace(_unicode(NORMALIZER, col), marks(), "")
+    return F.when(col.rlike(_NOT_ASCII), plain).otherwise(col)
 
 
 def casefold(col: Column) -> Column:
     """Unicode case folding ("Straße" -> "strasse")."""
-    return _apply(F.lower(col), _fold_tables(), rare=_FOLD_RARE)
+    return F.when(col.rlike(_NOT_ASCII), _unicode(FOLDER, col)).otherwise(F.lower(col))

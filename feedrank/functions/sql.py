@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .. import rules
-from .chars import _FOLD_RARE, _HANGUL, _RARE, _accent_tables, _char_class, _fold_tables
+from .chars import _NOT_ASCII, FOLDER, NORMALIZER, marks
 from .text import quote_java
 from .urls import _IP_LITERAL, _SPLIT
 
@@ -18,15 +18,12 @@ def _lit(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _folded(s: str, tables: tuple[str, str, dict[str, str]], rare: str) -> str:
-    """A character rule as SQL, from the tables of the Column functions."""
-    source, target, expanded = tables
-    pairs = "\x1e".join(f"{k}\x1f{v}" for k, v in expanded.items())
-    return f"""CASE WHEN NOT {s} RLIKE {_lit(r'[^\x00-\x7F]')} THEN {s} ELSE aggregate(
-        CASE WHEN {s} RLIKE {_lit(rare)} THEN array_distinct(regexp_extract_all({s}, {_lit('(' + _char_class(list(expanded)) + ')')}))
-         ELSE CAST(array() AS ARRAY<STRING>) END,
-        translate({s}, {_lit(source)}, {_lit(target)}),
-        (acc, c) -> replace(acc, c, element_at(str_to_map({_lit(pairs)}, {_lit(chr(30))}, {_lit(chr(31))}), c))) END"""
+def _unicode(method: tuple[str, str]) -> str:
+    return f"reflect({_lit(method[0])}, {_lit(method[1])}, s, true)"
+
+
+def _unless_ascii(folded: str, plain: str) -> str:
+    return f"CASE WHEN s RLIKE {_lit(_NOT_ASCII)} THEN {folded} ELSE {plain} END"
 
 
 def register(spark: SparkSession, suffixes=rules.SUFFIX_TOKENS) -> None:
@@ -36,18 +33,10 @@ def register(spark: SparkSession, suffixes=rules.SUFFIX_TOKENS) -> None:
     clean = f"translate(regexp_replace(u, {_lit(r'(?U)^\s+|\s+$')}, ''), {_lit(chr(9) + chr(13) + chr(10))}, '')"
     part = lambda i: f"regexp_extract({clean}, {_lit(_SPLIT)}, {i})"
     plain = lambda c: f"regexp_replace(fold_case(coalesce({c}, '')), {_lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')}, '')"
-    syllable = r"[\uAC00-\uD7A3]"
-    place = f"(CAST(conv(hex(encode(c, 'UTF-32')), 16, 10) AS INT) - {_HANGUL[0]})"
-    letter = lambda n: f"decode(unhex(lpad(hex(CAST({n} AS BIGINT)), 8, '0')), 'UTF-32')"
     functions = {
-        "letters_of(s STRING)": f"""CASE WHEN NOT s RLIKE {_lit(syllable)} THEN s ELSE aggregate(
-            array_distinct(regexp_extract_all(s, {_lit('(' + syllable + ')')})), s, (acc, c) -> replace(acc, c, concat(
-             {letter(f'4352 + floor({place} / 588)')}, {letter(f'4449 + floor({place} % 588 / 28)')},
-             CASE WHEN {place} % 28 > 0 THEN {letter(f'4519 + {place} % 28')} ELSE '' END))) END""",
-        "strip_marks(s STRING)": _folded("s", _accent_tables(), _RARE),
-        "fold_lower(s STRING)": _folded("s", _fold_tables(), _FOLD_RARE),
-        "fold_case(s STRING)": "fold_lower(lower(s))",
-        "fold_name(s STRING)": "lower(strip_marks(letters_of(s)))",
+        "strip_marks(s STRING)": _unless_ascii(f"regexp_replace({_unicode(NORMALIZER)}, {_lit(marks())}, '')", "s"),
+        "fold_case(s STRING)": _unless_ascii(_unicode(FOLDER), "lower(s)"),
+        "fold_name(s STRING)": "lower(strip_marks(s))",
         "company_key(s STRING)": "regexp_replace(fold_name(s), '[^a-z0-9]', '')",
         "slugify(s STRING)": "trim(BOTH '-' FROM regexp_replace(replace(fold_name(s), '&', ' and '), '[^a-z0-9]+', '-'))",
         "normalize_folded(f STRING)": f"""coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(
