@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.names import (
     alias_slug,
-    contains_tokens,
     fold,
     key_of_folded,
     name_tokens,
@@ -21,11 +20,10 @@ from ..functions.names import (
 )
 from ..functions.text import collapse_ws
 from ..schema import ORDER_COLUMNS
+from ..session import materialize
+from .containment import CELL_ROWS, first_rows, holders
 from .dedup import first_by
 
-# Above this many candidates a token is not used as a join key.
-HOT_TOKEN_ROWS = 10_000
-
 
 def companies_of(postings: DataFrame, order: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
     """First display name of each key: (company_key, company, n_postings,
@@ -89,7 +87,7 @@ def best_candidates(
     candidate_id: str = "profile_id",
     candidate_norm: str = "profile_name_norm",
     k: int = R.CANDIDATES_PER_QUERY,
-    hot_rows: int = HOT_TOKEN_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar candidates of each sought name.
 
@@ -98,76 +96,29 @@ def best_candidates(
     candidate that holds every word sought scores 0.85; nothing else matches.
     Ties go to the smaller candidate id.
 
-    A candidate that holds all words holds the rarest one, so names meet on
-    that word alone. Only words in at most ``hot_rows`` candidates are join
-    keys. A name made of hot words only is compared with the distinct sets of
-    hot words that candidates have (few, whatever the number of candidates),
-    each with its k first candidates. Both ways are exact, neither forms all
-    pairs of a group: no name can need more than the k first candidates of
-    one normalised form.
+    Names are written once with their words. Each normalised form needs its k
+    first candidates only; containment is a walk over a prefix trie, see
+    ``containment``. Exact, and no pairs of a whole group are formed.
     """
     cid = F.col(candidate_id)
-
-    def first_k(df: DataFrame, per: str, *order) -> DataFrame:
-        w = Window.partitionBy(per).orderBy(*order)
-        return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
-
-    wanted = sought.select(key, F.col(norm).alias("_norm"))
-    names = wanted.filter(F.col("_norm") != "").select("_norm").distinct()
-    near = first_k(
-        candidates.select(candidate_id, F.col(candidate_norm).alias("_cand"))
-        .filter(F.col("_cand") != ""),
-        "_cand",
-        cid,
-    ).drop("_n")
-    words = near.withColumn("_words", name_tokens(F.col("_cand"))).select(
-        candidate_id, "_words", F.explode("_words").alias("_word")
-    )
-    frequency = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_rows"))
-    rarest = (
-        names.select("_norm", F.explode(name_tokens(F.col("_norm"))).alias("_word"))
-        .join(frequency, "_word", "left")
-        .withColumn("_rows", F.coalesce("_rows", F.lit(0)))
-        .groupBy("_norm")
-        .agg(F.min_by("_word", F.struct("_rows", "_word")).alias("_word"), F.min("_rows").alias("_rows"))
-        .filter(F.col("_rows") > 0)
-    )
-    holds_all = contains_tokens(name_tokens(F.col("_norm")), F.col("_words"))
-
-    # At most (words of all candidates) / hot_rows rows. Sent to every task, so
-    # that rows of hot words are never shuffled by their word.
-    hot_words = F.broadcast(frequency.filter(F.col("_rows") > hot_rows).select("_word"))
-
-    exact = names.join(near, F.col("_norm") == F.col("_cand")).select(
-        "_norm", candidate_id, F.lit(1.0).alias("similarity")
-    )
-    cold = (
-        rarest.filter(F.col("_rows") <= hot_rows)
-        .join(words.join(hot_words, "_word", "left_anti"), "_word")
-        .filter(holds_all)
-        .select("_norm", candidate_id, F.lit(0.85).alias("similarity"))
-    )
-    hot_sets = first_k(
-        words.join(hot_words, "_word")
-        .groupBy(candidate_id)
-        .agg(F.array_sort(F.collect_set("_word")).alias("_words")),
-        "_words",
-        cid,
-    ).select(candidate_id, "_words", F.explode("_words").alias("_word"))
-    hot = (
-        rarest.filter(F.col("_rows") > hot_rows)
-        .join(hot_sets, "_word")
-        .filter(holds_all)
-        .select("_norm", candidate_id, F.lit(0.85).alias("similarity"))
-    )
+    wanted = materialize(sought.select(key, F.col(norm).alias("_norm")), "sought-names")
+    names = wanted.filter(F.col("_norm") != "").select(F.col("_norm").alias("name")).distinct()
+    near = materialize(
+        first_rows(
+            candidates.select(cid.alias("id"), F.col(candidate_norm).alias("name")).filter(F.col("name") != ""), "name", k, F.col("id")
+        ).select("id", "name", name_tokens(F.col("name")).alias("words")),
+        "candidate-names",
+    )
+    exact = names.join(near, "name").select("name", "id", F.lit(1.0).alias("similarity"))
+    held = holders(names.withColumn("words", name_tokens(F.col("name"))), near.select("id", "words"), k, cell_rows)
     scored = (
-        exact.unionByName(cold)
-        .unionByName(hot)
-        .groupBy("_norm", candidate_id)
+        exact.unionByName(held.withColumn("similarity", F.lit(0.85)))
+        .groupBy("name", "id")
         .agg(F.max("similarity").alias("similarity"))
     )
-    best = first_k(scored, "_norm", F.desc("similarity"), cid)
-    return wanted.join(best, "_norm").select(key, candidate_id, "similarity", F.col("_n").alias("place"))
+    best = first_rows(scored, "name", k, F.desc("similarity"), F.col("id"))
+    return wanted.join(best, F.col("_norm") == F.col("name")).select(
+        key, F.col("id").alias(candidate_id), "similarity", F.col("_n").alias("place"))
 
 
 def derived_slugs(companies: DataFrame, suffixes: Sequence[str] = R.SLUG_SUFFIXES) -> DataFrame:

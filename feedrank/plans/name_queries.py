@@ -98,7 +98,7 @@ def best_profile(spark, sf):
     return _candidates(spark, sf, 1)
 
 
-# One word sought, held by every profile: the hot-word way.
+# One word sought, held by every profile.
 @query("q_common_word", O.with_([O.EVERY_PROFILE], f"""SELECT lower(n_name) AS nation, p.profile_id,
  {O.sim(O.norm("'Customer'"), 'p.pn')} AS similarity FROM nation CROSS JOIN (
   SELECT profile_id, {O.norm('profile_name')} AS pn FROM profiles) p
@@ -107,7 +107,7 @@ def common_word(spark, sf):
     wanted = resolve.with_norm(
         X.table(spark, sf, "nation").select(F.lower("n_name").alias("nation"), F.lit("Customer").alias("company")))
     return resolve.best_candidates(
-        wanted, resolve.with_norm(X.profiles(spark, sf, gaps=False), "profile_name"), key="nation", hot_rows=100
+        wanted, resolve.with_norm(X.profiles(spark, sf, gaps=False), "profile_name"), key="nation", cell_rows=100
     ).select("nation", "profile_id", "similarity")
 
 

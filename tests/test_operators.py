@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedrank import rules as R
 from feedrank.functions.names import similarity
-from feedrank.operators import classify, contacts, dedup, limits, ranking, ratings, report, resolve, skew, watchlist
+from feedrank.operators import classify, contacts, containment, dedup, limits, ranking, ratings, report, resolve, skew, watchlist
 from feedrank.schema import OUTREACH, POSTING, RATING, RATING_STATE, conform
 
 COLS = "query_ordinal int, item_ordinal long, source string, job_id string, title string, company string, " \
@@ -104,8 +105,8 @@ def test_position_in_groups(spark):
         assert [r.o for r in part] == sorted(r.o for r in part)
 
 
-@pytest.mark.parametrize("hot_rows", [10_000, 4, 0])
-def test_best_candidates_equals_all_pairs(spark, hot_rows):
+@pytest.mark.parametrize("cell_rows", [10_000, 4, 1])
+def test_best_candidates_equals_all_pairs(spark, cell_rows):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "common", "group"]
     name = lambda: " ".join(rng.sample(words, rng.randint(1, 3)))
@@ -119,10 +120,33 @@ def test_best_candidates_equals_all_pairs(spark, hot_rows):
     for key, rows in itertools.groupby(sorted(pairs), key=lambda r: r.company_key):
         best = sorted(rows, key=lambda r: (-r.s, r.profile_id))[:3]
         expected |= {(key, r.profile_id, r.s, i + 1) for i, r in enumerate(best)}
-    got = resolve.best_candidates(sought, cands, k=3, hot_rows=hot_rows).collect()
+    got = resolve.best_candidates(sought, cands, k=3, cell_rows=cell_rows).collect()
     assert {(r.company_key, r.profile_id, r.similarity, r.place) for r in got} == expected
 
 
+def test_containment_with_a_frequent_word(spark):
+    """A third of the sought names share one word, a third of the candidates another: cells stay small, nothing is lost."""
+    rng = random.Random(5)
+    sought = [(f"n{i}", ["acme", f"city{rng.randint(0, 40)}", f"x{rng.randint(0, 3)}"] if i % 3 == 0 else [f"w{i % 50}", f"city{i % 41}"])
+              for i in range(600)]
+    sets = [(i, ["acme"] * (i % 5 == 0) + ["group"] * (i % 3 == 0) + [f"city{i % 41}", f"x{i % 4}", f"w{i % 50}"]) for i in range(900)]
+    sought += [("only", ["group"]), ("both", ["acme", "group"]), ("none", ["acme", "absent"])]
+    left = spark.createDataFrame(sought, "name string, words array<string>")
+    right = spark.createDataFrame(sets, "id long, words array<string>")
+    want = {n: [i for i, s in sets if set(w) <= set(s)] for n, w in sought}
+    for cell_rows in (2_000, 20, 3):
+        got = collections.defaultdict(set)
+        for r in containment.holders(left, right, 8, cell_rows).collect():
+            got[r.name].add(r.id)
+        assert all(got[n] <= set(ids) and set(ids[:8]) <= got[n] for n, ids in want.items())
+    nodes = spark.createDataFrame([("acme", 200, 180)], "node string, n_sought long, n_holding long")
+    seeking = left.filter("array_contains(words, 'acme')").select("name", F.lit("acme").alias("node"), F.col("words").alias("path"))
+    holding = right.filter("array_contains(words, 'acme')").withColumn("node", F.lit("acme"))
+    for side in containment.compared(seeking, holding, nodes, 20):
+        sizes = [r["count"] for r in side.groupBy("node", "i", "j").count().collect()]
+        assert len(sizes) > 60 and max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_salted_join_equals_plain_join(spark):
     left = spark.range(1000).select("id", F.when(F.col("id") < 600, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "key string, v int")
