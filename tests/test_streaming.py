@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from feedrank.plans import daily, fixture as X
 from feedrank.state import load_state
 from feedrank.streaming import incremental as S
+from feedrank.streaming import processors as P
 
 
 def test_stream_in_file_order_equals_batch(spark, sf, tmp_path):
@@ -58,3 +59,37 @@ def test_new_checkpoint_keeps_the_state(spark, tmp_path):
         S.track_checks(S.read_stream(spark, str(tmp_path / f"in{turn}"), S.CHECKS), root, str(tmp_path / f"check{turn}"))
     assert sorted(map(tuple, load_state(spark, root, S.CHECKS).collect())) == [("a", 9), ("b", 7)]
     assert versions(spark, root) == [1, 2]
+
+
+POSTING = ("query_ordinal int, item_ordinal long, source string, job_id string, title string, company string, location string, "
+           "modality string, job_url string, tags array<string>, day string")
+
+
+def test_late_postings_are_set_aside(spark, tmp_path):
+    """Copies go, comebacks after the span enter again, and rows behind the watermark land in their own folder."""
+    def row(day, i, url):
+        return (0, i, "s", str(i), "Junior AI Engineer", "C", "L", "M", f"https://a/{url}", [], day and f"2024-01-{day:02d}")
+
+    landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    runs = [[row(1, 1, "a"), row(2, 2, "a"), row(3, 3, "b")], [row(20, 4, "a"), row(19, 5, "a"), row(9, 6, "c")],
+            [row(5, 7, "late"), row(4, 8, "a"), row(14, 9, "d"), row(None, 10, "e"), row(21, 11, "a")], [row(18, 12, "e"), row(12, 13, "d")]]
+    for rows in runs:
+        spark.createDataFrame(rows, POSTING).withColumn("captured_at", F.to_timestamp("day")).coalesce(1).write.mode("append").parquet(landing)
+        schema = spark.read.parquet(landing).schema
+        P.append_by_outcome(P.first_seen_or_late(S.read_stream(spark, landing, schema)), out, log)
+    got = {(r.outcome, r.job_id) for r in spark.read.parquet(out).collect()}
+    assert got == {("first", j) for j in ("1", "3", "5", "6", "9", "10")} | {("late", j) for j in ("7", "8", "13")}
+
+
+def test_rechecks_fall_due(spark, tmp_path):
+    landing, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    seen = []
+    for clock, rows in ((100, [("a", 50), ("b", 95), ("n", None)]), (150, [("b", 94), ("c", 149), ("a", 30)]), (160, [("a", 155)]), (250, [("b", 240)])):
+        frame = spark.createDataFrame(rows, "company_key string, checked_at long").withColumn("landed_at", F.timestamp_seconds(F.lit(clock)))
+        frame.coalesce(1).write.mode("append").parquet(landing)
+        P_stream = P.recheck_changes(S.read_stream(spark, landing, frame.schema), ttl=60)
+        S.append_available(P_stream, out, log)
+        seen.append({(r.company_key, r.checked_at) for r in P.due_now(spark.read.schema(P.CHANGES).parquet(out)).collect()})
+    assert seen == [{("n", 0)}, {("n", 0), ("a", 50)}, {("n", 0), ("b", 95)}, {("n", 0), ("c", 149), ("a", 155)}]
+    kinds = [(r.company_key, r.checked_at, r.kind) for r in spark.read.schema(P.CHANGES).parquet(out).collect()]
+    assert sorted(k for k in kinds if k[0] == "a") == [("a", 50, "due"), ("a", 155, "due"), ("a", 155, "renewed")]
