@@ -16,6 +16,7 @@ from ..functions.names import (
 )
 from ..functions.scores import finite_or_zero, score_display
 from ..functions.text import blank_to_null, pct_encode
+from ..ledger import Ledger
 from ..schema import RATING
 from .resolve import is_ignored, with_company_key
 from .skew import ROWS_PER_SALT, hot_keys, salted_left_join
@@ -120,15 +121,21 @@ def is_plausible_legacy(company: Column, key: Column, norm: Column, entry: Colum
     return is_trusted(norm, entry) & (slug != "") & (words_fit | compact_fit | alias_fit)
 
 
-def _cache_view(companies: DataFrame, state: DataFrame, run_epoch: int) -> DataFrame:
+def _with_entries(companies: DataFrame, state: DataFrame | Ledger) -> DataFrame:
+    """Companies with their cached entry; a ledger is read where its buckets lie."""
+    if isinstance(state, Ledger):
+        return state.lookup(companies, "_entry").withColumn("_entry", F.col("_entry").cast(RATING))
+    entries = state.select("company_key", F.struct(*[f.name for f in RATING.fields]).cast(RATING).alias("_entry"))
+    return companies.join(entries, "company_key", "left")
+
+
+def _cache_view(companies: DataFrame, state: DataFrame | Ledger, run_epoch: int) -> DataFrame:
     """Companies with their cached entry and what may be done with it."""
-    entry_cols = [f.name for f in RATING.fields]
-    entries = state.select("company_key", F.struct(*entry_cols).cast(RATING).alias("_entry"))
     entry, company, key, norm = F.col("_entry"), F.col("company"), F.col("company_key"), F.col("company_norm")
     primary = F.lower(F.coalesce(entry["platform"], F.lit(""))) == R.PRIMARY_PLATFORM.lower()
     unnamed = blank_to_null(entry["matched_name"]).isNull()
     good = F.when(unnamed, is_plausible_legacy(company, key, norm, entry)).otherwise(is_trusted(norm, entry))
-    return companies.join(entries, "company_key", "left").withColumn(
+    return _with_entries(companies, state).withColumn(
         "_cache",
         F.when(is_ignored(norm), F.lit("ignored"))
         .when(entry.isNull(), F.lit("absent"))
@@ -139,7 +146,7 @@ def _cache_view(companies: DataFrame, state: DataFrame, run_epoch: int) -> DataF
     )
 
 
-def needs_lookup(companies: DataFrame, state: DataFrame, run_epoch: int) -> DataFrame:
+def needs_lookup(companies: DataFrame, state: DataFrame | Ledger, run_epoch: int) -> DataFrame:
     """Companies the state cannot answer: only these reach the lookup joins."""
     return (
         _cache_view(companies, state, run_epoch)
@@ -149,7 +156,7 @@ def needs_lookup(companies: DataFrame, state: DataFrame, run_epoch: int) -> Data
 
 
 def decide(
-    companies: DataFrame, state: DataFrame, lookup: DataFrame, fallback: DataFrame, run_epoch: int
+    companies: DataFrame, state: DataFrame | Ledger, lookup: DataFrame, fallback: DataFrame, run_epoch: int
 ) -> DataFrame:
     """Rating of each company and what to write to the state.
 
@@ -202,6 +209,13 @@ def upsert(state: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def changes_of(decisions: DataFrame) -> DataFrame:
+    """What a ledger appends for the decisions of a run: written and deleted entries."""
+    entry = F.col("entry").cast(RATING)
+    return decisions.filter(F.col("action").isin("replace", "stamp", "insert", "delete")).select(
+        "company_key", *[entry[f.name].alias(f.name) for f in RATING.fields], (F.col("action") == "delete").alias("deleted"))
+
+
 def last_write(changes: DataFrame, order: str) -> DataFrame:
     """One row per company key: the latest change."""
     rest = [c for c in changes.columns if c != "company_key"]

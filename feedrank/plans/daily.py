@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..ledger import Ledger
 from ..operators import classify, contacts, dedup, ranking, ratings, resolve
 from ..operators.limits import limit_by_manifest, union_feeds
 from ..operators.skew import ROWS_PER_SALT
@@ -54,9 +55,9 @@ def candidates(postings: DataFrame, rules: R.Rules = R.DEFAULT_RULES) -> DataFra
 
 
 def rate(
-    postings: DataFrame, state: DataFrame, directory: DataFrame, evidence: DataFrame, options: Options
+    postings: DataFrame, state: DataFrame | Ledger, directory: DataFrame, evidence: DataFrame, options: Options
 ) -> tuple[DataFrame, DataFrame]:
-    """(postings with ratings, next rating state).
+    """(postings with ratings, next rating state; of a ledger, the changes to append).
 
     Only companies the state cannot answer reach the directory joins, and only
     their misses the fallback. ``directory`` is indexed. Frames that several
@@ -69,19 +70,19 @@ def rate(
     second = ratings.fallback_ratings(missed, evidence)
     decisions = materialize(ratings.decide(companies, state, lookup, second, options.run_epoch), "decisions")
     rated = ratings.join_ratings(postings, decisions, companies, options.rows_per_salt)
-    return rated, ratings.upsert(state, decisions)
+    return rated, ratings.changes_of(decisions) if isinstance(state, Ledger) else ratings.upsert(state, decisions)
 
 
 def daily(
     postings: DataFrame,
-    state: DataFrame,
+    state: DataFrame | Ledger,
     directory: DataFrame,
     evidence: DataFrame,
     contact_directory: DataFrame,
     profile: DataFrame,
     options: Options,
 ) -> tuple[DataFrame, DataFrame]:
-    """(ranked postings, next rating state)."""
+    """(ranked postings, next rating state; of a ledger, the changes to append)."""
     kept = materialize(candidates(postings, options.rules), "candidates")
     pages = materialize(resolve.index_directory(directory), "directory")
     rated, next_state = rate(kept, state, pages, evidence, options)

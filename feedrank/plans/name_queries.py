@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import names as N, sql
 from ..functions.text import collapse_ws
+from ..ledger import Ledger
 from ..operators import ratings, resolve
-from ..session import materialize
+from ..session import materialize, scratch_path
 from . import daily as D
 from . import fixture as X
 from . import oracle as O
@@ -172,9 +173,9 @@ STATE_CHAIN = [O.POSTINGS, O.PROFILES, O.PREFILTERED, O.DEDUPED, O.COMPANIES, O.
 _FIELDS = ", ".join(O.RATING_FIELDS)
 
 
-def _decisions(spark, sf):
+def _decisions(spark, sf, state=None):
     companies = kept_companies(spark, sf)
-    state = X.rating_state(spark, sf)
+    state = X.rating_state(spark, sf) if state is None else state
     pages = materialize(resolve.index_directory(X.directory(spark, sf)), "directory")
     asked = materialize(ratings.needs_lookup(companies, state, X.RUN_EPOCH), "asked")
     lookup = materialize(resolve.primary_lookup(asked, pages), "lookup")
@@ -188,13 +189,26 @@ def cache_decision(spark, sf):
     return decisions.select("company_key", "action", *[f"rating.{f}" for f in O.RATING_FIELDS])
 
 
-@query("q_cache_upsert", O.with_(STATE_CHAIN, f"""SELECT company_key, {_FIELDS} FROM state s
+_UPSERTED = O.with_(STATE_CHAIN, f"""SELECT company_key, {_FIELDS} FROM state s
  WHERE company_key NOT IN (SELECT company_key FROM decided WHERE action <> 'none')
- UNION ALL SELECT company_key, {_FIELDS} FROM decided WHERE action IN ('replace', 'stamp', 'insert')"""))
+ UNION ALL SELECT company_key, {_FIELDS} FROM decided WHERE action IN ('replace', 'stamp', 'insert')""")
+
+
+@query("q_cache_upsert", _UPSERTED)
 def cache_upsert(spark, sf):
     return ratings.upsert(*_decisions(spark, sf))
 
 
+@query("q_state_ledger", _UPSERTED)
+def state_ledger(spark, sf):
+    """The same next state from a compacted base and the delta of the run's changes."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.append(X.rating_state(spark, sf).withColumn("deleted", F.lit(False)))
+    ledger.compact()
+    ledger.append(ratings.changes_of(_decisions(spark, sf, ledger)[1]))
+    return ledger.load()
+
+
 @query("q_cache_trust", O.with_([*BASE, O.CUSTOMERS, O.STATE], f"""SELECT c.company_key, ({O.TRUSTED_SQL}) AS trusted,
  ({O.PLAUSIBLE_SQL}) AS plausible FROM companies c JOIN state s USING (company_key)"""))
 def cache_trust(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules as R
+from ..ledger import Ledger
 from ..operators.classify import prefilter
 from ..operators.dedup import with_dedup_key
 from ..operators.ratings import is_fresh, join_ratings
@@ -60,8 +61,10 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
-def rate_batches(stream: DataFrame, state_root: str, out: str, checkpoint: str) -> None:
-    """Join each batch to the newest rating state.
+def rate_batches(stream: DataFrame, state: str | Ledger, out: str, checkpoint: str) -> None:
+    """Join each batch to the newest rating state: the root of its snapshots, or a ledger.
+
+    A ledger is asked for the companies of the batch only, where its buckets lie.
 
     The state is read again for every batch. Each batch of a stream owns a folder
     that a repeated batch replaces, so a retry cannot write rows twice; a stream
@@ -70,10 +73,13 @@ def rate_batches(stream: DataFrame, state_root: str, out: str, checkpoint: str)
     """
     def batch(frame: DataFrame, batch_id: int) -> None:
         spark = frame.sparkSession
-        state = load_state(spark, state_root)
-        ratings = state.select("company_key", F.struct(*[f.name for f in RATING.fields]).alias("rating"))
         rows = materialize(with_company_key(frame), "batch")
-        rated = join_ratings(rows, ratings, companies_of(rows))
+        companies = companies_of(rows)
+        if isinstance(state, Ledger):
+            ratings = state.lookup(companies.select("company_key"), "rating")
+        else:
+            ratings = load_state(spark, state).select("company_key", F.struct(*[f.name for f in RATING.fields]).alias("rating"))
+        rated = join_ratings(rows, ratings, companies)
         rated.write.mode("overwrite").parquet(f"{out}/stream={stream_id(spark, checkpoint)}/batch={batch_id}")
 
     each_available(stream, batch, checkpoint)
