@@ -2,10 +2,13 @@
 
 Words are split into subwords by a public vocabulary. The frequent subwords are
 classes of their own, the others share classes of about equal mass; the model
-predicts the next class from the last subwords, and a class gives each of its
+predicts the next class from the last subwords, first its group and then its
+place in it, and a class gives each of its
 subwords its share of the training counts, plus one. A word's probability is a
 fixed mixture of the model's and of the word's share of the training words; the
-counts of frequent words are sent to the tasks, those of others are joined. A text is cut into blocks
+counts of frequent words are sent to the tasks, those of others are joined. As in
+the base model, a word that training lacks is one event: its share is that of the
+words that training met once, the usual estimate of what is still to come. A text is cut into blocks
 of STEP targets; each block is scored once, in a window that also holds the STEP
 subwords before it, many windows at a time, under a causal mask.
 
@@ -38,9 +41,11 @@ WIDTH, HIDDEN = 16, 32
 CLASSES = 192
 PAD, START, END, FIRST = 0, 1, 2, 3
 SHARED = 40  # classes that subwords share
-ROUNDS = 2
+GROUPS = 16  # classes are predicted in two steps: their group, then their place in it
+MEMBERS = CLASSES // GROUPS
+ROUNDS = 1
 LEAST_STEPS = 400
-BATCH = 64
+BATCH = 128
 #: Windows scored at once; their numbers stay in a core's cache.
 WINDOWS = 128
 RATE = 0.01
@@ -52,7 +57,7 @@ ATTENTION = 0.4
 _SHAPES = {
     "embed": (CLASSES, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
     "out": (WIDTH, WIDTH), "near": (SPAN,), "up": (WIDTH, HIDDEN), "bias": (HIDDEN,), "down": (HIDDEN, WIDTH),
-    "classes": (WIDTH, CLASSES), "prior": (CLASSES,),
+    "groups": (WIDTH, GROUPS), "group_prior": (GROUPS,), "turn": (GROUPS, WIDTH), "members": (WIDTH, MEMBERS), "prior": (CLASSES,),
 }
 #: Place i of the targets sees window places up to STEP + i; distances for the learned nearness.
 _DISTANCE = STEP + np.arange(STEP)[:, None] - np.arange(SPAN)[None, :]
@@ -60,6 +65,23 @@ _CAUSAL = np.where(_DISTANCE >= 0, 0, -1e9).astype(np.float32)
 _SEEN = np.maximum(_DISTANCE, 0)
 
 
+def _sums(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each id."""
+    order = np.argsort(ids.astype(np.uint8), kind="stable")
+    inside = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[inside[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=-1, keepdims=True)
+    return logits
+
+
 class Model:
     """Weights, forward pass and gradients."""
 
@@ -74,47 +96,51 @@ class Model:
     @staticmethod
     def fresh(prior: np.ndarray, seed: int = 5) -> np.ndarray:
         rng = np.random.default_rng(seed)
+        whole = np.log(np.exp(prior).reshape(GROUPS, MEMBERS).sum(axis=1))
+        fixed = {"prior": prior, "group_prior": whole, "turn": np.ones(GROUPS * WIDTH)}
         parts = []
         for name, shape in _SHAPES.items():
-            scale = {"embed": 0.5, "near": 0, "bias": 0, "classes": 0.1}.get(name, 0.25)
-            parts.append(prior if name == "prior" else rng.normal(0, 1, shape).ravel() * scale)
+            scale = {"embed": 0.5, "near": 0, "bias": 0, "groups": 0.1, "members": 0.1}.get(name, 0.25)
+            parts.append(fixed[name] if name in fixed else rng.normal(0, 1, shape).ravel() * scale)
         return np.concatenate(parts).astype(np.float32)
 
-    def forward(self, inputs: np.ndarray):
-        """Logits of the STEP targets of each window of SPAN inputs."""
+    def tables(self) -> None:
+        """Query, key and value of every class, and the biases as one more row, for scoring."""
         w = self.w
-        x = w["embed"][inputs]
-        late = x[:, STEP:]
-        key, value = x @ w["key"], x @ w["value"]
-        query = late @ (w["query"] / math.sqrt(WIDTH))
+        self.queries = np.ascontiguousarray(w["embed"] @ w["query"] / np.float32(math.sqrt(WIDTH)))
+        self.keys, self.values = w["embed"] @ w["key"], w["embed"] @ w["value"]
+        self.mask = w["near"][_SEEN] + _CAUSAL
+        self.up = np.concatenate([w["up"], w["bias"][None, :]])
+        self.groups = np.concatenate([w["groups"], w["group_prior"][None, :]])
+        self.within = w["prior"].reshape(GROUPS, MEMBERS)
+        self.ones = np.ones(max(SPAN, GROUPS, MEMBERS), np.float32)
+
+    def read(self, inputs: np.ndarray):
+        """Last layer of the STEP targets of each window of SPAN inputs, with what the gradient needs."""
+        w, late = self.w, inputs[:, STEP:]
+        key, value, query, own = self.keys[inputs], self.values[inputs], self.queries[late], w["embed"][late]
         raw = query @ key.transpose(0, 2, 1)
-        raw += w["near"][_SEEN] + _CAUSAL
+        raw += self.mask
         if (pads := inputs == PAD).any():
             raw += np.where(pads, np.float32(-1e9), np.float32(0))[:, None, :]
-        raw -= raw.max(axis=2, keepdims=True)
-        weight = np.exp(raw, out=raw)
-        weight /= weight.sum(axis=2, keepdims=True)
+        weight = _softmax(raw)
         read = weight @ value
-        mid = late + read @ w["out"]
+        mid = own + read @ w["out"]
         hidden = np.maximum(mid @ w["up"] + w["bias"], 0)
         top = mid + hidden @ w["down"]
-        logits = top.reshape(-1, WIDTH) @ w["classes"]
-        logits += w["prior"]
-        return logits, (x, late, key, value, query, weight, read, mid, hidden, top)
+        return top.reshape(-1, WIDTH), (key, value, query, weight, read, mid, hidden)
 
-    def tables(self) -> None:
-        """Query, key and value of every class, and the biases as one more row, for scoring."""
-        w = self.w
-        self.queries = np.ascontiguousarray(w["embed"] @ w["query"] / np.float32(math.sqrt(WIDTH)))
-        self.keys, self.values = w["embed"] @ w["key"], w["embed"] @ w["value"]
-        self.mask = w["near"][_SEEN] + _CAUSAL
-        self.up = np.concatenate([w["up"], w["bias"][None, :]])
-        self.classes = np.concatenate([w["classes"], w["prior"][None, :]])
-        self.ones = np.ones(CLASSES, np.float32)
+    def forward(self, inputs: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of all classes for the STEP targets of each window."""
+        top, _ = self.read(inputs)
+        outer = np.log(_softmax(top @ self.w["groups"] + self.w["group_prior"]))
+        inner = np.log(_softmax((top[:, None, :] * self.w["turn"]) @ self.w["members"] + self.within))
+        return (outer[:, :, None] + inner).reshape(-1, CLASSES)
 
     def log_probs(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the targets: ``forward`` with fewer passes over the numbers."""
-        w, late = self.w, inputs[:, STEP:]
+        w, late, goals = self.w, inputs[:, STEP:], targets.ravel()
+        group, at = goals // MEMBERS, np.arange(len(goals))
         weight = self.queries[late] @ self.keys[inputs].transpose(0, 2, 1)
         weight += self.mask
         if (pads := inputs == PAD).any():
@@ -129,27 +155,36 @@ class Model:
             hidden = mid @ self.up
             np.maximum(hidden, 0, out=hidden)
             mid[:, :WIDTH] += hidden @ w["down"]
-            logits = mid @ self.classes
-            own = logits[np.arange(len(logits)), targets.ravel()]
-            total = np.exp(logits, out=logits) @ self.ones
-        bounds = (mass.min(), mass.max(), total.min(), total.max())
-        if not (np.isfinite(bounds).all() and min(bounds) > 1e-30):  # too large or small without a shift
-            logits, _ = self.forward(inputs)
-            logits -= logits.max(axis=1, keepdims=True)
-            return logits[np.arange(len(logits)), targets.ravel()] - np.log(np.exp(logits).sum(axis=1))
-        return own - np.log(total)
+            outer = mid @ self.groups
+            inner = (mid[:, :WIDTH] * w["turn"][group]) @ w["members"]
+            inner += self.within[group]
+            own = outer[at, group] + inner[at, goals - group * MEMBERS]
+            outer_total = np.exp(outer, out=outer) @ self.ones[:GROUPS]
+            inner_total = np.exp(inner, out=inner) @ self.ones[:MEMBERS]
+        totals = (mass, outer_total, inner_total)
+        if not all(np.isfinite(t).all() and t.min() > 1e-30 for t in totals):  # too large or small without a shift
+            return self.forward(inputs)[at, goals]
+        return own - np.log(outer_total) - np.log(inner_total)
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        w = self.w
-        logits, (x, late, key, value, query, weight, read, mid, hidden, top) = self.forward(inputs)
-        logits -= logits.max(axis=1, keepdims=True)
-        probs = np.exp(logits)
-        probs /= probs.sum(axis=1, keepdims=True)
-        probs[np.arange(len(probs)), targets.ravel()] -= 1
-        probs *= (counted.ravel() / max(1, counted.sum()))[:, None].astype(np.float32)
+        w, goals, late = self.w, targets.ravel(), inputs[:, STEP:]
+        group, at = goals // MEMBERS, np.arange(targets.size)
+        top, (key, value, query, weight, read, mid, hidden) = self.read(inputs)
+        share = (counted.ravel() / max(1, counted.sum()))[:, None].astype(np.float32)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"classes": flat(top).T @ probs, "prior": probs.sum(axis=0)}
-        d_top = (probs @ w["classes"].T).reshape(top.shape)
+        outer = _softmax(top @ w["groups"] + w["group_prior"])
+        outer[at, group] -= 1
+        outer *= share
+        turn = w["turn"][group]
+        turned = top * turn
+        inner = _softmax(turned @ w["members"] + self.within[group])
+        inner[at, goals - group * MEMBERS] -= 1
+        inner *= share
+        d_turned = inner @ w["members"].T
+        by_group = _sums(group, np.concatenate([inner, d_turned * top], axis=1), GROUPS)
+        g = {"groups": top.T @ outer, "group_prior": outer.sum(axis=0), "members": turned.T @ inner,
+             "prior": by_group[:, :MEMBERS], "turn": by_group[:, MEMBERS:]}
+        d_top = (outer @ w["groups"].T + d_turned * turn).reshape(mid.shape)
         d_hidden = (d_top @ w["down"].T) * (hidden > 0)
         g["down"] = flat(hidden).T @ flat(d_top)
         g["up"], g["bias"] = flat(mid).T @ flat(d_hidden), flat(d_hidden).sum(axis=0)
@@ -160,15 +195,13 @@ class Model:
         d_value = weight.transpose(0, 2, 1) @ d_read
         d_raw = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
         g["near"] = np.bincount(_SEEN.ravel(), d_raw.sum(axis=0).ravel(), SPAN)
-        d_query = d_raw @ key
-        d_key = d_raw.transpose(0, 2, 1) @ query
-        g["query"] = flat(late).T @ flat(d_query) / math.sqrt(WIDTH)
-        g["key"], g["value"] = flat(x).T @ flat(d_key), flat(x).T @ flat(d_value)
-        d_x = d_key @ w["key"].T + d_value @ w["value"].T
-        d_x[:, STEP:] += d_mid + d_query @ (w["query"].T / math.sqrt(WIDTH))
-        hot = np.zeros((inputs.size, CLASSES), np.float32)
-        hot[np.arange(inputs.size), inputs.ravel()] = 1
-        g["embed"] = hot.T @ flat(d_x)
+        # Per class first: the sums of its places, then once through the weights.
+        of_late = _sums(late.ravel(), np.concatenate([flat(d_mid), flat(d_raw @ key)], axis=1), CLASSES)
+        of_all = _sums(inputs.ravel(), np.concatenate([flat(d_raw.transpose(0, 2, 1) @ query), flat(d_value)], axis=1), CLASSES)
+        d_query = of_late[:, WIDTH:] / np.float32(math.sqrt(WIDTH))
+        d_key, d_value = of_all[:, :WIDTH], of_all[:, WIDTH:]
+        g["query"], g["key"], g["value"] = (w["embed"].T @ d for d in (d_query, d_key, d_value))
+        g["embed"] = of_late[:, :WIDTH] + d_query @ w["query"].T + d_key @ w["key"].T + d_value @ w["value"].T
         return np.concatenate([np.asarray(g[n], np.float32).ravel() for n in _SHAPES])
 
 
@@ -198,6 +231,7 @@ def train(flat: np.ndarray, windows: np.ndarray | Iterable[np.ndarray], seed: in
             lift = math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             # The number of steps is not known before the end: the rate falls as 1 / step, to a tenth.
             flat -= rate * max(0.1, 1 / (1 + 2 * step / LEAST_STEPS)) * lift * first / (np.sqrt(second) + 1e-8)
+            model.tables()
 
     for part in [windows] if isinstance(windows, np.ndarray) else windows:
         if room > 0:
@@ -380,7 +414,8 @@ def fit(training: DataFrame, counts: DataFrame, documents: int, path: str | None
 
 
 def _score(
-    flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.ndarray], documents: int, all_tokens: int, path: str | None
+    flat: np.ndarray, vocabulary: Vocabulary, hot: tuple[np.ndarray, np.ndarray], documents: int, all_tokens: int, novel: float,
+    path: str | None,
 ):
     """Per text: words, sums over hot words, and cold words with the model's share in each occurrence's log probability.
 
@@ -426,8 +461,8 @@ def _score(
             known = (hot_hashes[near] == distinct) if len(hot_hashes) else np.zeros(len(distinct), bool)
             hot_n = np.where(known, hot_counts[near], 0.0) if len(hot_hashes) else np.zeros(len(distinct))
             by_model = np.diff(np.concatenate([np.zeros(1), logs_of[reach]])) + np.insert(shares, firsts[1:], 0) * math.log(10)
-            with np.errstate(divide="ignore"):
-                by_count = np.log(np.insert(hot_n[place], firsts[1:], documents) / max(all_tokens, 1))
+            seen = np.insert(hot_n[place], firsts[1:], documents)
+            by_count = np.log(np.where(seen > 0, seen * ((1 - novel) / max(all_tokens, 1)), novel))
             mixed = np.logaddexp(math.log(ATTENTION) + by_model, math.log(1 - ATTENTION) + by_count) / math.log(10)
             tokens = np.concatenate([np.zeros(1), np.cumsum(mixed)])
             scores = np.diff(tokens[firsts + np.arange(len(firsts))])
@@ -483,13 +518,14 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     training = marked.filter("not held_out")
     counts = materialize(word_counts(training), "lm-words")
     documents = training.count()
-    stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     all_tokens, kinds = stats.n + documents, stats.v + (documents > 0)
     hot = _hot_words(counts)
     flat, vocabulary = fit(training, counts, documents, path)
+    novel = (stats.once + 1) / (all_tokens + 2)
     rows = materialize(
         marked.mapInArrow(
-            _score(flat, vocabulary, hot, documents, all_tokens, path),
+            _score(flat, vocabulary, hot, documents, all_tokens, novel, path),
             "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_logs double, score double, "
             "cold array<long>, cold_model array<array<double>>",
         ).withColumn("row", F.monotonically_increasing_id()),
@@ -498,12 +534,13 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     cold = rows.select("row", F.explode(F.arrays_zip("cold", "cold_model")).alias("c")).select(
         "row", F.col("c.cold").alias("hash"), F.col("c.cold_model").alias("model")
     )
-    by_count = F.log(F.col("n") * ((1 - ATTENTION) / max(all_tokens, 1)))
+    by_count = F.log(F.col("n") * ((1 - ATTENTION) * (1 - novel) / max(all_tokens, 1)))
+    as_novel = F.lit(math.log((1 - ATTENTION) * novel))
 
     def gain(own: Column) -> Column:
-        """What the word's count adds to the log probability of an occurrence: log(1 + exp(over)) for any size of ``over``."""
-        over = by_count - own
-        return F.greatest(over, F.lit(0.0)) + F.log1p(F.exp(-F.abs(over)))
+        """What the word's count adds to the log probability of an occurrence that was taken for a novel word's."""
+        both = lambda other: F.greatest(own, other) + F.log1p(F.exp(-F.abs(other - own)))
+        return both(by_count) - both(as_novel)
 
     times = F.size("model")
     looked_up = (

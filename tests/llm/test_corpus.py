@@ -133,9 +133,8 @@ def test_gradients_and_windows():
         down[i] -= 1e-2
         slope = (lm_score.Model(down).log_probs(inputs, goals).mean() - lm_score.Model(up).log_probs(inputs, goals).mean()) / 2e-2
         assert abs(slope - grad[i]) < 2e-3
-    logits, _ = lm_score.Model(flat).forward(inputs)
-    logits = logits - logits.max(axis=1, keepdims=True)
-    whole = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    whole = lm_score.Model(flat).forward(inputs)
+    assert np.allclose(np.exp(whole).sum(axis=1), 1, atol=1e-4)
     assert np.allclose(whole[np.arange(48), goals.ravel()], lm_score.Model(flat).log_probs(inputs, goals), atol=1e-4)
     # Later inputs never change a target's probability.
     later = inputs.copy()
@@ -162,6 +161,48 @@ def test_training_beats_the_prior(spark):
     assert score(done) > score(start)
 
 
+def test_held_out_texts_are_likelier_than_by_the_base_model(spark):
+    rows_ = lm_score.op2_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    tokens = sum(r.n_tokens for r in rows_)
+    assert sum(r.score for r in rows_) / tokens > sum(r.base_score for r in rows_) / tokens + 0.1
+
+
+def test_scores_of_whole_texts(docs):
+    """The score from its parts: full forward passes over subword classes, word by word."""
+    training = docs.filter(~lm_score.held_out())
+    counts = {r.word: r.n for r in lm_score.word_counts(training.select(common.whole_text().alias("text"))).collect()}
+    n_docs = training.count()
+    n, once = sum(counts.values()) + n_docs, sum(c == 1 for c in counts.values())
+    novel = (once + 1) / (n + 2)
+    frozen = lm_score.fit(training.select(common.whole_text().alias("text")), lm_score.word_counts(training.select(common.whole_text().alias("text"))), n_docs)
+    flat, vocabulary = frozen
+    model, pieces = lm_score.Model(flat), lm_score._pieces(sp_codec.model_path())
+    own_fit, lm_score.fit = lm_score.fit, lambda *_: frozen
+    try:
+        got = {(r.doc_id, r.n_tokens): r.score for r in lm_score.score(docs).collect()}
+    finally:
+        lm_score.fit = own_fit
+    for doc_id, text in [(r[0], r[1]) for r in rows() if r[0] in (3, 4, 9, 12, 20)]:
+        words = raw(text).lower().split()
+        coded = [pieces.encode(w.decode()) for w in words]
+        line = [lm_score.START] + [int(vocabulary.kind[i]) for c in coded for i in c] + [lm_score.END]
+        logs = []
+        for k in range(1, len(line)):  # the window of a target: its block's inputs and the STEP before
+            block = (k - 1) // lm_score.STEP * lm_score.STEP
+            padded = [lm_score.PAD] * lm_score.STEP + line
+            window = padded[block : block + lm_score.SPAN]
+            window = [c if place <= k - 1 - block + lm_score.STEP else lm_score.PAD for place, c in enumerate(window + [0] * (lm_score.SPAN - len(window)))]
+            logs.append(model.forward(np.array([window]))[(k - 1) % lm_score.STEP, line[k]])
+        total, at = 0.0, 0
+        for w, c in [*zip(words, coded), (None, [None])]:
+            by_model = sum(logs[at : at + len(c)]) + (sum(vocabulary.share[i] for i in c) * math.log(10) if w is not None else 0)
+            at += len(c)
+            seen = n_docs if w is None else counts.get(w.decode(), 0)
+            by_count = seen * (1 - novel) / n if seen else novel
+            total += math.log10(lm_score.ATTENTION * math.exp(by_model) + (1 - lm_score.ATTENTION) * by_count)
+        assert abs(got[doc_id, len(words) + 1] - total) < 1e-3 * max(1, abs(total))
+
+
 def test_training_meets_every_target(monkeypatch):
     pieces = lm_score._pieces(sp_codec.model_path())
     texts = [prose(n, n).encode() for n in (3, 40, 1_000)] + [b"", b"  ", b"tok " * 500]
