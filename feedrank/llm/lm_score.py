@@ -65,21 +65,34 @@ _CAUSAL = np.where(_DISTANCE >= 0, 0, -1e9).astype(np.float32)
 _SEEN = np.maximum(_DISTANCE, 0)
 
 
-def _sums(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each id."""
+def _row_of_ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def _sums(ids: np.ndarray, parts: list[np.ndarray], n: int) -> np.ndarray:
+    """Sums of the rows of each id, the parts side by side."""
     order = np.argsort(ids.astype(np.uint8), kind="stable")
     inside = ids[order]
     first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[inside[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out = np.zeros((n, sum(p.shape[1] for p in parts)), np.float32)
+    out[inside[first]] = np.concatenate([np.add.reduceat(p.take(order, axis=0), first, axis=0) for p in parts], axis=1)
     return out
 
 
+_ONES = np.ones(max(SPAN, GROUPS, MEMBERS), np.float32)
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=-1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=-1, keepdims=True)
-    return logits
+    """Shares along the last axis; shifted only where the plain exponentials are too large or small."""
+    n = logits.shape[-1]
+    with np.errstate(over="ignore"):
+        shares = np.exp(logits)
+        total = shares @ _ONES[:n]
+    if not (np.isfinite(total).all() and total.min() > 1e-30):
+        shares = np.exp(logits - logits.max(axis=-1, keepdims=True))
+        total = shares @ _ONES[:n]
+    shares *= (1 / total)[..., None]
+    return shares
 
 
 class Model:
@@ -124,11 +137,10 @@ class Model:
         if (pads := inputs == PAD).any():
             raw += np.where(pads, np.float32(-1e9), np.float32(0))[:, None, :]
         weight = _softmax(raw)
-        read = weight @ value
-        mid = own + read @ w["out"]
+        read = (weight @ value).reshape(-1, WIDTH)
+        mid = own.reshape(-1, WIDTH) + read @ w["out"]
         hidden = np.maximum(mid @ w["up"] + w["bias"], 0)
-        top = mid + hidden @ w["down"]
-        return top.reshape(-1, WIDTH), (key, value, query, weight, read, mid, hidden)
+        return mid + hidden @ w["down"], (key, value, query, weight, read, mid, hidden)
 
     def forward(self, inputs: np.ndarray) -> np.ndarray:
         """Natural log probabilities of all classes for the STEP targets of each window."""
@@ -171,7 +183,6 @@ class Model:
         group, at = goals // MEMBERS, np.arange(targets.size)
         top, (key, value, query, weight, read, mid, hidden) = self.read(inputs)
         share = (counted.ravel() / max(1, counted.sum()))[:, None].astype(np.float32)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
         outer = _softmax(top @ w["groups"] + w["group_prior"])
         outer[at, group] -= 1
         outer *= share
@@ -181,23 +192,29 @@ class Model:
         inner[at, goals - group * MEMBERS] -= 1
         inner *= share
         d_turned = inner @ w["members"].T
-        by_group = _sums(group, np.concatenate([inner, d_turned * top], axis=1), GROUPS)
-        g = {"groups": top.T @ outer, "group_prior": outer.sum(axis=0), "members": turned.T @ inner,
+        mark = np.zeros((len(goals), GROUPS), np.float32)
+        mark[at, group] = 1
+        by_group = mark.T @ np.concatenate([inner, d_turned * top], axis=1)
+        g = {"groups": top.T @ outer, "group_prior": _row_of_ones(len(outer)) @ outer, "members": turned.T @ inner,
              "prior": by_group[:, :MEMBERS], "turn": by_group[:, MEMBERS:]}
-        d_top = (outer @ w["groups"].T + d_turned * turn).reshape(mid.shape)
-        d_hidden = (d_top @ w["down"].T) * (hidden > 0)
-        g["down"] = flat(hidden).T @ flat(d_top)
-        g["up"], g["bias"] = flat(mid).T @ flat(d_hidden), flat(d_hidden).sum(axis=0)
+        d_top = outer @ w["groups"].T + d_turned * turn
+        d_hidden = d_top @ w["down"].T
+        d_hidden *= hidden > 0
+        g["down"] = hidden.T @ d_top
+        g["up"], g["bias"] = mid.T @ d_hidden, _row_of_ones(len(mid)) @ d_hidden
         d_mid = d_top + d_hidden @ w["up"].T
         d_read = d_mid @ w["out"].T
-        g["out"] = flat(read).T @ flat(d_mid)
-        d_weight = d_read @ value.transpose(0, 2, 1)
+        g["out"] = read.T @ d_mid
+        mean = np.einsum("ij,ij->i", d_read, read).reshape(-1, STEP, 1)  # of d_weight by weight
+        d_read = d_read.reshape(-1, STEP, WIDTH)
+        d_raw = d_read @ value.transpose(0, 2, 1)
         d_value = weight.transpose(0, 2, 1) @ d_read
-        d_raw = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
-        g["near"] = np.bincount(_SEEN.ravel(), d_raw.sum(axis=0).ravel(), SPAN)
+        d_raw -= mean
+        d_raw *= weight
+        g["near"] = np.bincount(_SEEN.ravel(), (_row_of_ones(len(d_raw)) @ d_raw.reshape(len(d_raw), -1)), SPAN)
         # Per class first: the sums of its places, then once through the weights.
-        of_late = _sums(late.ravel(), np.concatenate([flat(d_mid), flat(d_raw @ key)], axis=1), CLASSES)
-        of_all = _sums(inputs.ravel(), np.concatenate([flat(d_raw.transpose(0, 2, 1) @ query), flat(d_value)], axis=1), CLASSES)
+        of_late = _sums(late.ravel(), [d_mid, (d_raw @ key).reshape(-1, WIDTH)], CLASSES)
+        of_all = _sums(inputs.ravel(), [(d_raw.transpose(0, 2, 1) @ query).reshape(-1, WIDTH), d_value.reshape(-1, WIDTH)], CLASSES)
         d_query = of_late[:, WIDTH:] / np.float32(math.sqrt(WIDTH))
         d_key, d_value = of_all[:, :WIDTH], of_all[:, WIDTH:]
         g["query"], g["key"], g["value"] = (w["embed"].T @ d for d in (d_query, d_key, d_value))
