@@ -208,23 +208,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``n_copies`` the documents with the same shingle set. A text of fewer than
     five words has one shingle, all its words; texts without words (null, empty)
     have one set, the empty one, and no links. A null doc_id is stood in for by
-    its set's hash. Repeated rows are copies. An empty table gives no rows.
+    its set's hash. Repeated rows are copies; a doc_id with several texts has a
+    row for each, and each set its own links. Texts of any length are read whole.
+    Extra columns are ignored, whatever their names. An empty table gives no rows.
     """
     # A stand-in is above all ids, so that a class is named by an id where it has one.
     stand_in = F.col("high").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    node = F.coalesce("doc_id", stand_in)
     drawn = materialize(sketches(docs), "jaccard-sketches")
+    # A node is a set of shingles. Its number stays, since the sets are written; its name is its least doc_id.
     sets = materialize(
-        drawn.groupBy("high", "low").agg(F.min(node).alias("node"), F.count(F.lit(1)).alias("n_copies")), "jaccard-sets"
+        drawn.groupBy("high", "low")
+        .agg(F.min(F.coalesce("doc_id", stand_in)).alias("name"), F.count(F.lit(1)).alias("n_copies"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "jaccard-sets",
     )
-    ids = drawn.withColumn("node", node)
-    own = (
-        ids.join(sets.select("node", "high", "low"), ["node", "high", "low"])
-        .filter("size > 0")
-        .select("node", "high", "labels", "keys")
-        .dropDuplicates(["node", "high"])
-    )
-    nodes = materialize(own, "jaccard-nodes")
+    one = drawn.filter("size > 0").join(sets, ["high", "low"]).filter(F.coalesce("doc_id", stand_in) == F.col("name"))
+    nodes = materialize(one.select("node", "name", "high", "labels", "keys").dropDuplicates(["node"]), "jaccard-nodes")
     placed = nodes.select("node", F.explode("keys").alias("bucket"))
     buckets = (
         placed.groupBy("bucket")
@@ -241,15 +240,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = _blocks(members, "bucket", "count", "node", BUCKET_BLOCK).mapInArrow(_near, "a long, b long")
     found = materialize(components(near, "jaccard-candidates"), "jaccard-groups")
     sized = found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("count")), "root")
-    wanted = sized.join(nodes.select("node", "high"), "node").select("root", "count", "node", "high")
+    wanted = sized.join(nodes.select("node", "name", "high"), "node").select("root", "count", "node", "name", "high")
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    # A node named by a hash has no doc_id to find its text by; its rows are looked up by the hash.
+    # A set named by a hash has no doc_id to find its text by; its rows are looked up by the hash.
     nameless = docs.filter("doc_id is null").select("doc_id", "text")
-    with_text = wanted.join(texts, F.col("node") == F.col("doc_id")).select("root", "count", "node", "high", "text")
+    with_text = wanted.join(texts, F.col("name") == F.col("doc_id")).select("root", "count", "node", "high", "text")
     if nameless.take(1):
         text_of = nameless.mapInArrow(_hashed, "high long, text string").dropDuplicates(["high"])
         with_text = with_text.unionByName(
-            wanted.filter(F.col("node") == stand_in).join(text_of, "high").select("root", "count", "node", "high", "text")
+            wanted.filter(F.col("name") == stand_in).join(text_of, "high").select("root", "count", "node", "high", "text")
         )
     shingled = with_text.mapInArrow(_shingles, "root long, count long, node long, shingles binary").dropDuplicates(
         ["root", "node"]
@@ -260,9 +259,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = components(checked.select(F.col("node").alias("a"), F.col("to").alias("b")), "jaccard-classes")
-    told = sets.join(links, "node", "left").join(classes, "node", "left")
-    verdicts = told.select(
-        "high", "low", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"
+    told = materialize(
+        sets.join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-told"
+    )
+    # One row per class: partial minima before the shuffle.
+    named = told.groupBy("root").agg(F.min("name").alias("class_id"))
+    verdicts = told.join(named, "root").select(
+        "high", "low", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"
     )
     return drawn.select("doc_id", "high", "low", "check").join(verdicts, ["high", "low"]).drop("high", "low")
 

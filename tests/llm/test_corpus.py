@@ -526,6 +526,34 @@ def test_near_duplicates(spark, nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+def test_an_id_with_two_texts_keeps_all_links(spark):
+    """doc 7 stands with texts A and B; 9 is near A, 11 near B. Extra columns clash, one text is very long."""
+    a, b, huge = prose(90, 1).split(), prose(90, 2).split(), prose(60_000, 3)
+    change = lambda w: " ".join([*w[:40], "other", *w[41:]])
+    made = [(7, " ".join(a)), (7, " ".join(b)), (9, change(a)), (11, change(b)), (12, huge), (13, huge + " end"), (14, None), (None, change(a) + " x")]
+    frame = spark.createDataFrame([(i, t, "n", 1, 2, "r", 3) for i, t in made],
+                                  "doc_id long, text string, node string, high long, count long, root string, check long")
+    got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(frame).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(7, 7, 2), (7, 7, 1), (9, 7, 2), (11, 7, 1), (12, 12, 1), (13, 12, 1), (14, 14, 0), (None, 7, 2)], key=str)
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    """Near copies of one text, a third of the rows, all counted."""
+    own = random.Random(2)
+    base = [f"b{i}" for i in range(300)]
+
+    def near(k):
+        words = list(base)
+        words[own.randrange(300)] = f"x{k}"
+        return " ".join(words)
+
+    rows_ = [(k, near(k)) if k % 3 == 0 else (k, " ".join(f"{k}w{j}" for j in range(8))) for k in range(3_000)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    sets = {shingles(t) for k, t in rows_ if k % 3 == 0}
+    assert all((r.class_id, r.n_links) == ((0, len(sets) - 1) if r.doc_id % 3 == 0 else (r.doc_id, 0)) for r in got)
+
+
 def test_recall_of_the_prefixes():
     depth = jaccard_join.prefix_depth(0.8)
     assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
