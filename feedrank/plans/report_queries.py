@@ -89,6 +89,21 @@ def target_counts(spark, sf):
     return watchlist.target_counts(X.postings(spark, sf), _TARGETS)
 
 
+# A watch list as long as the customer table: whole names, parts of names, parts that many share, and some that match nothing.
+@query("q_target_table", O.with_([O.POSTINGS, """
+needle AS (
+ SELECT DISTINCT lower(CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', ' ') WHEN 1 THEN right(c_name, 5) WHEN 2 THEN right(c_name, 2)
+  ELSE concat('nobody ', c_custkey) END) AS target FROM customer)"""], """SELECT target, count(p.job_id) AS n FROM needle t
+LEFT JOIN postings p ON contains(lower(p.company), t.target) OR contains(lower(p.title), t.target) GROUP BY 1"""))
+def target_table(spark, sf):
+    key, name = F.col("c_custkey") % 4, F.col("c_name")
+    target = (
+        F.when(key == 0, F.replace(name, F.lit("#"), F.lit(" "))).when(key == 1, F.substring(name, -5, 5)).when(key == 2, F.substring(name, -2, 2))
+        .otherwise(F.concat(F.lit("nobody "), F.col("c_custkey").cast("string"))))
+    targets = X.table(spark, sf, "customer", "c_custkey", "c_name").select(F.lower(target).alias("target"))
+    return watchlist.target_counts(X.postings(spark, sf), targets)
+
+
 @query("q_display", O.with_(BY_PROFILE, f"""SELECT CASE WHEN coalesce(company_score, '') = '' THEN {O.q(R.NO_RATING)}
  ELSE concat(company_score, ' (', company_reviews, ')') END AS score, company, title, category, location, modality, job_url
  FROM rated"""))

@@ -237,6 +237,28 @@ def test_rating_display(spark):
     assert got == {"a": (4.0, "★ 4.0/5 (Teamlyzer)"), "b": (4.0, "🔍 Teamlyzer"), "c": (0.0, None)}
 
 
+def test_targets_of_a_table(spark):
+    """A table of targets gives the rows of the same list; short, empty, repeated and null targets, and null fields."""
+    rng = random.Random(9)
+    df = posts(spark, *[dict(company=rng.choice(["Acme Labs", "ÁREA Um", "", None, "aa", "Zeta"]), title=rng.choice(["Junior", "Data área", None, "aaa"]))
+                        for _ in range(80)])
+    for targets in (["acme", "área", "a", "aa", "aaa", "zeta", "nobody", "labs", "ju", "e l", "acme labs x"], ["", "ta"], ["none"]):
+        table = spark.createDataFrame([(t,) for t in [*targets, targets[0], None]], "target string")
+        listed, looked = (watchlist.target_counts(df, t).collect() for t in (targets, table))
+        assert sorted(map(tuple, listed)) == sorted(map(tuple, looked))
+        assert sorted(map(tuple, watchlist.target_matches(df, table).select("target", "job_id").collect())) == sorted(
+            map(tuple, watchlist.target_matches(df, targets).select("target", "job_id").collect()))
+
+
+def test_many_targets(spark):
+    targets = spark.range(100_000).select(F.concat(F.lit("firm "), F.col("id")).alias("target"))
+    df = spark.range(400).select(F.concat(F.lit("Firm "), F.col("id") * 7, F.lit(" Lda")).alias("company"), F.lit("x").alias("title"))
+    counts = watchlist.target_counts(df, targets)
+    names = [f"firm {7 * i} lda" for i in range(400)]
+    want = sum(name.startswith(f"firm {n}") for name in names for n in {name.split()[1][:k] for k in range(1, 5)})
+    assert counts.count() == 100_000 and counts.agg(F.sum("n")).first()[0] == want
+
+
 def test_sections_and_targets(spark):
     df = posts(spark, dict(location="Lisboa", modality="Remote"), dict(location="World", modality="100% Remote"),
                dict(location="100% remote"), dict(location="Porto", company="Siemens Labs", title="Junior AI at VOLKSWAGEN"))
