@@ -17,19 +17,23 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import common as C
 from .arrow import slices
 
-KEY = b"corpus surrogates"
+#: Spark setting with the key of the surrogates (text). Whoever has it can find short numbers again by trial.
+KEY_SETTING = "spark.feedrank.surrogates.key"
+_RUN_KEY = secrets.token_bytes(32)
 #: Entities whose first surrogate clashed; more are joined instead of sent to every task.
 SENT_ROWS = 50_000
 MOST_ROUNDS = 30
@@ -57,22 +61,29 @@ SYLLABLES = {
     "greek": ("βα", "γορ", "δαλ", "κελ", "λαν", "μαρ", "νελ", "πετ", "ροσ", "σαλ", "τορ"),
 }
 
+# Prefixes of access tokens.
+TOKEN_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "AIza", "AKIA")
+
 _TITLE = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = (
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "@"),
     ("secret", re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"), "AKIA"),
+    ("secret", re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(TOKEN_PREFIXES)})[A-Za-z0-9_-]{{16,}}(?![A-Za-z0-9])"), ""),
     ("secret", re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*["']?([^\s"',;]{6,})"""), ""),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,}(?![A-Za-z0-9])"), ""),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), ""),
     ("ip", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w)"), ""),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"), ""),
+    ("ip", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w)"), ":"),
+    ("card", re.compile(r"(?<![\w.+-])\d+(?:[ -]\d+)*(?!\w)"), ""),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ""),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])"), ""),
+    ("phone", re.compile(r"(?<![\w.+-])\+\d{8,15}(?![\w-])"), "+"),
+    ("phone", re.compile(r"(?i)\b(?:tel|telephone|phone|mobile|fax|call)\b[.:]? ?(\d{7,15})(?![\w-])"), ""),
     (
         "name",
-        re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, (t for ts in TITLES.values() for t in ts)), key=len, reverse=True))})\b\.? (?=({_NAME}(?: {_NAME}){{0,2}})(?!\w))"),
+        re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, (w for ts in TITLES.values() for t in ts for w in (t, t.upper()))), key=len, reverse=True))})\b\.? (?=({_NAME}(?: {_NAME}){{0,2}})(?!\w))"),
         "",
     ),
 )
@@ -92,6 +103,36 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def _cards(text: str, start: int) -> Iterator[tuple[str, int, int]]:
+    """(digits, start, end) of the card numbers in groups of digits: the longest valid runs of whole groups, from the left."""
+    groups = [(m.start() + start, m.end() + start, m[0]) for m in re.finditer(r"\d+", text)]
+    i = 0
+    while i < len(groups):
+        best, total = None, ""
+        for j in range(i, len(groups)):
+            total += groups[j][2]
+            if len(total) > 19:
+                break
+            if len(total) >= 13 and not luhn(total) and set(total) != {"0"}:
+                best = (j, total)
+        if best is None:
+            i += 1
+            continue
+        yield best[1], groups[i][0], groups[best[0]][1]
+        i = best[0] + 1
+
+
+def _phone(own: str) -> str | None:
+    """The digits, with the country code apart where a sign and a separator tell it."""
+    digits = _digits(own)
+    if not 7 <= len(digits) <= 15:
+        return None
+    if own.startswith("+1") and len(digits) == 11:
+        return digits[1:]
+    code = re.match(r"\+(\d{1,3})[ .(-]", own)
+    return f"{code[1]}|{digits[len(code[1]):]}" if code else digits
+
+
 def _script(text: str) -> str:
     for c in text:
         name = unicodedata.name(c, "")
@@ -206,6 +247,15 @@ def _untitled(text: str, persons: list[str], taken: list[tuple[int, int]]) -> It
                 before = []
 
 
+def _address(own: str) -> str | None:
+    """The long form of an IPv6 address; null for times and other texts with colons."""
+    try:
+        address = ipaddress.IPv6Address(own)
+    except ValueError:
+        return None
+    return None if address.is_unspecified or address.is_loopback else address.exploded
+
+
 def find(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, canonical form, start, end) of the entities, in order; earlier patterns win overlaps.
 
@@ -217,37 +267,36 @@ def find(text: str) -> list[tuple[str, str, int, int]]:
         if needle not in text or (kind in _NEEDS_DIGIT and not digits):
             continue
         for match in pattern.finditer(text):
-            start, end = match.span(1) if kind == "secret" and pattern.groups else match.span()
+            start, end = match.span(1) if pattern.groups and kind in ("secret", "phone") else match.span()
             own = text[start:end]
+            named = []
             if kind == "name":
-                if (person := _person(match)) is None:
-                    continue
-                name, start, end = person
+                named = [person] if (person := _person(match)) else []
             elif kind == "email":
-                name = own.lower()
-            elif kind in ("card", "ssn"):
-                name = _digits(own)
-                if kind == "card" and luhn(name):
-                    continue
+                named = [(own.lower(), start, end)]
+            elif kind == "card":
+                named = list(_cards(own, start))
+            elif kind == "ssn":
+                named = [(_digits(own), start, end)]
             elif kind == "phone":
-                name = _digits(own)
-                if not 7 <= len(name) <= 15:
-                    continue
-                name = name[1:] if own.startswith("+1") and len(name) == 11 else name
+                named = [(number, start, end)] if (number := _phone(own)) else []
             elif kind == "iban":
                 name = own.replace(" ", "")
-                if int("".join(str(int(c, 36)) for c in name[4:] + name[:4])) % 97 != 1:
-                    continue
+                named = [(name, start, end)] if int("".join(str(int(c, 36)) for c in name[4:] + name[:4])) % 97 == 1 else []
+            elif kind == "ip" and ":" in own:
+                named = [(name, start, end)] if (name := _address(own)) else []
             else:
-                name = own
-            if all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
-                found.append((kind, name, start, end))
+                named = [(own, start, end)]
+            for name, a, b in named:
+                at = bisect.bisect_left(taken, (a, b))  # disjoint spans in order: only the neighbours can overlap
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                    taken.insert(at, (a, b))
+                    found.append((kind, name, a, b))
     if named := [f[1] for f in found if f[0] == "name"]:
         persons = _told_apart(named)
         found = [(kind, persons[name] if kind == "name" else name, a, b) for kind, name, a, b in found]
         known = list(dict.fromkeys(persons[n] for n in named))
-        found += [("name", *f) for f in _untitled(text, known, sorted(taken))]
+        found += [("name", *f) for f in _untitled(text, known, taken)]
     return sorted(found, key=lambda f: f[2])
 
 
@@ -288,12 +337,14 @@ class Draws:
         return "".join(out)
 
 
-def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, name: str, attempt: int, key: bytes) -> str:
     """Canonical form of the entity's surrogate."""
     draw = Draws(key, kind, name, attempt)
     if kind == "email":
         local, domain = name.split("@", 1)
         return f"{draw.like(local)}@{draw.like(domain.rsplit('.', 1)[0].replace('.', '-'))}.example"
+    if kind == "ip" and ":" in name:  # addresses for documentation
+        return "2001:0db8:" + ":".join(f"{draw.below(1 << 16):04x}" for _ in range(6))
     if kind == "ip":  # addresses that are reserved for no use
         return ".".join(str(n) for n in (240 + draw.below(15), draw.below(256), draw.below(256), 1 + draw.below(254)))
     if kind == "card":
@@ -303,6 +354,9 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
         body = draw.like(name[4:])
         check = 98 - int("".join(str(int(c, 36)) for c in body + name[:2] + "00")) % 97
         return f"{name[:2]}{check:02d}{body}"
+    if kind == "phone" and "|" in name:
+        code, rest = name.split("|")
+        return f"{code}|{2 + draw.below(8)}{''.join(str(draw.below(10)) for _ in rest[1:])}"
     if kind in ("phone", "ssn"):
         return str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in name[1:])
     if kind == "family":
@@ -314,14 +368,15 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes = KEY) -> str:
         names = GIVEN[script, gender]
         new = ("-".join(names[draw.below(len(names))] for _ in range(1 + attempt // 2)) for _ in given.split())
         return f"{gender}|{script}|{' '.join(new)}|{family}"
-    prefix = "AKIA" if name.startswith("AKIA") else ""
+    prefix = next((p for p in TOKEN_PREFIXES if name.startswith(p)), "")
     return prefix + draw.like(name[len(prefix):], hexa=not re.search(r"[g-zG-Z]", name))
 
 
 def show(kind: str, own: str, replaced: str) -> str:
     """The surrogate in the format of this occurrence."""
     if kind in ("phone", "card", "ssn"):
-        digits, keep = list(replaced), len(_digits(own)) - len(replaced)
+        digits = list(_digits(replaced))
+        keep = len(_digits(own)) - len(digits)
         out = []
         for c in own:
             if c.isdigit():
@@ -341,7 +396,7 @@ def show(kind: str, own: str, replaced: str) -> str:
     return replaced
 
 
-def replace(text: str, moved: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, list[dict]]:
+def replace(text: str, moved: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[dict]]:
     """The text with surrogates, and their kinds and places in the new text."""
     out, at, spans, size = [], 0, [], 0
     for kind, name, start, end in find(text):
@@ -367,12 +422,19 @@ def _named(batches) -> Iterator[pa.RecordBatch]:
 _ENTITY = pa.schema([("kind", pa.string()), ("name", pa.string())])
 
 
-def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def run_key(spark: SparkSession) -> bytes:
+    """The key of the setting; without it one that this driver process has drawn, so that no reader of the code has it."""
+    own = spark.conf.get(KEY_SETTING, None)
+    return own.encode() if own else _RUN_KEY
+
+
+def assign(entities: DataFrame, key: bytes | None = None) -> DataFrame:
     """Rows (kind, name) get ``attempt`` and ``surrogate`` so that no two surrogates of a kind are equal.
 
     One pass draws for all; the rounds that follow draw again for those that
     clash, and compare them with all others.
     """
+    key = key or run_key(entities.sparkSession)
 
     def draw(batches):
         for batch in batches:
@@ -398,13 +460,15 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still clash after {MOST_ROUNDS} rounds")
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, sent_rows: int = SENT_ROWS) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, text with surrogates, spans (kind, start, end in the new text).
 
     Texts without entities stay as they are; a null text stays null. Repeated
-    rows get the same surrogates. Other columns are not read. An empty table
-    gives no rows.
+    rows get the same surrogates, and so do runs with the same ``key`` (default:
+    see ``run_key``). Other columns are not read, whatever their names; texts of
+    any length are read whole. An empty table gives no rows.
     """
+    key = key or run_key(docs.sparkSession)
     entities = materialize(docs.select("text").mapInArrow(_named, "kind string, name string").distinct(), "pii-entities")
     moved = assign(entities, key).filter("attempt > 0").select("kind", "name", "attempt")
     schema = "doc_id long, text string, spans array<struct<kind:string,start:int,end:int>>"

@@ -494,6 +494,29 @@ def test_periods_about_the_grams_of_a_string(spark, period):
         assert set(map(tuple, suffix_dedup.digests(suffix_dedup.remove_repeats(frame)).collect())) == want
 
 
+def test_personal_data_in_many_forms(spark):
+    """Numbers beside other numbers, titles in capitals, unseparated phones, IPv6, tokens: nothing stays in clear."""
+    secret = {
+        "card": ("id 12 4111 1111 1111 1111 end", "4111 1111"), "caps": ("by DR ANNA MILLER today", "MILLER"),
+        "phone": ("mail +4915112345678 now", "15112345678"), "tel": ("Tel: 5551234567.", "5551234567"),
+        "v6": ("host 2001:4860:4860::8888 up", "4860"), "git": ("ghp_" + "a1B2" * 9 + " x", "a1B2a1B2"), "pay": ("k sk_live_" + "Zz09" * 5, "Zz09Zz09"),
+        "code": ("+49 301 234 5678", "234 5678"),
+    }
+    clean = ["at 10:20:30 on 12 12 2024", "order 1234567890123456 1", "a:b::c", "the ratio 3:4", "5551234567 parts", "tel aviv 12"]
+    rows_ = [(i, t) for i, (t, _) in enumerate(secret.values())] + [(100 + i, t) for i, t in enumerate(clean)]
+    frame = spark.createDataFrame([(i, t, "x", 1, "k") for i, t in rows_], "doc_id long, text string, name string, attempt int, kind string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(frame).collect()}
+    assert all(left not in got[i] and got[i] != t for i, (t, left) in enumerate(secret.values()))
+    assert [got[100 + i] for i in range(len(clean))] == clean
+    assert got[0].startswith("id 12 ") and pii.luhn(re.sub(r"\D", "", got[0])[2:]) == 0
+    assert got[7].startswith("+49 ") and got[1].startswith("by DR ") and got[1].split()[2].isupper()
+    assert got[5].startswith("ghp_") and "sk_live_" in got[6]
+    one = pii.pseudonymize(frame, b"one").collect()
+    assert one == pii.pseudonymize(frame, b"one").collect() and one != pii.pseudonymize(frame, b"two").collect()
+    many = " ".join(f"u{i}@host{i}.org" for i in range(20_000))  # a very long text
+    assert len(pii.find(many)) == 20_000
+
+
 def shingles(text):
     w = raw(text).split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
