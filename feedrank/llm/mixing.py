@@ -6,7 +6,8 @@ The allocation runs while the highest quotient is at least half a block: for
 that house size the divisor is the block length, so a source's seats are its
 target over the block length, rounded. A quota is dealt over the shards in
 proportion, and a seeded permutation of the source's blocks says which blocks
-fill it, first all once, then all a second time, then a third.
+fill it, first all once, then all a second time, then a third. The blocks stand in
+the order of the permutation, so each shard takes as many as its quota says.
 """
 
 from __future__ import annotations
@@ -76,28 +77,36 @@ def shard_quotas(seats: DataFrame, shards: int = SHARDS) -> DataFrame:
 def _place(block: Column, blocks: Column, shift: Column) -> Column:
     """The block's place in the seeded permutation of its source's blocks."""
     step = F.when(blocks % _PRIMES[0] != 0, F.lit(_PRIMES[0])).otherwise(F.lit(_PRIMES[1])).cast("long")
-    return F.pmod(block * step + shift, blocks)
+    wide = lambda c: c.cast("decimal(19,0)")
+    # The same number both ways; products of more blocks than that leave 64 bits.
+    return F.when(blocks < 1 << 32, F.pmod(block * step + shift, blocks)).otherwise(
+        F.pmod(wide(block) * wide(step % blocks) + wide(shift), wide(blocks)).cast("long"))
+
+
+def shard_of(seat: Column, seats: Column, shards: int = SHARDS) -> Column:
+    """The shard whose quota a source's seat (from 0) belongs to, see ``shard_quotas``."""
+    # The quotient of whole numbers, rounded down without a detour over doubles.
+    top = (seat + 1) * shards - 1
+    return ((top - F.pmod(top, seats)) / seats).cast("int")
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, check (a hash of the text).
+    """One row per document: doc_id, size, source_size, target, taken, shards, check (a hash of the text).
 
     ``taken`` counts the document's words that lie in taken blocks, repeats
-    included. A null source is the
+    included; ``shards`` lists the shards that those blocks fill. A null source is the
     last source, a null text has no words; repeated rows are rows of their own,
-    and equal ones are interchangeable. Blocks double in length while the table
-    has more than 2**30 of them. An empty table gives no rows.
+    and equal ones are interchangeable. Texts of any length are read whole.
+    Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     text = C.whole_text()
     rows = materialize(
         docs.select(
-            "doc_id", "source", C.n_words(text).alias("size"), C.text_check(), F.xxhash64(F.lit(seed), "doc_id").alias("_key")
+            "doc_id", "source", C.n_words(text).alias("size"), C.text_check(), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text)).alias("_key")
         ),
         "mix-rows",
     )
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t")).first()
-    while (stats.t or 0) // block > 1 << 30:
-        block *= 2
     seats = apportion(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), block)
     bits = C.bucket_bits(stats.n)
     placed = C.running_sum(
@@ -125,7 +134,16 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK_TOKENS) -> DataFra
             "taken",
             F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"] * d["times"]),
         )
-        .select("doc_id", "size", "source_size", "target", "taken", "check")
+        .withColumn(
+            "shards",
+            F.array_sort(F.array_distinct(F.flatten(F.transform(
+                F.filter("_draws", lambda d: d["times"] > 0),
+                lambda d: F.transform(
+                    F.sequence(F.lit(0).cast("long"), d["times"] - 1),
+                    lambda k: shard_of(d["place"] + k * F.col("blocks"), F.col("seats"))),
+            )))),
+        )
+        .select("doc_id", "size", "source_size", "target", "taken", "shards", "check")
     )
 
 

@@ -582,6 +582,17 @@ def test_recall_of_the_prefixes():
     assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
 
 
+def test_seats_fill_the_quotas_of_the_shards(spark):
+    for seats, shards in ((1, 24), (23, 24), (24, 24), (1000, 24), (77, 5)):
+        frame = spark.createDataFrame([(None, seats)], "source string, seats long")
+        quotas = {r.shard: r.quota for r in mixing.shard_quotas(frame, shards).collect() if r.quota}
+        dealt = spark.range(seats).select(mixing.shard_of(F.col("id"), F.lit(seats), shards).alias("s")).groupBy("s").count()
+        assert {r.s: r["count"] for r in dealt.collect()} == quotas
+    blocks = (1 << 33) + 5
+    place = spark.range(1).select(mixing._place(F.lit(blocks - 2), F.lit(blocks), F.lit(11).cast("long")).alias("p")).first().p
+    assert place == ((blocks - 2) * mixing._PRIMES[0] + 11) % blocks
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(60)] + [(200 + i, 200) for i in range(1, 50)] + [(301, 300)]
     frame = spark.createDataFrame(edges, "a long, b long")
