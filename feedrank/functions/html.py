@@ -162,35 +162,73 @@ def until_close(piece: Column, tag: str) -> Column:
     return F.regexp_extract(piece, rf"(?is)^(.*?)(?:</{tag}\s*>|$)", 1)
 
 
+def _scan(items: Column, at: Column, depth: Column) -> Column:
+    """Events (level, at, opens, open) of some parts of a page, from the place and depth before them."""
+    event = "struct<level:int,at:int,opens:boolean,open:string>"
+    begin = F.struct(at.alias("at"), depth.alias("depth"), F.array().cast(f"array<{event}>").alias("out"))
+
+    def step(acc, p):
+        level = F.when(p["turn"] > 0, acc["depth"]).when((p["turn"] < 0) & (acc["depth"] > 0), acc["depth"] - 1)
+        new = F.struct(level.alias("level"), acc["at"].alias("at"), (p["turn"] > 0).alias("opens"), p["open"].alias("open"))
+        return F.struct(
+            (acc["at"] + p["n"]).alias("at"),
+            F.greatest(acc["depth"] + p["turn"], F.lit(0)).alias("depth"),
+            F.when(level.isNotNull(), F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(items, begin, step, lambda acc: acc["out"])
+
+
+def _events(parts: Column) -> Column:
+    """Events of all parts. Pieces of about the square root of their number are scanned apart, so that no long array grows."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(parts))).cast("int"), F.lit(1))
+    pieces_ = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, size), lambda k: F.slice(parts, k + 1, size))
+    state = "struct<at:int,depth:int>"
+
+    def across(acc, piece):
+        """A piece turns a depth d into max(d + up, low)."""
+        effect = F.aggregate(
+            piece,
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("up"), F.lit(0).alias("low")),
+            lambda a, p: F.struct(
+                (a["n"] + p["n"]).alias("n"), (a["up"] + p["turn"]).alias("up"), F.greatest(a["low"] + p["turn"], F.lit(0)).alias("low")),
+        )
+        moved = _let(effect, lambda e: F.struct(
+            (acc["now"]["at"] + e["n"]).alias("at"), F.greatest(acc["now"]["depth"] + e["up"], e["low"]).alias("depth")))
+        return F.struct(moved.alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"))
+    starts = lambda ps: F.aggregate(
+        ps, F.struct(zero.alias("now"), F.array().cast(f"array<{state}>").alias("out")), across, lambda acc: acc["out"])
+    return _let(pieces_, lambda ps: F.flatten(F.zip_with(ps, starts(ps), lambda p, s: _scan(p, s["at"], s["depth"]))))
+
+
 def spans(html: Column, tag: str) -> Column:
     """All elements of one tag, nested ones too, in order of their opening tags:
     array of (start, end, open), with characters counted from 0. ``end`` is where the
-    closing tag begins; an unclosed element runs to the end."""
-    parts = F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
-    span = "struct<start:int,end:int,open:string>"
-    begin = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<start:int,open:string>>").alias("stack"),
-        F.array().cast(f"array<{span}>").alias("out"),
-    )
+    closing tag begins; an unclosed element runs to the end.
 
-    def closed(top: Column, end: Column) -> Column:
-        return F.struct(top["start"].alias("start"), end.alias("end"), top["open"].alias("open"))
+    On one level of nesting, opening and closing tags take turns, so sorted by
+    level and place each element is two neighbours.
+    """
+    parts = F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
 
-    def step(acc, part):
-        opens, closes = part.rlike(rf"(?i)^<{tag}[\s>/]"), part.rlike(rf"(?i)^</{tag}[\s>/]") & (F.size(acc["stack"]) > 0)
-        new = F.struct(acc["at"].alias("start"), F.regexp_extract(part, f"^({TAG})", 1).alias("open"))
+    def mark(part):
+        opens, closes = part.rlike(rf"(?i)^<{tag}[\s>/]"), part.rlike(rf"(?i)^</{tag}[\s>/]")
         return F.struct(
-            (acc["at"] + F.length(part)).alias("at"),
-            F.when(opens, F.concat(F.array(new), acc["stack"]))
-            .when(closes, F.slice(acc["stack"], F.lit(2), F.greatest(F.size(acc["stack"]) - 1, F.lit(0))))
-            .otherwise(acc["stack"]).alias("stack"),
-            F.when(closes, F.concat(acc["out"], F.array(closed(F.get(acc["stack"], 0), acc["at"]))))
-            .otherwise(acc["out"]).alias("out"),
-        )
+            F.length(part).alias("n"), F.when(opens, 1).when(closes, -1).otherwise(0).alias("turn"),
+            F.when(opens, F.regexp_extract(part, f"^({TAG})", 1)).alias("open"))
+
+    def paired(events):
+        def element(e, i):
+            after = F.get(events, i + 1)
+            end = F.when(after["level"] == e["level"], after["at"]).otherwise(F.length(html))
+            return F.when(e["opens"], F.struct(e["at"].alias("start"), end.alias("end"), e["open"].alias("open")))
+
+        return F.sort_array(F.filter(F.transform(events, element), lambda s: s.isNotNull()))
 
-    rest = lambda acc: F.transform(acc["stack"], lambda s: closed(s, acc["at"]))
-    return F.sort_array(F.aggregate(parts, begin, step, lambda acc: F.concat(acc["out"], rest(acc))))
+    events = _let(F.transform(parts, mark), _events)
+    return F.when(html.isNotNull(), _let(F.array_sort(events), paired))
 
 
 def cut(html: Column, span: Column) -> Column:

@@ -140,3 +140,34 @@ def test_sql_and_column_keys_are_one_definition(spark):
         dedup_key(*map(F.col, "usjct")).alias("a"), F.expr("dedup_key(u, s, j, c, t)").alias("b"),
         company_key(F.col("c")).alias("x"), F.expr("company_key(c)").alias("y")).collect()
     assert all(r.a == r.b and r.a.startswith("job:") and r.x == r.y for r in rows)
+
+
+def test_spans_of_random_and_large_pages(spark):
+    """Against a stack, on nested, unclosed and stray tags; a page of 50,000 tags."""
+    import random
+    import re
+    import time
+
+    def stacked(page):
+        stack, out = [], []
+        for m in re.finditer(r"(?i)<(/?)li[\s>/]", page):
+            if not m[1]:
+                stack.append(m.start())
+            elif stack:
+                out.append((stack.pop(), m.start()))
+        return sorted(out + [(a, len(page)) for a in stack])
+
+    rng = random.Random(1)
+    pages = ["".join(rng.choice(["<li>", "</li>", "<LI class='a'>", "</li >", "x", "<line>", "é<b>"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    pages += ["", "<li>", "</li></li><li>a", "<li><li></li>"]
+    got = values(spark, lambda c: H.spans(c, "li"), pages)
+    assert [[(s.start, s.end) for s in g] for g in got] == [stacked(p) for p in pages]
+    assert values(spark, lambda c: H.spans(c, "li"), [None, "<li>"])[0] is None
+    seconds = []
+    for n in (5_000, 25_000):
+        page = "<ul>" + "<li>item<b>x</b></li>" * n
+        began = time.time()
+        rows = values(spark, lambda c: F.size(H.spans(c, "li")), [page])
+        seconds.append(time.time() - began)
+        assert rows == [n]
+    assert seconds[1] < 12 * max(seconds[0], 0.5)
