@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +28,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(start), [x or b"" for x in column.slice(start).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker process that has done its task waits beside the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:
@@ -64,6 +76,9 @@ class Cache:
                 young.update(found)
         return values
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal (integer) keys, over the borders of batches. Rows must come sorted by key."""

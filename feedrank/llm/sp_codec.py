@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .arrow import Cache, list_array, slices
+from .arrow import Cache, give_back, list_array, slices
 
 MODEL = "piece_bpe_32k.model"
 META = "▁"
@@ -249,6 +249,9 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ],
                 ["doc_id", "ids", "begins", "ends", "decoded"],
             )
+            del coded
+        own.cache.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
