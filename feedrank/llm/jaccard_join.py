@@ -1,13 +1,15 @@
-"""N-gram Jaccard join over MinHash bands.
+"""N-gram Jaccard join over a MinHash LSH forest.
 
 Texts with the same set of word shingles are one node. A node's signature is a
-row of minima; each tree has its own part of it. The trees are no sorted tries:
-a prefix of fixed length, the longest by which a pair at the threshold is missed
-no more often than the target recall allows, is hashed into one key a tree, and
-nodes of one key are a bucket (banding). Buckets with the
-same members in several trees count once. Inside a bucket all signatures are
-compared, and pairs that may be similar connect candidate groups. Inside those,
-shingle sets are compared exactly: every link counts, and links join classes.
+row of minima; each tree of the forest has its own eight of them, and the nodes
+sorted by these labels are the tree's prefix trie: nodes below one trie node share
+a prefix. Matches start at whole paths. Prefixes are then shortened label by label,
+but only under trie nodes whose members are not connected yet; a trie node that
+is one group is closed, and nothing below it is compared again. Shortening goes
+on until the prefix is so short that a pair at the threshold meets in some tree as
+often as the target recall asks. In an open trie node, signatures of different
+groups are compared, and pairs that may be similar connect candidate groups. Inside
+those, shingle sets are compared exactly: every link counts, and links join classes.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ THRESHOLD = (4, 5)  # Jaccard 0.8, in whole numbers
 TREES = 24
 DEPTH = 8
 RECALL = 0.9999
-#: Pairs with fewer equal labels are not compared exactly: at 0.8, more than four standard deviations.
-LEAST_ESTIMATE = 0.68
+#: Pairs with fewer equal labels are not compared exactly: at 0.8, more than five standard deviations.
+LEAST_ESTIMATE = 0.64
 BUCKET_BLOCK = 1024
 EXACT_BLOCK = 256
 _RNG = np.random.default_rng(104_729)
@@ -38,7 +40,7 @@ _TIMES = _RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix by which a pair at the threshold meets in some tree as often as asked."""
+    """The length at which shortening ends: a pair at the threshold meets in some tree as often as asked."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -98,7 +100,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, group: str, count: str, node: str, block: int) -> DataFrame:
-    """Rows of a group meet in pairs of blocks (part_a <= part_b) of about ``block`` rows each."""
+    """Rows of a group meet in pairs of blocks (part_a <= part_b) of about ``block`` rows each.
+
+    The number of partitions is stated, so that they are not packed by their bytes, which
+    do not tell the cost of comparing.
+    """
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.ceil(F.col(count) / block).cast("int")
     own = F.pmod(F.xxhash64(node), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
@@ -108,7 +115,7 @@ def _blocks(members: DataFrame, group: str, count: str, node: str, block: int) -
         .withColumn("part_a", F.least("_own", "_other"))
         .withColumn("part_b", F.greatest("_own", "_other"))
         .drop("_other", count)
-        .repartition(group, "part_a", "part_b")
+        .repartition(tasks, group, "part_a", "part_b")
         .sortWithinPartitions(group, "part_a", "part_b", node)
     )
 
@@ -127,22 +134,28 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _near(batches):
-    """Stars over the members of a bucket whose signatures are close enough."""
-    for rows in groups(batches, ["bucket", "part_a", "part_b"]):
-        nodes = rows.column("node").to_numpy()
-        labels = np.frombuffer(b"".join(rows.column("labels").to_pylist()), np.uint8).reshape(len(nodes), -1)
+    """Edges between groups (roots) of a trie node, where signatures are close enough; what is connected is not compared."""
+    for rows in groups(batches, ["cell", "part_a", "part_b"]):
+        roots, group = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        if len(roots) == 1:
+            continue
+        labels = np.frombuffer(b"".join(rows.column("labels").to_pylist()), np.uint8).reshape(len(group), -1)
         own, cross = rows.column("_own").to_numpy(), rows.column("part_a")[0].as_py() != rows.column("part_b")[0].as_py()
         least = int(LEAST_ESTIMATE * labels.shape[1])
-        pairs = []
-        for i in range(len(nodes) - 1):
-            close = (labels[i + 1 :] == labels[i]).sum(axis=1) >= least
+        root = np.arange(len(roots))  # what each group has been joined to here
+        for i in range(len(group) - 1):
+            other = root[group[i + 1 :]] != root[group[i]]
             if cross:
-                close &= own[i + 1 :] != own[i]
-            found = np.flatnonzero(close) + i + 1
-            pairs.append(np.stack([np.full(len(found), i), found], axis=1))
-        root = _roots(len(nodes), np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64))
-        moved = np.flatnonzero(root != np.arange(len(nodes)))  # nodes come sorted, so roots are least
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+                other &= own[i + 1 :] != own[i]
+            later = np.flatnonzero(other) + i + 1
+            close = later[(labels[later] == labels[i]).sum(axis=1) >= least]
+            if len(close):
+                joined = np.unique(root[group[np.append(close, i)]])
+                root[np.isin(root, joined)] = joined[0]  # the least, since roots are sorted
+                if not root.any():
+                    break
+        moved = np.flatnonzero(root != np.arange(len(roots)))
+        yield pa.RecordBatch.from_arrays([pa.array(roots[moved]), pa.array(roots[root[moved]])], ["a", "b"])
 
 
 def _linked(sets: list[np.ndarray], own: np.ndarray, cross: bool) -> np.ndarray:
@@ -200,6 +213,56 @@ def _shingles(batches):
         )
 
 
+def _trie(nodes: DataFrame, prefix: int) -> DataFrame:
+    """Rows (bucket, path, node): the trees below their prefixes of the least length that two or more nodes share.
+
+    ``path`` holds the labels after that prefix. Prefixes of several trees with the same members are taken once.
+    """
+    places = nodes.select("node", "labels", F.posexplode("keys").alias("tree", "bucket")).select(
+        "node", "bucket", F.expr(f"substring(labels, tree * {DEPTH} + {prefix + 1}, {DEPTH - prefix})").alias("path")
+    )
+    shared = (
+        places.groupBy("bucket")
+        .agg(
+            F.count(F.lit(1)).alias("count"), F.min("node").alias("least"), F.max("node").alias("most"),
+            F.bit_xor(F.xxhash64("node")).alias("members"),
+        )
+        .filter("count > 1")
+        .groupBy("count", "least", "most", "members")
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket")
+    )
+    return materialize(places.join(shared, "bucket").sortWithinPartitions("bucket", "path"), "jaccard-trie")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Rows (node, root) of the groups in which links are looked for; ``nodes`` has node, labels and keys.
+
+    One round for each length of prefix, the longest first. A round reads the
+    trie with the groups so far and opens the trie nodes that hold several.
+    """
+    prefix = prefix_depth(THRESHOLD[0] / THRESHOLD[1])
+    trie = _trie(nodes, prefix)
+    found = None
+    for length in range(DEPTH, prefix - 1, -1):
+        rooted = trie.withColumn("root", F.col("node"))
+        if found is not None:
+            rooted = trie.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        cell = F.xxhash64("bucket", F.expr(f"substring(path, 1, {length - prefix})"))
+        placed = materialize(rooted.select(cell.alias("cell"), "node", "root"), "jaccard-cells")
+        several = (
+            placed.groupBy("cell")
+            .agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("least"), F.max("root").alias("most"))
+            .filter("least < most")
+            .select("cell", "count")
+        )
+        opened = placed.join(several, "cell").join(nodes.select("node", "labels"), "node")
+        near = _blocks(opened, "cell", "count", "node", BUCKET_BLOCK).mapInArrow(_near, "a long, b long")
+        known = near if found is None else near.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = materialize(components(known, "jaccard-candidates"), "jaccard-groups")
+    return found
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, n_copies, check (a hash of the text).
 
@@ -224,21 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     one = drawn.filter("size > 0").join(sets, ["high", "low"]).filter(F.coalesce("doc_id", stand_in) == F.col("name"))
     nodes = materialize(one.select("node", "name", "high", "labels", "keys").dropDuplicates(["node"]), "jaccard-nodes")
-    placed = nodes.select("node", F.explode("keys").alias("bucket"))
-    buckets = (
-        placed.groupBy("bucket")
-        .agg(
-            F.count(F.lit(1)).alias("count"), F.min("node").alias("least"), F.max("node").alias("most"),
-            F.bit_xor(F.xxhash64("node")).alias("members"),
-        )
-        .filter("count > 1")
-        .groupBy("count", "least", "most", "members")
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "count")
-    )
-    members = placed.join(buckets, "bucket").join(nodes.select("node", "labels"), "node")
-    near = _blocks(members, "bucket", "count", "node", BUCKET_BLOCK).mapInArrow(_near, "a long, b long")
-    found = materialize(components(near, "jaccard-candidates"), "jaccard-groups")
+    found = candidates(nodes)
     sized = found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("count")), "root")
     wanted = sized.join(nodes.select("node", "name", "high"), "node").select("root", "count", "node", "name", "high")
     texts = docs.select("doc_id", "text").filter("doc_id is not null")

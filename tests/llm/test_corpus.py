@@ -582,6 +582,51 @@ def test_recall_of_the_prefixes():
     assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
 
 
+def test_forest_joins_what_signatures_estimate(spark):
+    """Groups of candidates are those that comparing all signatures of shared prefixes gives, whichever nodes are closed."""
+    own = np.random.default_rng(4)
+    prefix, frame = jaccard_join.prefix_depth(0.8), []
+    base = own.integers(0, 256, (6, 192))
+    for k in range(240):
+        labels = np.where(own.random(192) < own.uniform(0, 0.4), own.integers(0, 256, 192), base[k % 6]).astype(np.uint8)
+        trees = labels.reshape(jaccard_join.TREES, jaccard_join.DEPTH)[:, :prefix]
+        keys = [int.from_bytes(hashlib.sha256(bytes([t]) + tree.tobytes()).digest()[:8], "big", signed=True) for t, tree in enumerate(trees)]
+        frame.append((k, bytearray(labels.tobytes()), keys))
+    root = np.arange(len(frame))
+    table = np.array([np.frombuffer(bytes(r[1]), np.uint8) for r in frame])
+    keyed = np.array([r[2] for r in frame])
+    while True:
+        before = root.copy()
+        for i in range(len(frame)):
+            met = (keyed == keyed[i]).any(axis=1) & ((table == table[i]).sum(axis=1) >= int(jaccard_join.LEAST_ESTIMATE * 192))
+            root[met] = root[met].min()
+        if (before == root).all():
+            break
+    nodes = spark.createDataFrame(frame, "node long, labels binary, keys array<long>")
+    got = {r.node: r.root for r in jaccard_join.candidates(nodes).collect()}
+    sizes = Counter(root.tolist())
+    assert got == {k: int(r) for k, r in enumerate(root) if sizes[r] > 1}
+    assert 10 < len(got) and len(set(got.values())) > 1
+
+
+def test_recall_against_brute_force(spark):
+    """Every text whose id is divisible by 100, against all texts of a whole table: all links are counted."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    counted = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(docs).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    holders = defaultdict(list)
+    for s in set(sets.values()):
+        for x in s:
+            holders[x].append(s)
+    links = {}
+    for i in (i for i in sets if i % 100 == 0):
+        met = Counter(id(t) for x in sets[i] for t in holders[x])
+        by_id = {id(t): t for x in sets[i] for t in holders[x]}
+        links[i] = sum(5 * n >= 4 * (len(sets[i]) + len(by_id[k]) - n) for k, n in met.items() if by_id[k] != sets[i])
+    assert sum(counted[i] for i in links) >= 0.99 * sum(links.values())
+    assert all(counted[i] <= n for i, n in links.items())
+
+
 def test_seats_fill_the_quotas_of_the_shards(spark):
     for seats, shards in ((1, 24), (23, 24), (24, 24), (1000, 24), (77, 5)):
         frame = spark.createDataFrame([(None, seats)], "source string, seats long")
@@ -600,6 +645,15 @@ def test_components(spark):
     assert roots == {**{i: 0 for i in range(61)}, **{200 + i: 200 for i in range(50)}, 300: 300, 301: 300}
 
 
+def test_components_around_hubs(spark):
+    """Hubs whose edges are broadcast, in a chain, beside a long path."""
+    edges = [(1_000 * h + i, 1_000 * h) for h in range(1, 5) for i in range(1, 400)]
+    edges += [(1_000 * (h + 1) + 7, 1_000 * h + 9) for h in range(1, 4)] + [(9_000 + i, 9_001 + i) for i in range(50)]
+    frame = spark.createDataFrame([(max(e), min(e)) for e in edges], "a long, b long")
+    roots = {r.node: r.root for r in components.components(frame, "test-components").collect()}
+    assert roots == {**{1_000 * h + i: 1_000 for h in range(1, 5) for i in range(400)}, **{9_000 + i: 9_000 for i in range(51)}}
+
+
 def test_equal_spans_have_equal_hashes():
     data = np.frombuffer(b"abcabcabd" * 5, np.uint8)
     sums = hashing.prefix_sums(data)
