@@ -201,7 +201,7 @@ evidence AS (
   printf('%.1f/5', CAST(10 + c_custkey % 41 AS DOUBLE) / 10) AS score,
   CAST(10 + c_custkey % 41 AS DOUBLE) / 10 AS numeric, {q(R.FALLBACK_REVIEWS)} AS reviews,
   {q(R.FALLBACK_SEARCH_PREFIX)} AS url
- FROM customers WHERE c_custkey % 3 = 0)"""
+ FROM customers)"""
 
 # Verdict on the cached entry of each company: ignored, absent, usable, rejected, stale.
 _trust = (f"NOT (s.numeric >= 5.0 AND regexp_matches(s.reviews, '(?i)\\b0\\s+reviews?\\b')) AND "
