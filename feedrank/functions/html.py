@@ -30,7 +30,7 @@ def _named_entities() -> dict[str, str]:
 def drop_hidden(html: Column) -> Column:
     """Remove comments, scripts and styles."""
     return F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+        html, r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)", "")
 
 
 def _code_point(ref: Column) -> Column:
@@ -41,8 +41,12 @@ def _code_point(ref: Column) -> Column:
     return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with value computed once."""
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once.
+
+    A column that a lambda refers to is no substitute: the optimizer may put its
+    expression into the lambda, which then computes it for every element.
+    """
     return F.get(F.transform(F.array(value), body), 0)
 
 
@@ -64,11 +68,11 @@ def _decode(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Character references to characters; "&amp;" last, so nothing decodes twice."""
-    return _let(text, _decode)
+    return let(text, _decode)
 
 
 def _joined(fragment: Column, sep: str) -> Column:
-    marked = F.regexp_replace(fragment, r"&nbsp;|&#160;", _NBSP)
+    marked = F.regexp_replace(fragment, r"&(?:nbsp|#160);", _NBSP)
     return F.regexp_replace(marked, rf"(?U)\s*(?:{TAG}\s*)+", sep)
 
 
@@ -79,7 +83,7 @@ def _finished(text: Column) -> Column:
 
 def text_of(fragment: Column, sep: str = " ") -> Column:
     """Text of a fragment: its text nodes stripped, empty ones dropped, joined."""
-    return _let(_joined(fragment, sep), _finished)
+    return let(_joined(fragment, sep), _finished)
 
 
 def texts_of(*fragments: tuple[Column, str | None]) -> Column:
@@ -193,14 +197,14 @@ def _events(parts: Column) -> Column:
             lambda a, p: F.struct(
                 (a["n"] + p["n"]).alias("n"), (a["up"] + p["turn"]).alias("up"), F.greatest(a["low"] + p["turn"], F.lit(0)).alias("low")),
         )
-        moved = _let(effect, lambda e: F.struct(
+        moved = let(effect, lambda e: F.struct(
             (acc["now"]["at"] + e["n"]).alias("at"), F.greatest(acc["now"]["depth"] + e["up"], e["low"]).alias("depth")))
         return F.struct(moved.alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"))
     starts = lambda ps: F.aggregate(
         ps, F.struct(zero.alias("now"), F.array().cast(f"array<{state}>").alias("out")), across, lambda acc: acc["out"])
-    return _let(pieces_, lambda ps: F.flatten(F.zip_with(ps, starts(ps), lambda p, s: _scan(p, s["at"], s["depth"]))))
+    return let(pieces_, lambda ps: F.flatten(F.zip_with(ps, starts(ps), lambda p, s: _scan(p, s["at"], s["depth"]))))
 
 
 def spans(html: Column, tag: str) -> Column:
@@ -213,11 +217,14 @@ def spans(html: Column, tag: str) -> Column:
     """
     parts = F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
 
+    def turn_of(head):
+        return F.when(head.rlike(rf"(?i)^<{tag}[\s>/]"), 1).when(head.rlike(rf"(?i)^</{tag}[\s>/]"), -1).otherwise(0)
+
     def mark(part):
-        opens, closes = part.rlike(rf"(?i)^<{tag}[\s>/]"), part.rlike(rf"(?i)^</{tag}[\s>/]")
-        return F.struct(
-            F.length(part).alias("n"), F.when(opens, 1).when(closes, -1).otherwise(0).alias("turn"),
-            F.when(opens, F.regexp_extract(part, f"^({TAG})", 1)).alias("open"))
+        # Only the head of a part is looked at: a pattern that fails goes through the whole text.
+        return let(turn_of(F.substring(part, 1, len(tag) + 3)), lambda turn: F.struct(
+            F.length(part).alias("n"), turn.alias("turn"),
+            F.when(turn > 0, F.regexp_extract(part, f"^({TAG})", 1)).alias("open")))
 
     def paired(events):
         def element(e, i):
@@ -227,8 +234,8 @@ def spans(html: Column, tag: str) -> Column:
 
         return F.sort_array(F.filter(F.transform(events, element), lambda s: s.isNotNull()))
 
-    events = _let(F.transform(parts, mark), _events)
-    return F.when(html.isNotNull(), _let(F.array_sort(events), paired))
+    events = let(F.transform(parts, mark), _events)
+    return F.when(html.isNotNull(), let(F.sort_array(events), paired))
 
 
 def cut(html: Column, span: Column) -> Column:

@@ -23,7 +23,7 @@ def _pages(postings: DataFrame, item: Column, source: str, head: str, sep: str,
     return (
         rows.withColumn("page_no", F.floor(key / (7 * PAGE)).cast("int"))
         .groupBy("query_ordinal", "page_no")
-        .agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("item")))).alias("items"))
+        .agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), item.alias("item")))).alias("items"))
         .select(
             F.lit(source).alias("source"),
             "query_ordinal",

@@ -34,6 +34,15 @@ def _explode(df: DataFrame, cards: Column) -> DataFrame:
     return df.select(*keep, F.posexplode(cards).alias("_pos", "card"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row.
+
+    A filter on a plain column is pushed below it with a copy of its expression,
+    so the expression would be computed twice; no filter passes a generator's output.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     text = lambda: F.lit(None).cast("string")
     full = {
@@ -87,13 +96,15 @@ def parse_linkedin(captures: DataFrame) -> DataFrame:
     pages = _pages(captures, "LinkedIn").withColumn("_li", H.spans(F.col("_html"), "li"))
     cards = F.transform("_li", lambda s: H.cut(F.col("_html"), s))
     card = F.col("card")
-    parts = _explode(pages, cards).drop("_li").withColumns({
-        "_title": H.first_element(card, tag="h3", class_name="base-search-card__title"),
+    parts = _once(
+        _explode(pages, cards).drop("_li"),
+        _title=H.first_element(card, tag="h3", class_name="base-search-card__title"),
+        _link=H.first_tag(card, tag="a", class_name="base-card__full-link"),
+    ).filter(F.col("_title").isNotNull() & F.col("_link").isNotNull()).withColumns({
         "_company": H.first_element(card, tag="h4", class_name="base-search-card__subtitle"),
         "_place": H.first_element(card, tag="span", class_name="job-search-card__location"),
-        "_link": H.first_tag(card, tag="a", class_name="base-card__full-link"),
         "_time": H.first_element(card, tag="time"),
-    }).filter(F.col("_title").isNotNull() & F.col("_link").isNotNull()).withColumn("_texts", H.texts_of(
+    }).withColumn("_texts", H.texts_of(
         (F.col("_title"), ""), (F.col("_company"), ""), (F.col("_place"), ""), (F.col("_time"), ""),
         (H.raw_attr(F.col("_link"), "href"), None),
     )).withColumns({
@@ -115,12 +126,12 @@ def parse_linkedin(captures: DataFrame) -> DataFrame:
 _BLOCKS = (("div", "details"), ("div", "content"), ("article", None), ("li", None), ("div", None))
 
 
-def _around(at: Column) -> Column:
+def _around(at: Column, spans: dict[str, Column]) -> Column:
     """The nearest enclosing block of the first kind that encloses the place; null for none."""
     found = []
     for tag, name in _BLOCKS:
         holds = lambda s: (s["start"] < at) & (at < s["end"])
-        own = F.filter(f"_{tag}", holds)
+        own = F.filter(spans[tag], holds)
         if name:
             pattern = f"(?is)^{H.open_tag_pattern(tag=tag, class_name=name)}"
             own = _opened(own, pattern)
@@ -132,6 +143,40 @@ def _opened(blocks: Column, pattern: str) -> Column:
     return F.filter(blocks, lambda s: s["open"].rlike(pattern))
 
 
+def _offers(html: Column) -> Column:
+    """The offer links of a page in order: array of (link, card), card the block around the link or an empty text.
+
+    What all links of a page need is computed once a page, and no row carries the page.
+    """
+    offer = dict(having="href", value="[^\"'>]*/oferta/[^\"'>]*")
+    titled = H.open_tag_pattern(tag="a", class_name="title", **offer)
+    plain = H.open_tag_pattern(tag="a", **offer)
+
+    def starts(parts):
+        """Where each part of the page begins: running lengths of the parts before it."""
+        return F.aggregate(
+            parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+
+    def links(parts):
+        whole = lambda at: F.transform(
+            parts, lambda p, i: F.struct(F.get(at, i).alias("at"), H.until_close(p, "a").alias("link")))
+        wanted = lambda has: F.filter(
+            H.let(starts(parts), whole),
+            lambda x: F.when(has, x["link"].rlike(f"(?is)^{titled}")).otherwise(x["link"].rlike(f"(?is)^{plain}")))
+        return H.let(html.rlike(f"(?is){titled}"), wanted)
+
+    def card(block):
+        return F.when(block.isNotNull(), H.cut(html, block)).otherwise(F.lit(""))
+
+    def placed(blocks):
+        spans = {tag: blocks[tag] for tag in ("div", "article", "li")}
+        return F.transform(
+            H.let(F.split(html, r"(?i)(?=<a[\s>/])"), links),
+            lambda x: F.struct(x["link"].alias("link"), H.let(_around(x["at"], spans), card).alias("card")))
+
+    return H.let(F.struct(*[H.spans(html, t).alias(t) for t in ("div", "article", "li")]), placed)
+
+
 def parse_itjobs(captures: DataFrame) -> DataFrame:
     """Feed F: the offer links of a page; one row per offer id and request.
 
@@ -139,36 +184,13 @@ def parse_itjobs(captures: DataFrame) -> DataFrame:
     the other fields.
     """
     pages = _pages(captures, "ITJobs.pt")
-    offer = dict(having="href", value="[^\"'>]*/oferta/[^\"'>]*")
-    titled = H.open_tag_pattern(tag="a", class_name="title", **offer)
-    plain = H.open_tag_pattern(tag="a", **offer)
-    parts = F.split("_html", r"(?i)(?=<a[\s>/])")
-    # Where each part of the page begins: running lengths of the parts before it.
-    starts = F.aggregate(
-        parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p)))
-    )
-    links = F.filter(
-        F.transform(parts, lambda p, i: F.struct(F.get(F.col("_starts"), i).alias("at"), H.until_close(p, "a").alias("link"))),
-        lambda x: F.when(F.col("_titled"), x["link"].rlike(f"(?is)^{titled}")).otherwise(x["link"].rlike(f"(?is)^{plain}")),
-    )
-    placed = (
-        pages.withColumn("_titled", F.col("_html").rlike(f"(?is){titled}"))
-        .withColumn("_starts", starts)
-        .withColumns({f"_{t}": H.spans(F.col("_html"), t) for t in ("div", "article", "li")})
-        .withColumn("_links", links)
-    )
-    keep = [c for c in placed.columns if c not in ("_links", "_starts")]
-    rows = placed.select(*keep, F.posexplode("_links").alias("_pos", "_found")).withColumn("_at", F.col("_found.at"))
-    rows = (
-        rows.withColumn("_block", _around(F.col("_at")))
-        .withColumn("card", F.when(F.col("_block").isNotNull(), H.cut(F.col("_html"), F.col("_block"))).otherwise(F.lit("")))
-        .withColumn("link", F.concat("_found.link", F.lit("</a>")))
-        .drop("_html", "_div", "_article", "_li", "_found", "_block", "_at")
-    )
+    keep = [c for c in pages.columns if c != "_html"]
+    rows = pages.select(*keep, F.posexplode(_offers(F.col("_html"))).alias("_pos", "_found")).select(
+        *keep, "_pos", F.col("_found.card").alias("card"), F.concat("_found.link", F.lit("</a>")).alias("link"))
     href = F.coalesce(F.col("_texts")[0], F.lit(""))
     number = F.regexp_extract(F.col("_href"), r"^/*[^/]+/([0-9]+)(?:/|$)", 1)
     owner = H.first_element(F.col("card"), tag="a", having="href", value="[^\"'>]*/empresa/[^\"'>]*")
-    rows = rows.withColumn("_owner", owner).withColumn("_texts", H.texts_of(
+    rows = _once(rows.withColumn("_owner", owner), _texts=H.texts_of(
         (H.raw_attr(F.col("link"), "href"), None),
         (F.col("card"), " "),
         (F.col("link"), " "),
@@ -201,9 +223,9 @@ def parse_landing(captures: DataFrame) -> DataFrame:
     """Feed G: ``<article>`` cards, else ``div.job-card``; the first limit of a page."""
     articles = F.transform(H.pieces(F.col("_html"), tag="article"), lambda c: H.until_close(c, "article"))
     divs = F.transform(H.pieces(F.col("_html"), tag="div", class_name="job-card"), lambda c: H.balanced(c, "div"))
-    cards = F.when(F.size(articles) > 0, articles).otherwise(divs)
+    cards = H.let(articles, lambda a: F.when(F.size(a) > 0, a).otherwise(divs))
     card = F.col("card")
-    parts = within_limit(_explode(_pages(captures, "Landing.jobs"), cards)).withColumns({
+    parts = _once(within_limit(_explode(_pages(captures, "Landing.jobs"), cards)).withColumns({
         "_main": H.first_element(card, tag="a", class_name="job-card__title"),
         "_heads": H.all_elements(card, "h[234]"),
         "_employer": H.first_element(card, class_part="company|employer"),
@@ -216,9 +238,9 @@ def parse_landing(captures: DataFrame) -> DataFrame:
     ).withColumn(
         "_link", F.coalesce(H.first_tag(card, tag="a", class_name="job-card__title", having="href"), "_main",
                             H.first_tag(card, tag="a", having="href"))
-    ).withColumn("_texts", H.texts_of(
+    ), _titled=F.col("_title").isNotNull(), _texts=H.texts_of(
         (F.col("_title"), ""), (F.col("_employer"), ""), (F.col("_place"), " "), (H.raw_attr(F.col("_link"), "href"), None),
-    )).filter(F.col("_title").isNotNull() & F.col("_texts")[3].isNotNull()).withColumns({
+    )).filter(F.col("_titled") & F.col("_texts")[3].isNotNull()).withColumns({
         "title": F.col("_texts")[0],
         "location": F.coalesce(F.col("_texts")[2], F.lit("Unknown")),
         "job_url": absolute_url(F.col("_texts")[3], _BASE_G),

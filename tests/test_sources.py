@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedrank import sinks
@@ -177,3 +178,15 @@ def test_nothing_landed_is_lost(spark):
     assert [r.title for r in postings.collect()] == ["a"]
     assert sorted(r.reason for r in aside.collect()) == [
         "body has no list of items", "body is not JSON", "body is not JSON", "title is not text"]
+
+
+@pytest.mark.parametrize("parse, source, pattern, times", [
+    (H.parse_itjobs, "ITJobs.pt", r"(?=<a[\s>/])", 1),
+    (H.parse_itjobs, "ITJobs.pt", "/empresa/", 3),  # named once for each kind of quotes and bare
+    (H.parse_linkedin, "LinkedIn", "base-search-card__title", 3),
+    (H.parse_landing, "Landing.jobs", "company|employer", 2),
+])
+def test_no_filter_and_no_lambda_holds_a_copy_of_the_work_on_a_page(spark, tmp_path, parse, source, pattern, times):
+    spark.createDataFrame([(source, 0, 0, 200, "<p></p>", None, None)], CAPTURE).write.parquet(str(tmp_path / "pages"))
+    parsed = parse(spark.read.parquet(str(tmp_path / "pages")))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count(pattern) == times
