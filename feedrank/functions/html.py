@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .chars import literal_map
+from .text import let
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TAG = rf"<[a-zA-Z/!?]{_ATTRS}>"
@@ -41,15 +42,6 @@ def _code_point(ref: Column) -> Column:
     return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with value computed once.
-
-    A column that a lambda refers to is no substitute: the optimizer may put its
-    expression into the lambda, which then computes it for every element.
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _decode(text: Column) -> Column:
     names = literal_map(_named_entities())
     found = F.array_distinct(F.regexp_extract_all(

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .chars import casefold
-from .text import alnum_only, blank_to_null, html_escape, strip
+from .text import alnum_only, blank_to_null, html_escape, let, strip
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//([^/?#]*)([^?#]*)"
 _IP_LITERAL = r"\[(?:[vV][0-9a-fA-F]+\.[^\[\]]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.%]*)\]"
@@ -43,10 +43,17 @@ def canonical_url(url: Column) -> Column:
 
     Null when there is no authority or no path, or the host is malformed.
     """
-    s, a, p = scheme(url), authority(url), path(url)
-    prefix = F.when(s == "", F.lit("//")).otherwise(F.concat(s, F.lit("://")))
-    ok = (a != "") & (p != "") & ~_bad_brackets(a)
-    return F.when(ok, F.concat(prefix, a, F.regexp_replace(p, "/+$", "")))
+    def split(clean):
+        part = lambda i: F.regexp_extract(clean, _SPLIT, i)
+        return F.struct(F.lower(part(1)).alias("s"), F.lower(part(2)).alias("a"), part(3).alias("p"))
+
+    def joined(parts):
+        s, a, p = parts["s"], parts["a"], parts["p"]
+        prefix = F.when(s == "", F.lit("//")).otherwise(F.concat(s, F.lit("://")))
+        ok = (a != "") & (p != "") & ~_bad_brackets(a)
+        return F.when(ok, F.concat(prefix, a, F.regexp_replace(p, "/+$", "")))
+
+    return let(let(_clean(url), split), joined)
 
 
 def dedup_key(url: Column, source: Column, job_id: Column, company: Column, title: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.text import matches_any, strip
+from ..session import once
 
 
 def is_excluded(title: Column, company: Column, rules: R.Rules = R.DEFAULT_RULES) -> Column:
@@ -39,10 +40,12 @@ def topic(title: Column, tags: Column, rules: R.Rules = R.DEFAULT_RULES) -> Colu
 def prefilter(df: DataFrame, rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:
     """Keep explicit entry-level postings of a known topic. Narrow, no shuffle."""
     title = strip(F.coalesce(F.col("title"), F.lit("")))
-    return (
+    kept = (
         df.filter(has_entry_marker(title, rules))
         .filter(~is_excluded(title, F.col("company"), rules))
-        .withColumn("topic", topic(title, F.col("tags"), rules))
+    )
+    return (
+        once(kept, topic=topic(title, F.col("tags"), rules))
         .filter(F.col("topic").isNotNull())
         .withColumns(
             {

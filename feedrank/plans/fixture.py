@@ -198,9 +198,10 @@ def contact_directory(spark: SparkSession, sf_dir: str, gaps: bool = True) -> Da
     return (
         table(spark, sf_dir, "customer", "c_custkey", "c_name")
         .filter((key % 5 != 4) | F.lit(not gaps))
+        .withColumn("company_key", company_key(name))
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(5))))
         .select(
-            company_key(name).alias("company_key"),
+            "company_key",
             F.when(F.col("q") == 0, F.lit("Machine Learning")).alias("area"),
             F.when(F.col("q") < 4, F.lit(0)).otherwise(F.lit(1)).alias("tier"),
             F.col("q").alias("query_ordinal"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Runtime settings the plans are designed for; all can be set on a live session.
@@ -67,6 +67,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row.
+
+    A filter on a plain column is pushed below it with a copy of its expression,
+    so the expression would be computed twice; no filter passes a generator's output.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 SMALL_ROWS = 100_000
 
 

@@ -9,10 +9,11 @@ from .. import rules as R
 from ..functions import html as H
 from ..functions.dates import day_month_in_text
 from ..functions.scores import salary_in_text
-from ..functions.text import blank_to_null, contains_any
+from ..functions.text import blank_to_null, contains_any, let
 from ..functions.urls import absolute_url, id_after_dash, last_segment, strip_query
 from ..operators.dedup import dedup_in_feed
 from ..operators.limits import ok_pages
+from ..session import once
 from .captures import item_ordinal, within_limit
 from .json_feeds import out_columns
 
@@ -34,15 +35,6 @@ def _explode(df: DataFrame, cards: Column) -> DataFrame:
     return df.select(*keep, F.posexplode(cards).alias("_pos", "card"))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once a row.
-
-    A filter on a plain column is pushed below it with a copy of its expression,
-    so the expression would be computed twice; no filter passes a generator's output.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     text = lambda: F.lit(None).cast("string")
     full = {
@@ -96,7 +88,7 @@ def parse_linkedin(captures: DataFrame) -> DataFrame:
     pages = _pages(captures, "LinkedIn").withColumn("_li", H.spans(F.col("_html"), "li"))
     cards = F.transform("_li", lambda s: H.cut(F.col("_html"), s))
     card = F.col("card")
-    parts = _once(
+    parts = once(
         _explode(pages, cards).drop("_li"),
         _title=H.first_element(card, tag="h3", class_name="base-search-card__title"),
         _link=H.first_tag(card, tag="a", class_name="base-card__full-link"),
@@ -161,9 +153,9 @@ def _offers(html: Column) -> Column:
         whole = lambda at: F.transform(
             parts, lambda p, i: F.struct(F.get(at, i).alias("at"), H.until_close(p, "a").alias("link")))
         wanted = lambda has: F.filter(
-            H.let(starts(parts), whole),
+            let(starts(parts), whole),
             lambda x: F.when(has, x["link"].rlike(f"(?is)^{titled}")).otherwise(x["link"].rlike(f"(?is)^{plain}")))
-        return H.let(html.rlike(f"(?is){titled}"), wanted)
+        return let(html.rlike(f"(?is){titled}"), wanted)
 
     def card(block):
         return F.when(block.isNotNull(), H.cut(html, block)).otherwise(F.lit(""))
@@ -171,10 +163,10 @@ def _offers(html: Column) -> Column:
     def placed(blocks):
         spans = {tag: blocks[tag] for tag in ("div", "article", "li")}
         return F.transform(
-            H.let(F.split(html, r"(?i)(?=<a[\s>/])"), links),
-            lambda x: F.struct(x["link"].alias("link"), H.let(_around(x["at"], spans), card).alias("card")))
+            let(F.split(html, r"(?i)(?=<a[\s>/])"), links),
+            lambda x: F.struct(x["link"].alias("link"), let(_around(x["at"], spans), card).alias("card")))
 
-    return H.let(F.struct(*[H.spans(html, t).alias(t) for t in ("div", "article", "li")]), placed)
+    return let(F.struct(*[H.spans(html, t).alias(t) for t in ("div", "article", "li")]), placed)
 
 
 def parse_itjobs(captures: DataFrame) -> DataFrame:
@@ -190,7 +182,7 @@ def parse_itjobs(captures: DataFrame) -> DataFrame:
     href = F.coalesce(F.col("_texts")[0], F.lit(""))
     number = F.regexp_extract(F.col("_href"), r"^/*[^/]+/([0-9]+)(?:/|$)", 1)
     owner = H.first_element(F.col("card"), tag="a", having="href", value="[^\"'>]*/empresa/[^\"'>]*")
-    rows = _once(rows.withColumn("_owner", owner), _texts=H.texts_of(
+    rows = once(rows.withColumn("_owner", owner), _texts=H.texts_of(
         (H.raw_attr(F.col("link"), "href"), None),
         (F.col("card"), " "),
         (F.col("link"), " "),
@@ -223,9 +215,9 @@ def parse_landing(captures: DataFrame) -> DataFrame:
     """Feed G: ``<article>`` cards, else ``div.job-card``; the first limit of a page."""
     articles = F.transform(H.pieces(F.col("_html"), tag="article"), lambda c: H.until_close(c, "article"))
     divs = F.transform(H.pieces(F.col("_html"), tag="div", class_name="job-card"), lambda c: H.balanced(c, "div"))
-    cards = H.let(articles, lambda a: F.when(F.size(a) > 0, a).otherwise(divs))
+    cards = let(articles, lambda a: F.when(F.size(a) > 0, a).otherwise(divs))
     card = F.col("card")
-    parts = _once(within_limit(_explode(_pages(captures, "Landing.jobs"), cards)).withColumns({
+    parts = once(within_limit(_explode(_pages(captures, "Landing.jobs"), cards)).withColumns({
         "_main": H.first_element(card, tag="a", class_name="job-card__title"),
         "_heads": H.all_elements(card, "h[234]"),
         "_employer": H.first_element(card, class_part="company|employer"),

@@ -365,3 +365,19 @@ def test_conform_has_the_export_schema(spark):
     assert df.columns == [f.name for f in POSTING.fields] and df.schema["human_outreach"].dataType == OUTREACH
     row = df.first()
     assert (row.modality, row.is_remote, row.rating_score, row.category) == ("Unknown", False, 0.0, "AI / ML")
+
+
+def test_rules_and_urls_are_evaluated_once(spark, tmp_path):
+    """The filter on the topic does not repeat its rules; a URL is stripped once and split once for each of its parts."""
+    from feedrank.functions.text import any_pattern
+    from feedrank.functions.urls import _SPLIT, canonical_url
+    from feedrank.operators.classify import prefilter
+    from feedrank.rules import AI_PATTERNS
+
+    spark.createDataFrame([("t", ["ai"], "c", " HTTPS://A.example/x/?q ")], "title string, tags array<string>, company string, url string") \
+        .write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(prefilter(rows)).count(any_pattern(AI_PATTERNS)) == 2  # of the title and of the tags
+    found = rows.select(canonical_url(rows.url).alias("u"))
+    assert plan(found).count(_SPLIT) == 3 and found.first().u == "https://a.example/x"
