@@ -49,7 +49,7 @@ class FirstSeen(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        first = self.seen.get()[0] if self.seen.exists() else None
+        first, = self.seen.get() or (None,)  # asking whether it exists would be one more call to the store
         known = first
         timed = [(watermark if r["_ms"] is None else r["_ms"], r) for r in rows]
         for at, row in sorted(timed, key=lambda x: (x[0], *[(x[1][c] is None, x[1][c]) for c in self.order])):
@@ -119,7 +119,7 @@ class Recheck(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         newest = max(r["checked_at"] for r in rows)
-        checked_at, due = self.last.get() if self.last.exists() else (None, False)
+        checked_at, due = self.last.get() or (None, False)
         if checked_at is not None and newest <= checked_at:
             return
         if due:

@@ -93,3 +93,48 @@ def test_rechecks_fall_due(spark, tmp_path):
     assert seen == [{("n", 0)}, {("n", 0), ("a", 50)}, {("n", 0), ("b", 95)}, {("n", 0), ("c", 149), ("a", 155)}]
     kinds = [(r.company_key, r.checked_at, r.kind) for r in spark.read.schema(P.CHANGES).parquet(out).collect()]
     assert sorted(k for k in kinds if k[0] == "a") == [("a", 50, "due"), ("a", 155, "due"), ("a", 155, "renewed")]
+
+
+def test_state_is_asked_once_a_key():
+    """Every question to the store is a call to another process."""
+    from pyspark.sql import Row
+
+    from feedrank.streaming.processors import DAY_MS, FirstSeen, Recheck
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    class Handle:
+        def registerTimer(self, at):
+            pass
+
+        def deleteTimer(self, at):
+            pass
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    seen = FirstSeen(7 * DAY_MS, ("n",))
+    seen.seen = Store()
+    rows = [list(seen.handleInputRows(("k",), iter([Row(n=1, _ms=at)]), Clock())) for at in (5, 6, 7 * DAY_MS + 5)]
+    assert [[r["outcome"] for r in out] for out in rows] == [["first"], [], ["first"]]
+    assert seen.seen.calls == ["get", "update", "get", "get", "update"]
+    check = Recheck(10)
+    check.handle, check.last = Handle(), Store()
+    for at in (5, 4, 6):
+        assert list(check.handleInputRows(("k",), iter([Row(checked_at=at)]), Clock())) == []
+    assert check.last.calls == ["get", "update", "get", "get", "update"] and check.last.value == (6, False)
