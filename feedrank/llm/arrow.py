@@ -38,6 +38,16 @@ def give_back() -> None:
         pass
 
 
+def keep_freed(most: int = 16 << 20) -> None:
+    """Keep up to ``most`` freed bytes in this process: work in many short arrays else gets every page anew."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: longer arrays go back at once
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:

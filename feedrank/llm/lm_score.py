@@ -22,16 +22,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import common as C
 from . import hashing as H
-from .arrow import Cache, slices
+from .arrow import SLICE_BYTES, keep_freed, slices
 from .sp_codec import model_path
 
 HELD_OUT, FOLDS = 2, 7
@@ -51,7 +54,8 @@ WINDOWS = 128
 RATE = 0.01
 #: Counts of so many words go to every task; those of all others are joined.
 HOT_WORDS = 1 << 16
-CACHED_WORDS = 200_000
+#: Words whose subwords a worker process keeps, some 40 bytes each.
+CACHED_WORDS = 1 << 20
 #: Share of the attention model in a word's probability; the rest goes to the training words by their counts.
 ATTENTION = 0.4
 _SHAPES = {
@@ -69,17 +73,29 @@ def _row_of_ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
 
-def _sums(ids: np.ndarray, parts: list[np.ndarray], n: int) -> np.ndarray:
-    """Sums of the rows of each id, the parts side by side."""
-    order = np.argsort(ids.astype(np.uint8), kind="stable")
-    inside = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-    out = np.zeros((n, sum(p.shape[1] for p in parts)), np.float32)
-    out[inside[first]] = np.concatenate([np.add.reduceat(p.take(order, axis=0), first, axis=0) for p in parts], axis=1)
+def _sums(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class: eight rows of a class at a time, then these sums. The last row is nobody's, and 0."""
+    ids = classes.astype(np.uint8).ravel()
+    order, counts = np.argsort(ids, kind="stable"), np.bincount(ids, minlength=CLASSES)
+    blocks = (counts + 7) >> 3
+    ends = np.cumsum(blocks)
+    before, all_ = ends - blocks, int(ends[-1])
+    at = np.arange(len(ids)) + np.repeat(8 * before - (np.cumsum(counts) - counts), counts)
+    spread = np.full((8, all_), len(ids))
+    spread.ravel()[(at & 7) * all_ + (at >> 3)] = order
+    eights = (_ONES[:8] @ rows.take(spread, axis=0, mode="clip").reshape(8, -1)).reshape(all_, -1)
+    out, some = np.zeros((CLASSES, rows.shape[1]), np.float32), np.flatnonzero(blocks)
+    out[some] = np.add.reduceat(eights, before[some], axis=0)
     return out
 
 
 _ONES = np.ones(max(SPAN, GROUPS, MEMBERS), np.float32)
+_EYE = np.eye(GROUPS, dtype=np.float32)
+
+
+def _usual(total: np.ndarray) -> bool:
+    """Sums of plain exponentials that are neither too large nor too small to divide by."""
+    return bool(total.min() > 1e-30 and total.max() < 1e30)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -95,6 +111,20 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return shares
 
 
+def _shares_less(logits: np.ndarray, goals: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The softmax of each row, less one at its goal, times a number for the row."""
+    n = logits.shape[1]
+    with np.errstate(over="ignore"):
+        shares = np.exp(logits)
+        total = shares @ _ONES[:n]
+    if not _usual(total):
+        shares = _softmax(logits)
+        total = _ONES[:1]
+    shares *= (times / total)[:, None]
+    shares.ravel()[np.arange(len(goals)) * n + goals] -= times
+    return shares
+
+
 class Model:
     """Weights, forward pass and gradients."""
 
@@ -118,18 +148,52 @@ class Model:
         return np.concatenate(parts).astype(np.float32)
 
     def tables(self) -> None:
-        """Query, key and value of every class, and the biases as one more row, for scoring."""
+        """Query of every class; key, value and a one side by side; biases as often as a window has targets."""
         w = self.w
-        self.queries = np.ascontiguousarray(w["embed"] @ w["query"] / np.float32(math.sqrt(WIDTH)))
-        self.keys, self.values = w["embed"] @ w["key"], w["embed"] @ w["value"]
-        self.mask = w["near"][_SEEN] + _CAUSAL
-        self.up = np.concatenate([w["up"], w["bias"][None, :]])
-        self.groups = np.concatenate([w["groups"], w["group_prior"][None, :]])
+        self.queries = w["embed"] @ w["query"] / np.float32(math.sqrt(WIDTH))
+        self.seen = np.ones((CLASSES, 2 * WIDTH + 1), np.float32)
+        np.matmul(w["embed"], w["key"], out=self.seen[:, :WIDTH])
+        np.matmul(w["embed"], w["value"], out=self.seen[:, WIDTH:-1])
+        self.keys, self.values = self.seen[:, :WIDTH], self.seen[:, WIDTH:-1]
+        self.mask = w["near"].take(_SEEN) + _CAUSAL
+        self.bias, self.group_prior = (np.concatenate([w[b]] * STEP) for b in ("bias", "group_prior"))
         self.within = w["prior"].reshape(GROUPS, MEMBERS)
-        self.ones = np.ones(max(SPAN, GROUPS, MEMBERS), np.float32)
+
+    def attend(self, inputs: np.ndarray):
+        """Rows of ``seen`` and queries of the windows, weights before their division, their sums, and what the targets read."""
+        seen, query = self.seen.take(inputs, axis=0, mode="clip"), self.queries.take(inputs[:, STEP:], axis=0, mode="clip")
+        weight = query @ seen[:, :, :WIDTH].transpose(0, 2, 1)
+        weight += self.mask
+        np.exp(weight, out=weight)
+        pads = inputs == PAD
+        some = np.flatnonzero(pads.any(axis=1))
+        weight[some] *= ~pads[some, None]
+        mass = weight.reshape(-1, SPAN) @ _ONES[:SPAN]
+        if not _usual(mass):
+            weight = self.read(inputs)[1][3]
+            mass = _row_of_ones(len(mass))
+        read = (weight @ seen[:, :, WIDTH:-1]).reshape(-1, WIDTH)
+        read /= mass[:, None]
+        return seen, query, weight, mass, read
+
+    def layers(self, inputs: np.ndarray, read: np.ndarray):
+        w = self.w
+        own = w["embed"].take(inputs[:, STEP:].ravel(), axis=0, mode="clip")
+        mid = read @ w["out"]
+        mid += own
+        hidden = mid @ w["up"]
+        flat = hidden.reshape(-1, STEP * HIDDEN)
+        flat += self.bias
+        np.maximum(flat, 0, out=flat)
+        top = hidden @ w["down"]
+        top += mid
+        outer = top @ w["groups"]
+        flat = outer.reshape(-1, STEP * GROUPS)
+        flat += self.group_prior
+        return own, mid, hidden, top, outer
 
     def read(self, inputs: np.ndarray):
-        """Last layer of the STEP targets of each window of SPAN inputs, with what the gradient needs."""
+        """Last layer of the STEP targets of each window of SPAN inputs, with the layers below."""
         w, late = self.w, inputs[:, STEP:]
         key, value, query, own = self.keys[inputs], self.values[inputs], self.queries[late], w["embed"][late]
         raw = query @ key.transpose(0, 2, 1)
@@ -151,74 +215,70 @@ class Model:
 
     def log_probs(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the targets: ``forward`` with fewer passes over the numbers."""
-        w, late, goals = self.w, inputs[:, STEP:], targets.ravel()
+        w, goals = self.w, targets.ravel()
         group, at = goals // MEMBERS, np.arange(len(goals))
-        weight = self.queries[late] @ self.keys[inputs].transpose(0, 2, 1)
-        weight += self.mask
-        if (pads := inputs == PAD).any():
-            weight += np.where(pads, np.float32(-1e9), np.float32(0))[:, None, :]
-        with np.errstate(over="ignore"):
-            np.exp(weight, out=weight)
-            mass = weight @ self.ones[:SPAN]
-            read = weight @ self.values[inputs]
-            mid = np.ones((targets.size, WIDTH + 1), np.float32)
-            mid[:, :WIDTH] = (read / mass[:, :, None]).reshape(-1, WIDTH) @ w["out"]
-            mid[:, :WIDTH] += w["embed"][late].reshape(-1, WIDTH)
-            hidden = mid @ self.up
-            np.maximum(hidden, 0, out=hidden)
-            mid[:, :WIDTH] += hidden @ w["down"]
-            outer = mid @ self.groups
-            inner = (mid[:, :WIDTH] * w["turn"][group]) @ w["members"]
-            inner += self.within[group]
-            own = outer[at, group] + inner[at, goals - group * MEMBERS]
-            outer_total = np.exp(outer, out=outer) @ self.ones[:GROUPS]
-            inner_total = np.exp(inner, out=inner) @ self.ones[:MEMBERS]
-        totals = (mass, outer_total, inner_total)
-        if not all(np.isfinite(t).all() and t.min() > 1e-30 for t in totals):  # too large or small without a shift
+        with np.errstate(over="ignore", invalid="ignore"):
+            _, _, _, top, outer = self.layers(inputs, self.attend(inputs)[4])
+            top *= w["turn"].take(group, axis=0, mode="clip")
+            inner = top @ w["members"]
+            inner += self.within.take(group, axis=0, mode="clip")
+            told = outer.ravel().take(at * GROUPS + group) + inner.ravel().take(at * MEMBERS + (goals - group * MEMBERS))
+            outer_total = np.exp(outer, out=outer) @ _ONES[:GROUPS]
+            inner_total = np.exp(inner, out=inner) @ _ONES[:MEMBERS]
+        if not (_usual(outer_total) and _usual(inner_total)):  # too large or small without a shift
             return self.forward(inputs)[at, goals]
-        return own - np.log(outer_total) - np.log(inner_total)
+        return told - np.log(outer_total) - np.log(inner_total)
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> np.ndarray:
         w, goals, late = self.w, targets.ravel(), inputs[:, STEP:]
-        group, at = goals // MEMBERS, np.arange(targets.size)
-        top, (key, value, query, weight, read, mid, hidden) = self.read(inputs)
-        share = (counted.ravel() / max(1, counted.sum()))[:, None].astype(np.float32)
-        outer = _softmax(top @ w["groups"] + w["group_prior"])
-        outer[at, group] -= 1
-        outer *= share
-        turn = w["turn"][group]
+        n, group = len(goals), goals // MEMBERS
+        share = counted.ravel() * np.float32(1 / max(1, counted.sum()))
+        with np.errstate(over="ignore", invalid="ignore"):
+            seen, query, weight, mass, read = self.attend(inputs)
+        own, mid, hidden, top, outer = self.layers(inputs, read)
+        outer = _shares_less(outer, group, share)
+        turn = w["turn"].take(group, axis=0, mode="clip")
         turned = top * turn
-        inner = _softmax(turned @ w["members"] + self.within[group])
-        inner[at, goals - group * MEMBERS] -= 1
-        inner *= share
+        inner = turned @ w["members"]
+        inner += self.within.take(group, axis=0, mode="clip")
+        inner = _shares_less(inner, goals - group * MEMBERS, share)
         d_turned = inner @ w["members"].T
-        mark = np.zeros((len(goals), GROUPS), np.float32)
-        mark[at, group] = 1
-        by_group = mark.T @ np.concatenate([inner, d_turned * top], axis=1)
-        g = {"groups": top.T @ outer, "group_prior": _row_of_ones(len(outer)) @ outer, "members": turned.T @ inner,
-             "prior": by_group[:, :MEMBERS], "turn": by_group[:, MEMBERS:]}
-        d_top = outer @ w["groups"].T + d_turned * turn
+        mark, ones = _EYE.take(group, axis=0, mode="clip").T, _row_of_ones(n)
+        g = {"groups": top.T @ outer, "group_prior": ones @ outer, "members": turned.T @ inner, "prior": mark @ inner}
+        top *= d_turned
+        g["turn"] = mark @ top
+        d_turned *= turn
+        d_top = outer @ w["groups"].T
+        d_top += d_turned
+        g["down"] = hidden.T @ d_top
         d_hidden = d_top @ w["down"].T
         d_hidden *= hidden > 0
-        g["down"] = hidden.T @ d_top
-        g["up"], g["bias"] = mid.T @ d_hidden, _row_of_ones(len(mid)) @ d_hidden
-        d_mid = d_top + d_hidden @ w["up"].T
-        d_read = d_mid @ w["out"].T
+        g["up"], g["bias"] = mid.T @ d_hidden, ones @ d_hidden
+        d_mid = d_hidden @ w["up"].T
+        d_mid += d_top
         g["out"] = read.T @ d_mid
-        mean = np.einsum("ij,ij->i", d_read, read).reshape(-1, STEP, 1)  # of d_weight by weight
-        d_read = d_read.reshape(-1, STEP, WIDTH)
-        d_raw = d_read @ value.transpose(0, 2, 1)
-        d_value = weight.transpose(0, 2, 1) @ d_read
-        d_raw -= mean
+        d_read, by_read, part = np.empty((n, WIDTH + 1), np.float32), d_mid @ w["out"].T, 1 / mass
+        np.multiply(by_read, part[:, None], out=d_read[:, :WIDTH])
+        by_read *= read
+        np.multiply(by_read @ -_ONES[:WIDTH], part, out=d_read[:, WIDTH])  # of the weights' sum
+        d_read = d_read.reshape(-1, STEP, WIDTH + 1)
+        d_raw = d_read @ seen[:, :, WIDTH:].transpose(0, 2, 1)
         d_raw *= weight
         g["near"] = np.bincount(_SEEN.ravel(), (_row_of_ones(len(d_raw)) @ d_raw.reshape(len(d_raw), -1)), SPAN)
-        # Per class first: the sums of its places, then once through the weights.
-        of_late = _sums(late.ravel(), [d_mid, (d_raw @ key).reshape(-1, WIDTH)], CLASSES)
-        of_all = _sums(inputs.ravel(), [(d_raw.transpose(0, 2, 1) @ query).reshape(-1, WIDTH), d_value.reshape(-1, WIDTH)], CLASSES)
-        d_query = of_late[:, WIDTH:] / np.float32(math.sqrt(WIDTH))
+        d_query = (d_raw @ seen[:, :, :WIDTH]).reshape(-1, WIDTH)
+        d_query *= np.float32(1 / math.sqrt(WIDTH))
+        g["query"] = own.T @ d_query
+        d_mid += d_query @ w["query"].T
+        # Keys and values per class first: the sums of its places, then once through the weights.
+        rows = np.empty((inputs.size + 1, 2 * WIDTH), np.float32)
+        rows[-1] = 0
+        of_all = rows[:-1].reshape(-1, SPAN, 2 * WIDTH)
+        np.matmul(d_raw.transpose(0, 2, 1), query, out=of_all[:, :, :WIDTH])
+        np.matmul(weight.transpose(0, 2, 1), d_read[:, :, :WIDTH], out=of_all[:, :, WIDTH:])
+        of_all, of_late = _sums(inputs, rows), _sums(late, np.concatenate([d_mid, rows[-1:, :WIDTH]]))
         d_key, d_value = of_all[:, :WIDTH], of_all[:, WIDTH:]
-        g["query"], g["key"], g["value"] = (w["embed"].T @ d for d in (d_query, d_key, d_value))
-        g["embed"] = of_late[:, :WIDTH] + d_query @ w["query"].T + d_key @ w["key"].T + d_value @ w["value"].T
+        g["key"], g["value"] = w["embed"].T @ d_key, w["embed"].T @ d_value
+        g["embed"] = of_late + d_key @ w["key"].T + d_value @ w["value"].T
         return np.concatenate([np.asarray(g[n], np.float32).ravel() for n in _SHAPES])
 
 
@@ -243,11 +303,19 @@ def train(flat: np.ndarray, windows: np.ndarray | Iterable[np.ndarray], seed: in
             inputs, targets = np.maximum(rows[:, :SPAN], PAD), rows[:, STEP + 1 :]
             grad = model.gradient(inputs, np.maximum(targets, PAD), targets >= FIRST - 1)
             step += 1
-            first += 0.1 * (grad - first)
-            second += 0.01 * (grad * grad - second)
+            first *= 0.9
+            first += 0.1 * grad
+            grad *= grad
+            grad *= 0.01
+            second *= 0.99
+            second += grad
             lift = math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
             # The number of steps is not known before the end: the rate falls as 1 / step, to a tenth.
-            flat -= rate * max(0.1, 1 / (1 + 2 * step / LEAST_STEPS)) * lift * first / (np.sqrt(second) + 1e-8)
+            scale = np.sqrt(second)
+            scale += 1e-8
+            np.divide(first, scale, out=scale)
+            scale *= rate * max(0.1, 1 / (1 + 2 * step / LEAST_STEPS)) * lift
+            flat -= scale
             model.tables()
 
     for part in [windows] if isinstance(windows, np.ndarray) else windows:
@@ -290,32 +358,82 @@ def _pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+class Coded:
+    """Subword ids of the words met so far, by the words' hashes: sorted arrays, emptied when they hold CACHED_WORDS."""
+
+    def __init__(self, pieces) -> None:
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def get(self, words: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words one after the other, and the number of each word's ids."""
+        order = np.argsort(hashes)
+        spots, new = self._missing(hashes[order])
+        if len(new) and len(self.hashes) + len(new) > CACHED_WORDS:
+            self.clear()
+            spots, new = self._missing(hashes[order])
+        if len(new):
+            coded = self.pieces.encode(words.take(pa.array(order[new])).to_pylist(), num_threads=1)
+            sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+            starts = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))])
+            at = spots[new]
+            self.hashes = np.insert(self.hashes, at, hashes[order[new]])
+            self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        spots[order] = np.searchsorted(self.hashes, hashes[order])
+        return self.ids[_ranges(self.starts[spots], sizes := self.sizes[spots])], sizes
+
+    def _missing(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sorted hashes stand or belong, and the places of those that are not there."""
+        spots = np.searchsorted(self.hashes, hashes)
+        there = np.append(self.hashes, np.uint64(0))[spots] == hashes
+        there &= spots < len(self.hashes)
+        there[1:] |= hashes[1:] == hashes[:-1]
+        return spots, np.flatnonzero(~there)
+
+
+@lru_cache(maxsize=1)
+def _coded(path: str) -> Coded:
+    """One store of words for all tasks of a worker process."""
+    return Coded(_pieces(path))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     name = F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit(""))
     return F.pmod(F.crc32(name.cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
 def _word_table(texts: list[bytes]):
-    """Lowered bytes, starts and ends of words, their hashes, and each text's first word."""
-    low = b" ".join([b"", *texts, b""]).lower()
-    data = np.frombuffer(low, np.uint8)
-    solid = (data != 32) & ((data < 9) | (data > 13))
-    starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
-    ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    firsts = np.searchsorted(starts, np.concatenate([np.ones(1, np.int64), 1 + np.cumsum(lengths)]))
-    return low, starts, ends, H.spans(H.prefix_sums(data), starts, ends), firsts
+    """Distinct lowered words with their hashes, the place of each word of the texts among them, each text's first word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+    coded = lists.values.dictionary_encode()
+    place, words = coded.indices.to_numpy(), coded.dictionary
+    firsts = lists.offsets.to_numpy().astype(np.int64)
+    if (none := pc.index(words, "").as_py()) >= 0:  # before leading and after trailing space
+        solid = place != none
+        firsts = np.concatenate([np.zeros(1, np.int64), np.cumsum(solid)])[firsts]
+        place = place[solid]
+        place = place - (place > none)
+        words = pa.concat_arrays([words.slice(0, none), words.slice(none + 1)])
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: edges[-1]] if len(words) else np.zeros(0, np.uint8)
+    return words, H.spans(H.prefix_sums(data), edges[:-1], edges[1:]), place, firsts
 
 
 def _count(batches):
-    for batch, texts in slices(batches, "text"):
-        low, starts, ends, hashes, _ = _word_table(texts)
-        distinct, at, n = np.unique(hashes, return_index=True, return_counts=True)
-        words = [low[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(distinct.view(np.int64)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)],
-            ["hash", "word", "n"],
-        )
+    for _, texts in slices(batches, "text", 2 * SLICE_BYTES):
+        words, hashes, place, _ = _word_table(texts)
+        n = np.bincount(place, minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), words, pa.array(n)], ["hash", "word", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -340,39 +458,22 @@ def _subword_rows(path: str | None):
     return run
 
 
-def _lines(table, vocabulary: Vocabulary, pieces, cache: Cache):
+def _lines(table, vocabulary: Vocabulary, coded: Coded):
     """Classes of all subwords of a word table, their number in each of its words, and the words' log10 shares in them."""
-    low, starts, ends, hashes, _ = table
-    distinct, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-    spot = dict(zip(distinct.tolist(), at.tolist()))
-
-    def make(new: list[int]) -> list[tuple[bytes, float]]:
-        at = [spot[h] for h in new]
-        coded = pieces.encode([low[starts[k] : ends[k]].decode() for k in at], num_threads=1)
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = np.fromiter((i for c in coded for i in c), np.int64)
-        kinds = vocabulary.kind[ids].tobytes()
-        ends_ = np.cumsum(lengths)
-        sums = np.concatenate([np.zeros(1), np.cumsum(vocabulary.share[ids])])
-        shares = sums[ends_] - sums[ends_ - lengths]
-        return [(kinds[e - n : e], s) for e, n, s in zip(ends_.tolist(), lengths.tolist(), shares.tolist())]
-
-    values = cache.get(distinct.tolist(), make)
-    sizes = np.fromiter((len(v[0]) for v in values), np.int64, len(values))
-    shares = np.fromiter((v[1] for v in values), np.float64, len(values))[place]
-    blob = np.frombuffer(b"".join([v[0] for v in values]), np.uint8)
-    begins = np.cumsum(sizes) - sizes
+    words, hashes, place, _ = table
+    ids, sizes = coded.get(words, hashes)
+    ends = np.cumsum(sizes)
+    sums = np.concatenate([np.zeros(1), np.cumsum(vocabulary.share[ids])])
     counts = sizes[place]
-    reach = np.cumsum(counts)
-    kinds = blob[np.arange(reach[-1] if len(reach) else 0) + np.repeat(begins[place] - (reach - counts), counts)]
-    return kinds, counts, shares
+    kinds = vocabulary.kind[ids][_ranges((ends - sizes)[place], counts)]
+    return kinds, counts, (sums[ends] - sums[ends - sizes])[place]
 
 
-def _windows(texts: list[bytes], vocabulary: Vocabulary, pieces, cache: Cache | None = None) -> np.ndarray:
+def _windows(texts: list[bytes], vocabulary: Vocabulary, pieces, coded: Coded | None = None) -> np.ndarray:
     """Windows STEP apart over each whole text, so that each class is a target once: SPAN + 1 classes, -1 past the end."""
     table = _word_table(texts)
-    kinds, counts, _ = _lines(table, vocabulary, pieces, cache or Cache(None, CACHED_WORDS))
-    cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[table[4]]
+    kinds, counts, _ = _lines(table, vocabulary, coded or Coded(pieces))
+    cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[table[3]]
     kinds = np.insert(kinds, cut[1:], END)
     lengths = np.diff(cut) + 1
     blocks = -(-lengths // STEP)
@@ -383,17 +484,18 @@ def _windows(texts: list[bytes], vocabulary: Vocabulary, pieces, cache: Cache |
     line[base + STEP] = START
     line[np.repeat(base + STEP + 1 - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(kinds))] = kinds
     begin = np.repeat(base - STEP * (np.cumsum(blocks) - blocks), blocks) + STEP * np.arange(blocks.sum())
-    return line[begin[:, None] + np.arange(SPAN + 1)]
+    return sliding_window_view(line, SPAN + 1)[begin]
 
 
 def _train_rows(flat: np.ndarray, vocabulary: Vocabulary, path: str | None, round_: int):
     def run(batches):
-        pieces, cache, met = _pieces(path or model_path()), Cache(None, CACHED_WORDS), 0
+        keep_freed()
+        coded, met = _coded(path or model_path()), 0
 
         def parts():
             nonlocal met
             for _, texts in slices(batches, "text"):
-                windows = _windows(texts, vocabulary, pieces, cache)
+                windows = _windows(texts, vocabulary, coded.pieces, coded)
                 met += len(windows)
                 yield windows
 
@@ -439,7 +541,6 @@ def _score(
     The score counts a cold word as one that training lacks.
     """
     hot_hashes, hot_counts = hot
-    cache = Cache(None, CACHED_WORDS)
 
     def class_logs(model: Model, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each class of the lines (which end with END)."""
@@ -454,44 +555,51 @@ def _score(
         inputs[spots + 1] = kinds
         inputs[base + room] = PAD  # the last class of a full line is no input
         inputs[base + STEP] = START
-        begin = np.repeat(base - STEP * (np.cumsum(blocks) - blocks), blocks) + STEP * np.arange(blocks.sum())
+        first = np.repeat(base // STEP - (np.cumsum(blocks) - blocks), blocks) + np.arange(blocks.sum())
+        spans, goals = sliding_window_view(inputs, SPAN)[::STEP], targets[:-1].reshape(-1, STEP)
         out = np.zeros(len(targets))
-        for a in range(0, len(begin), WINDOWS):
-            at = begin[a : a + WINDOWS, None]
-            goals = at + STEP + np.arange(STEP)
-            out[goals] = model.log_probs(inputs[at + np.arange(SPAN)], targets[goals]).reshape(goals.shape)
+        logs = out[:-1].reshape(-1, STEP)
+        for a in range(0, len(first), WINDOWS):
+            at = first[a : a + WINDOWS]
+            logs[at + 1] = model.log_probs(spans[at], goals[at + 1]).reshape(-1, STEP)
         return out[spots]
 
     def run(batches):
-        model, pieces = Model(flat), _pieces(path or model_path())
+        keep_freed()
+        model, coded = Model(flat), _coded(path or model_path())
         for batch, texts in slices(batches, "text"):
             table = _word_table(texts)
-            hashes, firsts = table[3:]
-            kinds, counts, shares = _lines(table, vocabulary, pieces, cache)
-            distinct, place = np.unique(hashes, return_inverse=True)
-            reach = np.cumsum(counts)
-            cut = np.concatenate([np.zeros(1, np.int64), reach])[firsts]
+            _, distinct, place, firsts = table
+            kinds, counts, shares = _lines(table, vocabulary, coded)
+            reach = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+            cut = reach[firsts]
+            text_ends = firsts[1:] + np.arange(len(texts))
             kinds = np.insert(kinds, cut[1:], END)
             logs_of = np.concatenate([np.zeros(1), np.cumsum(class_logs(model, kinds, np.diff(cut) + 1))])
-            reach = np.cumsum(np.insert(counts, firsts[1:], 1))  # ends of the words and of the texts' ends
+            owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
+            by_model = np.empty(len(place) + len(texts))  # words and the texts' ends
+            own_place = np.arange(len(place)) + owner
+            by_model[own_place] = logs_of[reach[1:] + owner] - logs_of[reach[:-1] + owner] + shares * math.log(10)
+            by_model[text_ends] = np.diff(logs_of)[cut[1:] + np.arange(len(texts))]
             near = np.minimum(np.searchsorted(hot_hashes, distinct), max(len(hot_hashes) - 1, 0))
             known = (hot_hashes[near] == distinct) if len(hot_hashes) else np.zeros(len(distinct), bool)
             hot_n = np.where(known, hot_counts[near], 0.0) if len(hot_hashes) else np.zeros(len(distinct))
-            by_model = np.diff(np.concatenate([np.zeros(1), logs_of[reach]])) + np.insert(shares, firsts[1:], 0) * math.log(10)
-            seen = np.insert(hot_n[place], firsts[1:], documents)
-            by_count = np.log(np.where(seen > 0, seen * ((1 - novel) / max(all_tokens, 1)), novel))
+            count_log = lambda seen: np.log(np.where(seen > 0, seen * ((1 - novel) / max(all_tokens, 1)), novel))
+            by_count = np.full(len(by_model), float(count_log(np.float64(documents))))
+            by_count[own_place] = count_log(hot_n)[place]
             mixed = np.logaddexp(math.log(ATTENTION) + by_model, math.log(1 - ATTENTION) + by_count) / math.log(10)
             tokens = np.concatenate([np.zeros(1), np.cumsum(mixed)])
             scores = np.diff(tokens[firsts + np.arange(len(firsts))])
             total = lambda v: np.diff(np.concatenate([np.zeros(1), np.cumsum(v)])[firsts])
             logs = np.log10(hot_n + 1.0)
-            owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
             cold = np.flatnonzero(~known[place])
-            cold = cold[np.lexsort((place[cold], owner[cold]))]
-            at = np.flatnonzero((np.diff(owner[cold], prepend=-1) != 0) | (np.diff(place[cold], prepend=-1) != 0))
-            offsets = np.searchsorted(owner[cold][at], np.arange(len(texts) + 1)).astype(np.int32)
-            cold_hash = pa.ListArray.from_arrays(pa.array(offsets), pa.array(distinct[place[cold][at]].view(np.int64)))
-            own = math.log(ATTENTION) + np.delete(by_model, firsts[1:] + np.arange(len(texts)))[cold]
+            key = owner[cold] * len(distinct) + place[cold]
+            order = np.argsort(key, kind="stable")
+            cold, key = cold[order], key[order]
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            offsets = np.searchsorted(owner[cold[at]], np.arange(len(texts) + 1)).astype(np.int32)
+            cold_hash = pa.ListArray.from_arrays(pa.array(offsets), pa.array(distinct[place[cold[at]]].view(np.int64)))
+            own = math.log(ATTENTION) + by_model[own_place[cold]]
             times = pa.ListArray.from_arrays(pa.array(np.append(at, len(cold)).astype(np.int32)), pa.array(own))
             cold_model = pa.ListArray.from_arrays(pa.array(offsets), times)
             yield pa.RecordBatch.from_arrays(

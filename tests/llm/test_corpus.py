@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,56 @@ def test_training_meets_every_target(monkeypatch):
     assert sum(met) == sum(map(len, lines))
 
 
+def test_tasks_of_a_worker_code_a_word_once(monkeypatch):
+    """Learning and scoring the same texts, batch by batch, codes each distinct word once, as a direct split would."""
+    true, met = lm_score._pieces(sp_codec.model_path()), []
+
+    class Counting:
+        def encode(self, words, num_threads=1):
+            met.extend(words)
+            return true.encode(words, num_threads=num_threads)
+
+    monkeypatch.setattr(lm_score, "_pieces", lambda _: Counting())
+    lm_score._coded.cache_clear()
+    texts = [prose(80, i) for i in range(6)] + [" A b\x0b\x0cC\t", "", "x", None, " \n ", "\u00c9 b\x1cz \u00c9\u00a0q"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], ["doc_id", "held_out", "text"])
+    counts = np.zeros(true.get_piece_size())
+    vocabulary = lm_score.Vocabulary(counts)
+    flat = lm_score.Model.fresh(vocabulary.prior(counts, len(texts)))
+    list(lm_score._train_rows(flat, vocabulary, "here", 0)(iter([batch.slice(0, 7).select(["text"]), batch.select(["text"])])))
+    rows_ = list(lm_score._score(flat, vocabulary, (np.zeros(0, np.uint64), np.zeros(0)), 3, 50, 0.1, "here")(iter([batch])))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert Counter(met) == Counter({w.decode() for words in split for w in words})
+    assert rows_[0].column("n_tokens").to_pylist() == [len(words) + 1 for words in split]
+    monkeypatch.setattr(lm_score, "CACHED_WORDS", 5)  # a full store is emptied, and gives the same ids
+    small, words = lm_score.Coded(true), sorted({w.decode() for t in split for w in t})
+    for part in (words[:4], words[2:9], words, words[:1], []):
+        hashes = hashing.mix(np.array([words.index(w) for w in part], np.uint64))
+        ids, sizes = small.get(pa.array(part, pa.string()), hashes)
+        assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == (true.encode(part)[0] if part else [])
+        assert ids.tolist() == [i for w in part for i in true.encode(w)]
+    lm_score._coded.cache_clear()
+
+
+def test_sums_by_class_and_steep_weights():
+    rng = np.random.default_rng(3)
+    classes = rng.integers(0, 40, (9, 32)) ** 2 % lm_score.CLASSES
+    rows_ = np.concatenate([rng.normal(0, 1, (classes.size, 5)), np.zeros((1, 5))]).astype(np.float32)
+    want = np.zeros((lm_score.CLASSES, 5))
+    np.add.at(want, classes.ravel(), rows_[:-1])
+    assert np.allclose(lm_score._sums(classes, rows_), want, atol=1e-4)
+    flat = lm_score.Model.fresh(np.zeros(lm_score.CLASSES))
+    inputs, goals = rng.integers(1, lm_score.CLASSES, (5, 32)), rng.integers(3, lm_score.CLASSES, (5, 16))
+    inputs[:2, :16] = lm_score.PAD
+    steep = lm_score.Model(flat * np.float32(12))  # plain exponentials overflow
+    assert np.isfinite(steep.gradient(inputs, goals, np.ones((5, 16), bool))).all()
+    # What a pad holds changes nothing, and learns nothing.
+    model, other = lm_score.Model(flat), flat.copy()
+    other[: lm_score.WIDTH] = 9
+    assert np.allclose(model.log_probs(inputs, goals), lm_score.Model(other).log_probs(inputs, goals), atol=1e-5)
+    assert not model.gradient(inputs, goals, np.ones((5, 16), bool))[: lm_score.WIDTH].any()
+
+
 @pytest.mark.parametrize("most", [0, 40])
 def test_hot_words_change_no_score(docs, monkeypatch, most):
     """Counts that are joined give the scores that counts in the task give."""
