@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import dedup_key
 from ..schema import ORDER_COLUMNS, request_keys
 
 
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key: the first in ``order``.
 
     An aggregate, so every map task first reduces its own rows to one per key;

@@ -31,9 +31,12 @@ def _landed(spark, frame, label):
 
 
 def _runs(spark, frame, run, path):
-    """Land the frame run by run; after each, the landing folder as a stream."""
-    for r in frame.select(run).distinct().orderBy(run).collect():
-        frame.filter(F.col(run) == r[0]).coalesce(4).write.mode("append").parquet(path)
+    """Land the frame run by run; after each, the landing folder as a stream. The frame is computed once and dealt to its runs."""
+    dealt, folder = frame.withColumn("_run", F.col(run)), scratch_path(spark, "runs")
+    dealt.write.partitionBy("_run").parquet(folder)
+    runs = spark.read.schema(dealt.schema).parquet(folder)
+    for r in runs.select("_run").distinct().orderBy("_run").collect():
+        runs.filter(F.col("_run") == r[0]).drop("_run").write.mode("append").parquet(path)
         yield S.read_stream(spark, path, frame.schema)
 
 

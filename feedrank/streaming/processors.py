@@ -1,15 +1,19 @@
-"""Keyed state kept by Spark: first-seen postings with late ones set aside, and rechecks that fall due.
+"""Keyed state of streams: first-seen postings with late ones set aside, and rechecks that fall due.
 
-State lives in the RocksDB store of the checkpoint. A batch reads and writes
-the state of its own keys only, so its cost follows the batch and not the state.
+Identities seen are snapshots in the checkpoint, cut to what event time still
+needs. The state of rechecks lives in the RocksDB store of the checkpoint: a
+batch reads and writes the state of its own keys only, so its cost follows the
+batch and not the state.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import (
@@ -18,14 +22,17 @@ from pyspark.sql.streaming.stateful_processor import (
 
 from .. import rules as R
 from ..operators.classify import prefilter
-from ..operators.dedup import with_dedup_key
+from ..operators.dedup import first_by, with_dedup_key
 from ..schema import ORDER_COLUMNS
+from ..session import materialize, scratch_path
+from ..state import load_state, prune, save_state
+from .incremental import each_available, stream_id
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 FIRST, LATE = "first", "late"
 DUE, RENEWED = "due", "renewed"
 DAY_MS = 86_400_000
+SNAPSHOTS = 2  # of the identities seen: the last one, and the one that a repeated batch starts from
 
 
 def use_store(spark: SparkSession) -> None:
@@ -36,6 +43,8 @@ def use_store(spark: SparkSession) -> None:
 class FirstSeen(StatefulProcessor):
     """Per identity: the first posting of each span of ``seen_for_ms``; what is older than the watermark is late.
 
+    The rule of ``append_by_outcome`` row by row, for streams that keep their state in Spark's
+    store. It asks the store from Python for every key, so its time grows with the keys.
     Input rows carry ``_ms``, their event time (null: that of the watermark).
     The state of an identity is the event time of its last first posting; the
     store forgets it when it has not changed for the span on the clock.
@@ -65,8 +74,16 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
-def first_seen_or_late(postings: DataFrame, seen_for_days: int = 7, rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:
-    """A stream of postings, after the rules, with an ``outcome``.
+@dataclass(frozen=True)
+class Arrivals:
+    """A stream of postings after the rules, with their identities, and the span for which an identity is remembered."""
+
+    rows: DataFrame
+    seen_for_ms: int
+
+
+def first_seen_or_late(postings: DataFrame, seen_for_days: int = 7, rules: R.Rules = R.DEFAULT_RULES) -> Arrivals:
+    """A stream of postings, after the rules; ``append_by_outcome`` gives each an ``outcome``.
 
     ``first``: the first posting of an identity, or the first that comes
     ``seen_for_days`` of event time or more after the last first one. ``late``:
@@ -75,29 +92,86 @@ def first_seen_or_late(postings: DataFrame, seen_for_days: int = 7, rules: R.Rul
     aside, not dropped. Copies leave no row. Inside a batch, rows count in the
     order of event time, then feed order. Rows without an event time are never late.
     """
-    use_store(postings.sparkSession)
-    kept = with_dedup_key(prefilter(postings, rules)).withWatermark("captured_at", f"{seen_for_days} days")
-    rows = kept.withColumn("_ms", F.unix_millis(F.col("captured_at")))
-    out = T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())])
-    return rows.groupBy("dedup_key").transformWithState(
-        FirstSeen(seen_for_days * DAY_MS, ORDER_COLUMNS), out, "append", "processingTime").drop("_ms")
+    return Arrivals(with_dedup_key(prefilter(postings, rules)), seen_for_days * DAY_MS)
+
+
+def _begun(turns: Column, known: Column, span: int) -> Column:
+    """The event times that begin a span of an identity, after its last known one (null for none)."""
+    begin = F.struct(known.alias("last"), F.array().cast("array<bigint>").alias("begun"))
+
+    def step(acc, at):
+        new = acc["last"].isNull() | (at >= acc["last"] + span)
+        return F.struct(
+            F.when(new, at).otherwise(acc["last"]).alias("last"),
+            F.when(new, F.concat(acc["begun"], F.array(at))).otherwise(acc["begun"]).alias("begun"))
+
+    return F.aggregate(F.sort_array(turns), begin, step, lambda acc: acc["begun"])
+
+
+def spans_begun(rows: DataFrame, seen: DataFrame, watermark: int, span: int) -> DataFrame:
+    """(dedup_key, _at): the event times at which the identities of a batch begin a span.
+
+    Only keys and times move, and an identity's times meet once each, however many copies it has.
+    """
+    turns = _timed(rows, watermark).filter(F.col("_at") >= watermark).groupBy("dedup_key").agg(
+        F.collect_set("_at").alias("_turns"))
+    known = seen.select("dedup_key", F.col("at").alias("_known"))
+    return turns.join(known, "dedup_key", "left").select(
+        "dedup_key", F.explode(_begun(F.col("_turns"), F.col("_known"), span)).alias("_at"))
+
+
+def _timed(rows: DataFrame, watermark: int) -> DataFrame:
+    return rows.withColumn("_at", F.coalesce(F.unix_millis(F.col("captured_at")), F.lit(watermark).cast("bigint")))
+
+
+def outcomes(rows: DataFrame, begun: DataFrame, watermark: int) -> DataFrame:
+    """The rows of a batch that are first (of those at one time the first in feed order) or late."""
+    timed = _timed(rows, watermark)
+    order = [c for name in ORDER_COLUMNS for c in (F.col(name).isNull(), F.col(name))]
+    turns = first_by(timed.filter(F.col("_at") >= watermark), ["dedup_key", "_at"], order)
+    first = turns.join(begun, ["dedup_key", "_at"], "left_semi").select(*timed.columns)
+    late = timed.filter(F.col("_at") < watermark)
+    return first.withColumn("outcome", F.lit(FIRST)).unionByName(late.withColumn("outcome", F.lit(LATE))).drop("_at")
+
+
+#: What a stream remembers of its identities; the row without a key holds the latest event time of all batches.
+SEEN = T.StructType([
+    T.StructField("dedup_key", T.StringType()), T.StructField("at", T.LongType()), T.StructField("written", T.LongType())])
 
 
-def append_by_outcome(stream: DataFrame, out: str, checkpoint: str) -> None:
+def append_by_outcome(arrivals: Arrivals, out: str, checkpoint: str) -> None:
     """Process what has arrived into ``out``/outcome=first and ``out``/outcome=late, and stop.
 
-    State that the clock may expire makes Spark add batches without data as
-    long as the query runs; they are off here, or the query would not stop.
+    Batches are joined with the identities seen, a snapshot in the checkpoint for
+    each batch, so no row and no key passes through Python. A span that ended
+    before the watermark decides nothing any more, so a snapshot holds those of the last
+    two spans of event time (and, as the clock goes on, of one span of the
+    clock), whatever came before. Each batch of a stream owns its folders, and
+    starts from the snapshot before it: a repeated batch replaces its rows.
     """
-    conf = stream.sparkSession.conf
-    before = conf.get(NO_DATA)
-    conf.set(NO_DATA, "false")
-    try:
-        query = (stream.writeStream.format("parquet").partitionBy("outcome").option("path", out)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start())
-    finally:
-        conf.set(NO_DATA, before)
-    query.awaitTermination()
+    span, spark, root = arrivals.seen_for_ms, arrivals.rows.sparkSession, f"{checkpoint}/seen"
+
+    def batch(frame: DataFrame, batch_id: int) -> None:
+        path = scratch_path(spark, "arrivals")
+        frame.write.parquet(path)
+        rows = spark.read.schema(frame.schema).parquet(path)
+        now = int(time.time() * 1000)
+        before = load_state(spark, root, SEEN, before=batch_id)
+        latest = before.filter(F.col("dedup_key").isNull()).agg(F.max("at")).first()[0] or 0
+        watermark = max(0, latest - span)
+        seen = before.filter(F.col("dedup_key").isNotNull() & (F.col("written") > now - span))
+        begun = materialize(spans_begun(rows, seen, watermark, span), "begun")
+        outcomes(rows, begun, watermark).withColumns({
+            "stream": F.lit(stream_id(spark, checkpoint)), "batch": F.lit(batch_id),
+        }).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("outcome", "stream", "batch").parquet(out)
+        latest = max(latest, rows.agg(F.max(F.unix_millis(F.col("captured_at")))).first()[0] or 0)
+        news = seen.unionByName(begun.select("dedup_key", F.col("_at").alias("at"), F.lit(now).alias("written")))
+        kept = news.groupBy("dedup_key").agg(F.max(F.struct("at", "written")).alias("_last")).select("dedup_key", "_last.*")
+        save_state(kept.filter(F.col("at") + span > latest - span).unionByName(
+            spark.createDataFrame([(None, latest, now)], SEEN)), root, version=batch_id)
+        prune(spark, root, SNAPSHOTS)
+
+    each_available(arrivals.rows, batch, checkpoint)
 
 
 CHANGES = T.StructType([
