@@ -230,6 +230,22 @@ def spans(html: Column, tag: str) -> Column:
     return F.when(html.isNotNull(), let(F.sort_array(events), paired))
 
 
+def elements(html: Column, tag: str) -> Column:
+    """The texts of ``spans``, nested elements too, in order of their opening tags.
+
+    Where no element holds another, as on most pages, each is the part of the page from its opening
+    tag to the next tag of its kind; a span would be sought from the start of the page.
+    """
+    opens = lambda part: F.substring(part, 1, len(tag) + 2).rlike(rf"(?i)^<{tag}[\s>/]")
+
+    def texts(parts):
+        turns = F.array_join(F.transform(parts, lambda p: F.when(opens(p), F.lit("<")).otherwise(F.lit("/"))), "")
+        nested = F.transform(spans(html, tag), lambda s: cut(html, s))
+        return F.when(F.contains(turns, F.lit("<<")), nested).otherwise(F.filter(parts, opens))
+
+    return let(F.split(html, rf"(?i)(?=</?{tag}[\s>/])"), texts)
+
+
 def cut(html: Column, span: Column) -> Column:
     """The text of a span."""
     return F.substring(html, span["start"] + 1, span["end"] - span["start"])

@@ -32,7 +32,8 @@ def ingest(captures: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFra
 
     Set aside are single items that break the schema, and whole bodies that are
     no JSON or lack their feed's list. Everything is parsed once and written,
-    so that both results can be read without parsing again.
+    so that both results can be read without parsing again; an item is written
+    as it came only where it is set aside.
     """
     requested = with_request(with_run(captures), manifest)
     parsed = [parse(requested) for parse in json_feeds.PARSERS.values()]
@@ -41,7 +42,8 @@ def ingest(captures: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFra
         if source == "LinkedIn":
             rows = limit_by_manifest(rows, manifest.filter(F.col("source") == source))
         parsed.append(rows)
-    everything = materialize(union_feeds(*parsed), "parsed")
+    items = union_feeds(*parsed)
+    everything = materialize(items.withColumn("raw", F.when(F.col("reject_reason").isNotNull(), F.col("raw"))), "parsed")
     broken = [
         broken_bodies(requested.filter(F.col("source") == source), path)
         for source, path in json_feeds.LIST_PATHS.items()

@@ -11,6 +11,7 @@ from ..operators.dedup import dedup_in_feed
 from ..operators.limits import limit_by_manifest
 from ..sources import captures as C, directory as Dir, documents, html_feeds as HF, json_feeds as JF
 from ..schema import conform
+from ..session import materialize
 from . import fixture as X
 from . import oracle as O
 from . import renders
@@ -397,7 +398,7 @@ def all_feeds(spark, sf):
     """Ingest of all seven feeds at once, conformed to the posting schema."""
     from .daily import ingest
 
-    p = X.postings(spark, sf)
+    p = materialize(X.postings(spark, sf), "postings")  # seven renders read them
     landed = None
     for render in (renders.feed_a, renders.feed_b, renders.feed_c, renders.feed_d, renders.feed_e, renders.feed_f, renders.feed_g):
         landed = render(p) if landed is None else landed.unionByName(render(p))

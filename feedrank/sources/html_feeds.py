@@ -85,11 +85,9 @@ def parse_linkedin(captures: DataFrame) -> DataFrame:
     Limit the result per request with ``limits.limit_by_manifest``: the limit
     counts kept cards over all pages.
     """
-    pages = _pages(captures, "LinkedIn").withColumn("_li", H.spans(F.col("_html"), "li"))
-    cards = F.transform("_li", lambda s: H.cut(F.col("_html"), s))
     card = F.col("card")
     parts = once(
-        _explode(pages, cards).drop("_li"),
+        _explode(_pages(captures, "LinkedIn"), H.elements(F.col("_html"), "li")),
         _title=H.first_element(card, tag="h3", class_name="base-search-card__title"),
         _link=H.first_tag(card, tag="a", class_name="base-card__full-link"),
     ).filter(F.col("_title").isNotNull() & F.col("_link").isNotNull()).withColumns({

@@ -16,6 +16,7 @@ from ..functions.dates import posted_on
 from ..functions.scores import salary_range
 from ..functions.text import as_list, blank_to_null, truthy
 from ..functions.urls import last_segment
+from ..session import once
 from .captures import item_ordinal, within_limit
 
 _OUT = (
@@ -25,6 +26,14 @@ _OUT = (
 )
 #: Where each feed's list of items is.
 LIST_PATHS = {"Arbeitnow": "$.data", "Himalayas": "$.jobs", "Jobicy": "$.jobs", "RemoteOK": "$"}
+#: The fields of an item that each feed reads.
+FIELDS = {
+    "Arbeitnow": ("slug", "title", "company_name", "location", "url", "remote", "created_at", "tags", "description", "job_description"),
+    "Himalayas": ("id", "title", "companyName", "companySlug", "slug", "applicationLink", "guid", "locationRestrictions",
+                  "minSalary", "maxSalary", "currency", "pubDate", "excerpt"),
+    "Jobicy": ("id", "jobTitle", "companyName", "jobGeo", "url", "jobLevel", "pubDate", "jobTags", "tags", "jobDescription", "description"),
+    "RemoteOK": ("id", "position", "company", "url", "date", "tags", "description"),
+}
 
 
 def out_columns(df: DataFrame) -> tuple[str, ...]:
@@ -36,7 +45,11 @@ _NONE = "None"  # fixed value: text of a null id
 
 
 def _get(key: str) -> Column:
-    return F.try_variant_get("item", f"$.{key}", "variant")
+    return F.col("_fields").getField(key)
+
+
+def _as_text(key: str) -> Column:
+    return F.try_variant_get(_get(key), "$", "string")
 
 
 def _kind(value: Column) -> Column:
@@ -52,7 +65,7 @@ def _string(key: str, default: str | None) -> Column:
 
 def _truthy_string(key: str) -> Column:
     """Text field, null when absent, null or ''."""
-    return blank_to_null(F.try_variant_get("item", f"$.{key}", "string"))
+    return blank_to_null(_as_text(key))
 
 
 def _any_text(value: Column) -> Column:
@@ -109,9 +122,12 @@ def _items(captures: DataFrame, source: str) -> DataFrame:
     )
 
 
-def _explode(df: DataFrame) -> DataFrame:
+def _explode(df: DataFrame, source: str) -> DataFrame:
+    """One row per item; ``_fields`` holds what the feed reads, taken from the item in one walk, null for no object."""
     keep = [c for c in df.columns if c != "_list"]
-    return df.select(*keep, F.posexplode("_list").alias("_pos", "item"))
+    items = within_limit(df.select(*keep, F.posexplode("_list").alias("_pos", "item")))
+    fields = ", ".join(f"{name}: variant" for name in FIELDS[source])
+    return once(items, _fields=F.try_variant_get("item", "$", f"struct<{fields}>"))
 
 
 def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
@@ -122,7 +138,7 @@ def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
         **fields,
     }
     need = ("title", "company", "location", "job_url")
-    reason = F.when(~_kind(F.col("item")).startswith("OBJECT"), F.lit("item is not an object"))
+    reason = F.when(F.col("_fields").isNull(), F.lit("item is not an object"))
     for name in need:
         reason = reason.when(F.col(name).isNull(), F.lit(f"{name} is not text"))
     if "_level_ok" in full:
@@ -136,8 +152,8 @@ def _finish(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def parse_arbeitnow(captures: DataFrame) -> DataFrame:
     """Feed A: ``data[:limit]``; remote flag given as boolean or word."""
-    remote = truthy(F.try_variant_get("item", "$.remote", "string"))
-    items = within_limit(_explode(_items(captures, "Arbeitnow")))
+    remote = truthy(_as_text("remote"))
+    items = _explode(_items(captures, "Arbeitnow"), "Arbeitnow")
     return _finish(items, {
         "job_id": _id("slug", F.lit("")),
         "title": _string("title", ""),
@@ -162,7 +178,9 @@ def parse_himalayas(captures: DataFrame) -> DataFrame:
     place_kind = _kind(_get("locationRestrictions"))
     listed = F.when(place_kind.startswith("ARRAY") | (place_kind == "STRING"),
                     blank_to_null(F.array_join(places, ", ")))
-    return _finish(_explode(_items(captures, "Himalayas")), {
+    items = once(_explode(_items(captures, "Himalayas"), "Himalayas"),
+                 _low=_number_text(_get("minSalary")), _high=_number_text(_get("maxSalary")))
+    return _finish(items, {
         "job_id": _id("id", last_segment(url)),
         "title": _string("title", ""),
         "company": _string("companyName", "N/A"),
@@ -170,7 +188,7 @@ def parse_himalayas(captures: DataFrame) -> DataFrame:
         "job_url": url,
         "is_remote": F.lit(True),
         "modality": F.lit("100% Remote"),
-        "salary": salary_range(_number_text(_get("minSalary")), _number_text(_get("maxSalary")),
+        "salary": salary_range(F.col("_low"), F.col("_high"),
                                F.coalesce(_any_text(_get("currency")),
                                           F.when(_get("currency").isNull(), F.lit("USD")).otherwise(F.lit(_NONE)))),
         "post_date": _date("pubDate"),
@@ -182,9 +200,9 @@ def parse_jobicy(captures: DataFrame) -> DataFrame:
     """Feed C: rows without title or URL dropped; entry levels get the fixed label."""
     level = _string("jobLevel", "")
     entry = F.contains(F.lower(level), F.lit("entry")) | F.contains(F.lower(level), F.lit("junior"))
-    empty = lambda key: F.coalesce(F.try_variant_get("item", f"$.{key}", "string"), F.lit("")) == ""
-    items = _explode(_items(captures, "Jobicy")).filter(
-        ~_kind(F.col("item")).startswith("OBJECT") | ~(empty("jobTitle") | empty("url")))
+    empty = lambda key: F.coalesce(_as_text(key), F.lit("")) == ""
+    items = _explode(_items(captures, "Jobicy"), "Jobicy").filter(
+        F.col("_fields").isNull() | ~(empty("jobTitle") | empty("url")))
     return _finish(items, {
         "job_id": _id("id", F.lit("")),
         "title": _string("jobTitle", ""),
@@ -205,8 +223,8 @@ def parse_remoteok(captures: DataFrame) -> DataFrame:
     """Feed D: array with a header element; id filter, then limit, then drop."""
     lists = _items(captures, "RemoteOK").withColumn(
         "_list", F.filter("_list", lambda i: F.try_variant_get(i, "$.id", "variant").isNotNull()))
-    empty = lambda key: F.coalesce(F.try_variant_get("item", f"$.{key}", "string"), F.lit("")) == ""
-    items = within_limit(_explode(lists)).filter(~(empty("position") | empty("url")))
+    empty = lambda key: F.coalesce(_as_text(key), F.lit("")) == ""
+    items = _explode(lists, "RemoteOK").filter(~(empty("position") | empty("url")))
     return _finish(items, {
         "job_id": _id("id", F.lit(_NONE)),
         "title": _string("position", ""),

@@ -190,3 +190,38 @@ def test_no_filter_and_no_lambda_holds_a_copy_of_the_work_on_a_page(spark, tmp_p
     spark.createDataFrame([(source, 0, 0, 200, "<p></p>", None, None)], CAPTURE).write.parquet(str(tmp_path / "pages"))
     parsed = parse(spark.read.parquet(str(tmp_path / "pages")))
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count(pattern) == times
+
+
+def test_fields_of_an_item_are_taken_in_one_walk(spark):
+    """Each field is one read of the item; what an item holds besides is not looked at."""
+    items = [{"title": "a", "url": "u", "tags": ["x", 1], "remote": True, "deep": {"title": "no"}}, {"title": 7, "url": "u"}, [1], "t", None,
+             {"title": None, "url": "u"}, {"url": {"a": 1}, "title": ""}]
+    parsed = J.parse_arbeitnow(cap(spark, "Arbeitnow", json.dumps({"data": items})))
+    got = [(r.title, r.tags, r.is_remote, r.reject_reason) for r in parsed.orderBy("item_ordinal").collect()]
+    assert got == [("a", ["x", "1"], True, None), (None, [], False, "title is not text"), *[("", [], False, "item is not an object")] * 3,
+                   (None, [], False, "title is not text"), ("", [], False, "job_url is not text")]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(item") == 1
+
+
+def test_elements_are_the_texts_of_the_spans(spark):
+    from feedrank.functions import html as M
+
+    pages = ["<ul><LI>a</li>x<li class='b'>b<link></Li ><li>c", "</li><li>a<li>b</li>c</li></li><li/>d", "<lix>no</lix>", "", None, "<li>é\n", "a<li>1</li><li>2</li>\n"]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    cut = F.transform(M.spans(F.col("html"), "li"), lambda s: M.cut(F.col("html"), s))
+    rows = frame.select("i", M.elements(F.col("html"), "li").alias("new"), cut.alias("old")).orderBy("i").collect()
+    assert [r.new for r in rows] == [r.old for r in rows] and rows[1].new == ["<li>a<li>b</li>c", "<li>b", "<li/>d"]
+
+
+def test_only_items_set_aside_are_written_as_they_came(spark, tmp_path, monkeypatch):
+    from feedrank.operators import limits
+    from feedrank.plans import daily
+
+    written = []
+    monkeypatch.setattr(daily, "materialize", lambda df, label: written.append(df) or df)
+    page = '<li><h3 class="base-search-card__title">Role</h3><a class="base-card__full-link" href="https://x/a-1?t">x</a></li>'
+    body = json.dumps({"data": [{"title": "a", "url": "u"}, {"title": None}]})
+    landed = cap(spark, "Arbeitnow", body).unionByName(cap(spark, "LinkedIn", page))
+    postings, aside = daily.ingest(landed, limits.manifest(spark, [("Arbeitnow", "q", None, None)]))
+    assert sorted(r.title for r in postings.collect()) == ["Role", "a"]
+    assert [r.raw for r in written[0].collect() if r.raw] == ['{"title":null}'] == [r.body for r in aside.collect()]
